@@ -67,8 +67,8 @@ def draft_id(submitted_at: Column) -> Column:
 
 def submission_defaults(df: DataFrame, submitted_at: Column) -> DataFrame:
     """Complete submitted rows: ids, defaults and JSON text columns for the store."""
-    filled = df.na.fill(SUBMISSION_DEFAULTS, [c for c in SUBMISSION_DEFAULTS if c in df.columns]).na.fill(
-        NUMBER_DEFAULTS, [c for c in NUMBER_DEFAULTS if c in df.columns])
+    defaults = {**SUBMISSION_DEFAULTS, **NUMBER_DEFAULTS}
+    filled = df.na.fill({name: value for name, value in defaults.items() if name in df.columns})
     made = {
         "report_id": F.coalesce(F.nullif(F.col("report_id"), F.lit("")), draft_id(submitted_at)),
         "date": F.coalesce(F.col("date"), F.date_format(submitted_at, "yyyy-MM-dd")),
