@@ -81,7 +81,8 @@ def main() -> int:
     import __spark_entry__ as entry
     from narrascope.session import build_session
 
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                           "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(args.sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
