@@ -12,6 +12,7 @@ from narrascope.operators import identity as I
 from narrascope.operators import quality as Q
 from narrascope.operators import splits as S
 from narrascope.schemas import EVIDENCE_FIELDS
+from narrascope.session import written
 
 N = ("narratives",)
 
@@ -326,7 +327,9 @@ split_rows AS (SELECT w.*, split FROM w JOIN units USING (unit))"""
 
 
 def flagged(t: Tables):
-    return D.flag_quality(t.narratives).filter(~F.col("is_empty_or_malformed"))
+    """The flagged table, written once as in the corpus build, without malformed rows."""
+    table = written(D.flag_quality(t.narratives), "flagged")
+    return table.filter(~F.col("is_empty_or_malformed"))
 
 
 @query("group_split", f"WITH {SPLIT_SQL} SELECT record_id, unit, split FROM split_rows", N)
@@ -357,8 +360,8 @@ def _(t):
 NAIVE = "(SELECT source AS unit, CASE WHEN doc_id % 5 = 0 THEN 'test' WHEN doc_id % 5 = 1 AND lang = 'en' THEN 'validation' ELSE 'train' END AS split FROM documents)"
 
 
-def _overlap(a: str, b: str) -> str:
-    return f"(SELECT count(*) FROM (SELECT unit FROM {NAIVE} WHERE split = '{a}' INTERSECT SELECT unit FROM {NAIVE} WHERE split = '{b}'))"
+def _overlap(a: str, b: str, rows: str = NAIVE) -> str:
+    return f"(SELECT count(*) FROM (SELECT unit FROM {rows} WHERE split = '{a}' INTERSECT SELECT unit FROM {rows} WHERE split = '{b}'))"
 
 
 @query("split_overlap", f"""
@@ -368,7 +371,9 @@ def _(t):
     return S.split_overlap(t.documents.select(F.col("source").alias("unit"), place.alias("split")))
 
 
-@query("split_disjoint", """SELECT CAST(0 AS BIGINT) AS train_validation, CAST(0 AS BIGINT) AS train_test, CAST(0 AS BIGINT) AS validation_test FROM (SELECT count(*) FROM documents)""")
+@query("split_disjoint", f"""
+WITH {SPLIT_SQL} SELECT {_overlap('train', 'validation', 'split_rows')} AS train_validation,
+  {_overlap('train', 'test', 'split_rows')} AS train_test, {_overlap('validation', 'test', 'split_rows')} AS validation_test""", N)
 def _(t):
     return S.split_overlap(S.group_split(flagged(t)))
 

@@ -1 +1,131 @@
+"""Features, classifiers and explanations."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from bindings.registry import query
+from bindings.views import Tables
+from narrascope.operators.quality import class_weights
+from narrascope.operators.splits import order_hash
+from narrascope.plans import models as M
+from narrascope.schemas import RULES
+from narrascope.session import new_scratch
+
+
+def vectors(t: Tables):
+    """Embeddings as labelled training rows with a rule each."""
+    rule = F.array(*[F.lit(r) for r in RULES])[F.col("label") % len(RULES)]
+    return t.embeddings.select(
+        "vec_id", array_to_vector(F.col("embedding")).alias("features"), (F.col("label") < 3).cast("int").alias("y"),
+        rule.alias("life_saving_rule"))
+
+
+@query("embed_text", r"""
+SELECT doc_id, 384 AS dims, CASE WHEN regexp_matches(narrative_text, '[\p{L}\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+FROM narratives""", ("narratives",))
+def _(t):
+    fitted = M.text_features("narrative_text").fit(t.narratives)
+    vector = vector_to_array("features")
+    made = fitted.transform(t.narratives.select("doc_id", "narrative_text")).select("doc_id", vector.alias("v"))
+    return made.select("doc_id", F.size("v").alias("dims"),
+                       F.bround(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+def _count_letters():
+    """An encoder for the test of the slot: shares of five letters."""
+    def encode(texts: list[str]) -> list[list[float]]:
+        return [[float(text.count(letter)) for letter in "aeiou"] for text in texts]
+
+    return encode
+
+
+@query("encoder_slot", """
+SELECT doc_id, length(text) - length(replace(text, 'a', '')) AS a, length(text) - length(replace(text, 'u', '')) AS u FROM documents""")
+def _(t):
+    made = M.embed_with(t.documents.select("doc_id", "text"), "text", _count_letters)
+    return made.select("doc_id", F.col("embedding")[0].cast("bigint").alias("a"), F.col("embedding")[4].cast("bigint").alias("u"))
+
+
+@query("mean_pool_l2", """
+WITH long AS (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings WHERE vec_id % 7 <> 0),
+m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM long GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
+SELECT label, CAST(i AS INT) AS i, round_even(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM m JOIN n USING (label)""")
+def _(t):
+    tokens = t.embeddings.withColumn("mask", (F.col("vec_id") % 7 != 0).cast("int"))
+    pooled = M.mean_pool(tokens, "label", "embedding", "mask")
+    long = pooled.select("label", F.posexplode("embedding").alias("i", "x"))
+    return long.select("label", (F.col("i") + 1).alias("i"), F.bround("x", 6).alias("x"))
+
+
+@query("label_weights", """
+SELECT y, n, round_even(sum(n) OVER () / CAST(count(*) OVER () * n AS DOUBLE), 6) AS weight
+FROM (SELECT CASE WHEN label < 3 THEN 1 ELSE 0 END AS y, count(*) AS n FROM embeddings GROUP BY 1)""")
+def _(t):
+    return class_weights(vectors(t), "y")
+
+
+@query("train_sif")
+def _(t):
+    """Scores of the fitted binary classifier on its own rows, by label."""
+    model = M.train_sif(vectors(t))
+    scored = M.positive_probability(model.transform(vectors(t)))
+    return scored.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("p"), 3).alias("mean_p"))
+
+
+@query("train_rule")
+def _(t):
+    """Share of rows whose own rule is the fitted model's top rule."""
+    model = M.train_rule(vectors(t))
+    probs = M.class_probabilities()
+    top = F.array_max(F.transform(probs, lambda x: F.struct(x["p"].alias("p"), x["rule"].alias("rule"))))["rule"]
+    scored = model.transform(vectors(t)).withColumn("top", top)
+    return scored.groupBy("life_saving_rule").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("top") == F.col("life_saving_rule")).alias("correct"))
+
+
+@query("save_load_model", "SELECT count(*) AS n, count(*) AS equal_predictions, 2 AS classes FROM embeddings")
+def _(t):
+    path = new_scratch(t.spark, "model")
+    rows = vectors(t)
+    model = M.train_sif(rows)
+    M.save_model(model, t.spark.createDataFrame([(2, "1.0.0")], "classes int, model_version string"), path)
+    loaded, metadata = M.load_model(t.spark, path)
+    before = M.positive_probability(model.transform(rows)).select("vec_id", F.col("p").alias("p0"))
+    after = M.positive_probability(loaded.transform(rows)).select("vec_id", "p")
+    return before.join(after, "vec_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == F.col("p0")).alias("equal_predictions")).withColumn(
+        "classes", metadata.select(F.col("classes").cast("int")).scalar())
+
+
+COEFFICIENTS = r"""words AS (SELECT doc_id, sif_potential, unnest(regexp_split_to_array(lower(narrative_text), '[^\p{L}\p{N}_]+')) AS word FROM narratives),
+tf AS (SELECT doc_id, sif_potential, word, count(*) AS tf FROM words WHERE word <> '' GROUP BY 1, 2, 3),
+coef AS (SELECT word, ln((SELECT count(*) + 1 FROM narratives) / CAST(count(*) + 1 AS DOUBLE)) AS idf,
+  (count(*) FILTER (WHERE sif_potential = 'Yes') - count(*) FILTER (WHERE sif_potential = 'No')) / CAST(count(*) AS DOUBLE) AS beta FROM tf GROUP BY 1)"""
+
+
+@query("explain_terms", f"""
+WITH {COEFFICIENTS}, w AS (SELECT doc_id, word, round_even(tf * idf * beta, 6) AS weight FROM tf JOIN coef USING (word))
+SELECT doc_id, rank, word, weight FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY abs(weight) DESC, word) AS INT) AS rank FROM w) WHERE rank <= 6""",
+       ("narratives",))
+def _(t):
+    """Coefficients from document counts of the labels, as a stand-in for a fitted model."""
+    tf = M.term_frequencies(t.narratives, "doc_id", "narrative_text").join(
+        t.narratives.select("doc_id", "sif_potential"), "doc_id")
+    documents = t.narratives.agg(F.count(F.lit(1)) + 1).scalar()
+    df = F.count(F.lit(1))
+    gap = F.count_if(F.col("sif_potential") == "Yes") - F.count_if(F.col("sif_potential") == "No")
+    coefficients = tf.groupBy("word").agg(df.alias("df"), gap.alias("gap")).select(
+        "word", F.ln(documents / (F.col("df") + 1)).alias("idf"), (F.col("gap") / F.col("df")).alias("beta"))
+    return M.explain_terms(t.narratives, coefficients)
+
+
+def with_split(t: Tables):
+    """Vectors in train, validation and test by hash order."""
+    digit = F.conv(F.substring(order_hash(F.col("vec_id").cast("string"), 42), 1, 2), 16, 10).cast("int")
+    return vectors(t).withColumn("split", F.when(digit < 154, "train").when(digit < 205, "validation").otherwise("test"))
+
+
+@query("evaluate_model")
+def _(t):
+    """One evaluated and one skipped candidate."""
+    return M.evaluate_candidates(with_split(t), {"embedding_lr": "features", "no_checkpoint": None})

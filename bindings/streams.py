@@ -1 +1,82 @@
+"""Streams over folders of report files made from the orders, compared with batch results."""
 
+from pyspark.sql import functions as F
+
+from bindings.evaluate import CONDITIONAL, LABEL, RECURRENCE, REPORT_RANKED, SHARE, _risk_sql
+from bindings.registry import query
+from bindings.reports import LIVE
+from bindings.views import Tables
+from narrascope.operators.reporting import recurrence_table
+from narrascope.plans.scoring import score_reports
+from narrascope.session import new_scratch, written
+from narrascope.streaming import jobs
+
+TRIAGED = f"""triaged AS (SELECT r.report_id, r.id, {LABEL} AS sif_potential, d.life_saving_rule, {_risk_sql('d.life_saving_rule', SHARE)} AS risk_score
+  FROM reports r JOIN decided d USING (id)
+  LEFT JOIN recurrence c ON r.site = c.site AND r.activity = c.activity AND d.life_saving_rule = c.life_saving_rule)"""
+SCORED_VIEWS = ("reports", "report_p", "report_classes")
+
+
+def _folder(df, t: Tables, label: str, partitions: int = 4) -> str:
+    path = new_scratch(t.spark, label)
+    df.repartition(partitions).write.parquet(path)
+    return path
+
+
+def _triage(t: Tables) -> tuple[str, str]:
+    source = t.scored_reports
+    recurrence = written(recurrence_table(t.reports), "recurrence")
+    stream = jobs.stream_folder(t.spark, _folder(source, t, "reports-in"), source.schema, files_per_trigger=2)
+    log, audit = new_scratch(t.spark, "reports-log"), new_scratch(t.spark, "audit-log")
+    run = jobs.triage(stream, lambda batch: score_reports(batch, recurrence), log, audit, new_scratch(t.spark, "checkpoint"))
+    run.awaitTermination()
+    return log, audit
+
+
+@query("stream_triage", f"""
+WITH {REPORT_RANKED}, {RECURRENCE}, decided AS ({CONDITIONAL}), {TRIAGED}
+SELECT report_id, sif_potential, life_saving_rule, risk_score, CASE WHEN sif_potential = 'Yes' AND risk_score >= 70 THEN 1 ELSE 0 END AS critical FROM triaged""",
+       SCORED_VIEWS)
+def _(t):
+    log, _audit = _triage(t)
+    return jobs.current(t.spark, log, "report_id", "id").select(
+        "report_id", "sif_potential", "life_saving_rule", "risk_score", "critical")
+
+
+@query("stream_triage_audit", f"""
+WITH {REPORT_RANKED}, {RECURRENCE}, decided AS ({CONDITIONAL}), {TRIAGED}
+SELECT 'critical_flag_raised' AS action, report_id AS target_id, concat('sif_potential=Yes risk_score=', CAST(risk_score AS VARCHAR)) AS new_value
+FROM triaged WHERE sif_potential = 'Yes' AND risk_score >= 70""", SCORED_VIEWS)
+def _(t):
+    _log, audit = _triage(t)
+    return t.spark.read.parquet(audit).select("action", "target_id", "new_value")
+
+
+def _versions(t: Tables):
+    """Two versions of every report: as submitted, then as it stands now."""
+    now = t.reports.withColumn("version", F.col("id") * 2 + 1)
+    first = t.reports.withColumns({"version": F.col("id") * 2, "status": F.lit(""), "life_saving_rule": F.lit("N/A")})
+    return first.unionByName(now)
+
+
+@query("stream_dashboard", f"""
+SELECT tile, value, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT 'status' AS tile, coalesce(nullif(status, ''), 'Submitted') AS value, 1 AS n FROM reports WHERE {LIVE}
+  UNION ALL SELECT 'site', site, 1 FROM reports WHERE {LIVE} UNION ALL SELECT 'life_saving_rule', life_saving_rule, 1 FROM reports WHERE {LIVE}) GROUP BY 1, 2""", ("reports",))
+def _(t):
+    source = _versions(t)
+    stream = jobs.stream_folder(t.spark, _folder(source, t, "versions-in"), source.schema, files_per_trigger=1)
+    log, folded = new_scratch(t.spark, "dashboard-log"), new_scratch(t.spark, "dashboard-folded")
+    jobs.dashboard_deltas(stream, log, new_scratch(t.spark, "checkpoint")).awaitTermination()
+    jobs.compact(t.spark, log, folded, "report_id", "version")
+    return jobs.live_counts(jobs.current(t.spark, folded, "report_id", "version"))
+
+
+@query("stream_lifecycle", """
+SELECT target_type, target_id, max_by(new_value, id) AS status, max(id) AS last_id, count(*) AS changes FROM audit_log GROUP BY 1, 2""", ("audit_log",))
+def _(t):
+    source = t.audit_log
+    stream = jobs.stream_folder(t.spark, _folder(source, t, "audit-in"), source.schema, files_per_trigger=2)
+    log = new_scratch(t.spark, "lifecycle-log")
+    jobs.lifecycle(stream, log, new_scratch(t.spark, "checkpoint")).awaitTermination()
+    return jobs.current_status(t.spark, log)

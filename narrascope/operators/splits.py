@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from narrascope.operators.skew import hot_only, left_lookup
 from narrascope.schemas import SPLIT_SHARE
+from narrascope.session import written
 
 # hex digits of the order hash that name a block: 16^4 blocks of near equal size
 PREFIX = 4
@@ -45,11 +46,13 @@ def split_units(df: DataFrame, group: str = "is_duplicate_group_id", row_id: str
     rest is train.
     """
     unit = split_unit(group, row_id)
-    units = df.groupBy(unit.alias("unit")).agg(
+    grouped = df.groupBy(unit.alias("unit")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.max((F.col(group) == 0) & ~F.col(synthetic)).alias("candidate"),
     ).withColumn("hash", order_hash(F.col("unit"), seed))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # the running sums read the units several times; their input is read once
+    units = written(grouped, "split-units")
+    total = units.agg(F.sum("rows")).scalar()
     target = F.bround(total * F.lit(share)).cast("bigint")
 
     pool = _running(units.withColumn("_pool", F.col("candidate").cast("bigint")), "_pool", "_taken")
@@ -70,8 +73,8 @@ def group_split(df: DataFrame, group: str = "is_duplicate_group_id", row_id: str
                 synthetic: str = "is_synthetic", seed: int = 42,
                 share: float = SPLIT_SHARE) -> DataFrame:
     """The input with a `split` column; members of a duplicate group stay together."""
-    units = split_units(df, group, row_id, synthetic, seed, share)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    units = written(split_units(df, group, row_id, synthetic, seed, share), "split-of-unit")
+    total = units.agg(F.sum("rows")).scalar()
     hot = hot_only(units, total, "rows").select("unit")
     keyed = df.withColumn("unit", split_unit(group, row_id))
     return left_lookup(keyed, units.select("unit", "split"), ["unit"], F.col(row_id), hot=hot)
