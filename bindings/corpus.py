@@ -215,7 +215,7 @@ def _(t):
                            "source_record_id").select("doc_id", "source_record_id")
 
 
-@query("fallback_ids", """
+@query("phmsa_fallback_id", """
 SELECT event_id, CASE WHEN event_type = 'error' THEN concat('phmsa_', CAST(row_number() OVER (ORDER BY event_id) - 1 AS VARCHAR)) ELSE CAST(user_id AS VARCHAR) END AS record FROM events""")
 def _(t):
     known = F.when(F.col("event_type") != "error", F.col("user_id").cast("string"))

@@ -42,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     named = tempfile.mkdtemp(prefix="narrascope-")
     spark.conf.set(CHECKPOINT_KEY, named)
