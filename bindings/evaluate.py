@@ -10,6 +10,7 @@ from narrascope.operators.quality import class_weights, top_classes
 from narrascope.operators.reporting import recurrence_table
 from narrascope.plans.scoring import score_reports, with_recurrence
 from narrascope.schemas import RULES
+from narrascope.session import local_table
 
 S, L = ("scored",), ("class_long",)
 
@@ -239,7 +240,7 @@ def predicted(t: Tables):
 
 
 def all_rules(t: Tables):
-    return t.spark.createDataFrame([(r,) for r in RULES], "rule string")
+    return local_table(t.spark, [(r,) for r in RULES], "rule string")
 
 
 @query("class_report", f"""
@@ -382,8 +383,8 @@ def _(t):
         return E.binary_metrics(scored, 0.5).select(F.lit(name).alias("model_id"), "precision", "recall")
 
     results = row("first", t.scored).unionByName(row("second", t.scored.withColumn("p", 1.0 - F.col("p"))))
-    skipped = t.spark.createDataFrame([("third", "no qualifying checkpoint")], "model_id string, skip_reason string")
-    registry = t.spark.createDataFrame([("first", "in_production"), ("fourth", "candidate")], "model_id string, status string")
+    skipped = local_table(t.spark, [("third", "no qualifying checkpoint")], "model_id string, skip_reason string")
+    registry = local_table(t.spark, [("first", "in_production"), ("fourth", "candidate")], "model_id string, status string")
     return E.model_comparison(results, skipped, registry)
 
 

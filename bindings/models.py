@@ -9,7 +9,7 @@ from narrascope.operators.quality import class_weights
 from narrascope.operators.splits import order_hash
 from narrascope.plans import models as M
 from narrascope.schemas import RULES
-from narrascope.session import new_scratch
+from narrascope.session import local_table, new_scratch, written
 
 
 def vectors(t: Tables):
@@ -88,7 +88,7 @@ def _(t):
     path = new_scratch(t.spark, "model")
     rows = vectors(t)
     model = M.train_sif(rows)
-    M.save_model(model, t.spark.createDataFrame([(2, "1.0.0")], "classes int, model_version string"), path)
+    M.save_model(model, local_table(t.spark, [(2, "1.0.0")], "classes int, model_version string"), path)
     loaded, metadata = M.load_model(t.spark, path)
     before = M.positive_probability(model.transform(rows)).select("vec_id", F.col("p").alias("p0"))
     after = M.positive_probability(loaded.transform(rows)).select("vec_id", "p")
@@ -116,7 +116,7 @@ def _(t):
     gap = F.count_if(F.col("sif_potential") == "Yes") - F.count_if(F.col("sif_potential") == "No")
     coefficients = tf.groupBy("word").agg(df.alias("df"), gap.alias("gap")).select(
         "word", F.ln(documents / (F.col("df") + 1)).alias("idf"), (F.col("gap") / F.col("df")).alias("beta"))
-    return M.explain_terms(t.narratives, coefficients)
+    return M.explain_terms(t.narratives, written(coefficients, "coefficients"))
 
 
 def with_split(t: Tables):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ LOW_CONFIDENCE = "top-class confidence %.3f < threshold {confidence:.2f}"
 LOW_GAP = "confidence gap %.3f < ambiguity margin {margin:.2f} (%s vs %s)"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value evaluated once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
@@ -104,43 +110,51 @@ def rule_contract(probs: Column, confidence: float = RULE_CONFIDENCE, margin: fl
     def decide(ranked: Column) -> Column:
         top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
         gap = top["p"] - F.coalesce(second["p"], F.lit(0.0))
-        reasons = F.array_compact(F.array(
-            F.when(top["p"] < confidence,
-                   F.format_string(LOW_CONFIDENCE.format(confidence=confidence), top["p"])),
-            F.when(gap < margin,
-                   F.format_string(LOW_GAP.format(margin=margin), gap,
-                                   _quoted(top["rule"]), _quoted(second["rule"]))),
-        ))
-        review = F.size(reasons) > 0
+        unsure, close = top["p"] < confidence, gap < margin
+        review = unsure | close
+        reason = F.concat_ws(
+            "; ",
+            F.when(unsure, F.format_string(LOW_CONFIDENCE.format(confidence=confidence), top["p"])),
+            F.when(close, F.format_string(LOW_GAP.format(margin=margin), gap,
+                                          _quoted(top["rule"]), _quoted(second["rule"]))))
         return F.struct(
             F.when(review, NEEDS_REVIEW).otherwise(top["rule"]).alias("rule_prediction"),
             F.bround(top["p"], 6).alias("confidence"),
             second["rule"].alias("runner_up_rule"),
             F.bround(second["p"], 6).alias("runner_up_confidence"),
             review.alias("needs_review"),
-            F.when(review, F.array_join(reasons, "; ")).alias("review_reason"),
+            F.when(review, reason).alias("review_reason"),
             top["rule"].alias("top_rule"),
             F.lit(model_name).alias("model_name"),
             F.lit(model_version).alias("model_version"),
         )
 
-    # the one-element array binds the sorted classes once per row
-    return F.transform(F.array(ranked_classes(probs)), decide)[0]
+    return bound(ranked_classes(probs), decide)
 
 
 def conditional_rule(sif: Column, contract: Column) -> Column:
     """The rule decision where SIF is not a confident No, defaults elsewhere."""
     evaluated = sif.isin("Yes", NEEDS_REVIEW)
-    return F.struct(
-        F.when(evaluated, contract["rule_prediction"]).otherwise(NOT_EVALUATED).alias("life_saving_rule"),
-        F.when(evaluated, F.bround(contract["confidence"], 4)).otherwise(0.0).alias("rule_confidence"),
-        F.coalesce(evaluated & contract["needs_review"], F.lit(False)).alias("rule_needs_review"),
-        F.when(evaluated, contract["review_reason"]).alias("rule_review_reason"),
-        F.when(evaluated, contract["runner_up_rule"]).alias("rule_runner_up"),
-        F.when(evaluated, contract["runner_up_confidence"]).alias("rule_runner_up_confidence"),
-        F.when(evaluated, contract["model_name"]).alias("rule_model_name"),
-        F.when(evaluated, contract["model_version"]).alias("rule_model_version"),
-    )
+    defaults = {"life_saving_rule": NOT_EVALUATED, "rule_confidence": 0.0, "rule_needs_review": False}
+
+    def fields(c: Column) -> Column:
+        return F.struct(
+            c["rule_prediction"].alias("life_saving_rule"),
+            F.bround(c["confidence"], 4).alias("rule_confidence"),
+            c["needs_review"].alias("rule_needs_review"),
+            c["review_reason"].alias("rule_review_reason"),
+            c["runner_up_rule"].alias("rule_runner_up"),
+            c["runner_up_confidence"].alias("rule_runner_up_confidence"),
+            c["model_name"].alias("rule_model_name"),
+            c["model_version"].alias("rule_model_version"))
+
+    texts = ("rule_review_reason", "rule_runner_up", "rule_model_name", "rule_model_version")
+    skipped = F.struct(
+        *[F.lit(defaults[name]).alias(name) for name in ("life_saving_rule", "rule_confidence", "rule_needs_review")],
+        *[F.lit(None).cast("string").alias(name) for name in texts[:2]],
+        F.lit(None).cast("double").alias("rule_runner_up_confidence"),
+        *[F.lit(None).cast("string").alias(name) for name in texts[2:]])
+    return F.when(evaluated, bound(contract, fields)).otherwise(skipped)
 
 
 def severity_of(rule: Column, severities: dict[str, float] | None = None) -> Column:

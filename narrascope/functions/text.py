@@ -18,20 +18,33 @@ NULL_WORDS = ("", "nan", "none")
 # fixed values: e-mail and phone patterns
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = (
-    r"(?U)(?<!\d)(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{2,4}\)?[-.\s]?)\d{3,4}[-.\s]?\d{3,4}(?!\d)"
+    r"(?<!\p{Nd})(?:\+?\p{Nd}{1,3}[-.\s]?)?(?:\(?\p{Nd}{2,4}\)?[-.\s]?)\p{Nd}{3,4}[-.\s]?\p{Nd}{3,4}(?!\p{Nd})"
 )
 # fixed values: words of an oil, gas or hazmat domain
 DOMAIN_WORDS = ("oil", "gas", "hazmat", "pipeline")
 HTML_TAG = r"<[^>]+>"
 
+# the same characters for a regular expression; possessive, so scans stay linear
+_BLANKS = r"[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + r"]*+"
+# a phone number starts with one of these: most positions fail on one character
+_PHONE_START = r"(?=[+(\p{Nd}])"
+
 
 def strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(WHITESPACE))
+    """Without surrounding blanks; texts that have none are passed through untouched."""
+    first, last = F.substring(value, 1, 1), F.substring(value, -1, 1)
+    padded = first.isin(*WHITESPACE) | last.isin(*WHITESPACE)
+    return F.when(padded, F.btrim(value, F.lit(WHITESPACE))).otherwise(value)
+
+
+def _only(value: Column, words: str) -> Column:
+    """Whether the stripped value matches an expression; long texts fail at their first letter."""
+    return value.rlike(rf"\A{_BLANKS}{words}{_BLANKS}\z")
 
 
 def is_blank(value: Column) -> Column:
     """Null, empty, or a spelled-out null."""
-    return F.coalesce(F.lower(strip(value)).isin(*NULL_WORDS), F.lit(True))
+    return F.coalesce(_only(value, f"(?i:{'|'.join(filter(None, NULL_WORDS))})?"), F.lit(True))
 
 
 def unknown_if_blank(value: Column) -> Column:
@@ -91,15 +104,14 @@ def normalize_text(value: Column) -> Column:
 
 
 def is_malformed(value: Column) -> Column:
-    """Missing, UNKNOWN or shorter than five characters."""
-    text = F.coalesce(strip(value), F.lit(""))
-    return (F.length(text) < 5) | (F.upper(text) == UNKNOWN)
+    """Missing, UNKNOWN or shorter than five characters without surrounding blanks."""
+    return F.coalesce(_only(value, f"(?:(?i:{UNKNOWN})|(?s:.{{0,4}}))"), F.lit(True))
 
 
 def has_pii(value: Column) -> Column:
     """An e-mail address or a phone number occurs; the `@` test spares most e-mail scans."""
     email = F.contains(value, F.lit("@")) & value.rlike(EMAIL)
-    return F.coalesce(email | value.rlike(PHONE), F.lit(False))
+    return F.coalesce(email | value.rlike(_PHONE_START + PHONE), F.lit(False))
 
 
 def parse_bool(value: Column) -> Column:
@@ -116,8 +128,7 @@ def domain_relevant(domain: Column) -> Column:
 
 def usable_text(value: Column) -> Column:
     """Neither blank nor the UNKNOWN sentinel."""
-    text = F.coalesce(strip(value), F.lit(""))
-    return (text != "") & (F.upper(text) != UNKNOWN)
+    return ~F.coalesce(_only(value, f"(?i:{UNKNOWN})?"), F.lit(True))
 
 
 def render_unknown(value: Column) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.functions.contracts import bound
 from narrascope.functions.text import strip, usable_text
 from narrascope.schemas import EVIDENCE_FIELDS, UNKNOWN
 
 # letters whose lower case is not one equal-length letter, or that match others ignoring case
-FOLDING = "[İıſ]"
+FOLDING = ("İ", "ı", "ſ")
+NO_HITS = "array<struct<category:string,phrase:string,at:int>>"
 
 Vocabulary = dict[str, list[tuple[str, list[str]]]]
 
@@ -58,28 +63,41 @@ def _pattern(phrase: Column) -> Column:
     return F.concat(F.lit("(?iu)\\Q"), phrase, F.lit("\\E"))
 
 
-def _hits(text: Column, categories: list[tuple[str, list[str]]]) -> Column:
+def _folds(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(letter)) for letter in FOLDING])
+
+
+def _search(categories: list[tuple[str, list[str]]], present: Callable[[Column], Column],
+            position: Callable[[Column], Column]) -> Column:
     """array<struct<category, phrase, at>> with one entry per category that occurs.
 
     The phrase is the category's first in vocabulary order that occurs, and
-    `at` its 1-based first position. The text is lowered once per row; texts
-    with letters that fold unusually take the slower regular-expression route.
+    `at` its 1-based first position.
     """
-    vocabulary = _literal(categories)
+    def first(entry: Column) -> Column:
+        return bound(F.get(F.filter(entry["phrases"], present), F.lit(0)), lambda found: F.struct(
+            entry["category"].alias("category"), found["phrase"].alias("phrase"), position(found).alias("at")))
+
+    return F.filter(F.transform(_literal(categories), first), lambda hit: hit["phrase"].isNotNull())
 
-    def search(present, position):
-        def first(entry: Column) -> Column:
-            found = F.get(F.filter(entry["phrases"], present), F.lit(0))
-            return F.struct(entry["category"].alias("category"), found["phrase"].alias("phrase"),
-                            position(found).alias("at"))
 
-        return F.filter(F.transform(vocabulary, first), lambda hit: hit["phrase"].isNotNull())
+def _all_hits(text: Column, wanted: dict[str, Column], vocabulary: Vocabulary) -> Column:
+    """struct<field: hits> for the fields that are wanted on the row.
 
-    plain = F.transform(F.array(F.lower(text)), lambda low: search(
-        lambda p: F.contains(low, p["lowered"]), lambda p: F.instr(low, p["lowered"])))[0]
-    folded = search(lambda p: F.regexp_like(text, _pattern(p["phrase"])),
-                    lambda p: F.regexp_instr(text, _pattern(p["phrase"])))
-    return F.when(text.rlike(FOLDING), folded).otherwise(plain)
+    The text is lowered once per row for all fields; texts with letters that
+    fold unusually take the slower regular-expression route.
+    """
+    nothing = F.array().cast(NO_HITS)
+
+    def every(present, position) -> Column:
+        return F.struct(*[F.when(open_field, _search(vocabulary[field], present, position))
+                          .otherwise(nothing).alias(field) for field, open_field in wanted.items()])
+
+    plain = bound(F.lower(text), lambda low: every(
+        lambda p: F.contains(low, p["lowered"]), lambda p: F.instr(low, p["lowered"])))
+    folded = every(lambda p: F.regexp_like(text, _pattern(p["phrase"])),
+                   lambda p: F.regexp_instr(text, _pattern(p["phrase"])))
+    return F.when(_folds(text), folded).otherwise(plain)
 
 
 def _span(text: Column, hit: Column) -> Column:
@@ -102,15 +120,14 @@ def extract_evidence(df: DataFrame, vocabulary: Vocabulary, text: str = "narrati
     _evidence_end and _status. One narrow pass: no shuffle, no UDF.
     """
     body = F.col(text)
-    usable = usable_text(body)
-    plan = df
-    for field in fields:
-        value = strip(F.coalesce(F.col(field), F.lit("")))
-        open_field = (value == "") | (value == UNKNOWN)
-        searched = F.when(usable & open_field, _hits(body, vocabulary[field]))
-        plan = plan.withColumn(f"_{field}_hits", F.coalesce(
-            searched, F.array().cast("array<struct<category:string,phrase:string,at:int>>")))
-        plan = plan.withColumn(f"{field}_status", _status(open_field, usable, F.col(f"_{field}_hits")))
+    values = {field: strip(F.coalesce(F.col(field), F.lit(""))) for field in fields}
+    plan = df.withColumn("_usable", usable_text(body)).withColumns(
+        {f"_{field}_open": (value == "") | (value == UNKNOWN) for field, value in values.items()})
+    wanted = {field: F.col("_usable") & F.col(f"_{field}_open") for field in fields}
+    plan = plan.withColumn("_hits", _all_hits(body, wanted, vocabulary))
+    plan = plan.withColumns({f"_{field}_hits": F.col(f"_hits.{field}") for field in fields})
+    plan = plan.withColumns({f"{field}_status": _status(
+        F.col(f"_{field}_open"), F.col("_usable"), F.col(f"_{field}_hits")) for field in fields})
     for field in fields:
         hit = F.get(F.col(f"_{field}_hits"), F.lit(0))
         matched = F.col(f"{field}_status") == "matched"
@@ -120,6 +137,7 @@ def extract_evidence(df: DataFrame, vocabulary: Vocabulary, text: str = "narrati
             f"{field}_evidence_span": F.when(matched, _span(body, hit)),
             f"{field}_evidence_start": start,
             f"{field}_evidence_end": start + F.length(hit["phrase"])})
+    plan = plan.drop("_hits", "_usable", *[f"_{field}_open" for field in fields])
     return plan if keep_hits else plan.drop(*[f"_{field}_hits" for field in fields])
 
 
@@ -152,10 +170,9 @@ def vocabulary_matches(df: DataFrame, vocabulary: Vocabulary, row_id: str = "rec
                  F.lit(phrase.lower()).alias("lowered"))
         for field, categories in vocabulary.items() for category, phrases in categories for phrase in phrases])
     body = F.col(text)
-    plain = F.transform(F.array(F.lower(body)), lambda low: F.filter(
-        entries, lambda e: F.contains(low, e["lowered"])))[0]
+    plain = bound(F.lower(body), lambda low: F.filter(entries, lambda e: F.contains(low, e["lowered"])))
     folded = F.filter(entries, lambda e: F.regexp_like(body, _pattern(e["phrase"])))
-    found = F.when(body.rlike(FOLDING), folded).otherwise(plain)
+    found = F.when(_folds(body), folded).otherwise(plain)
     return df.filter(usable_text(body)).select(row_id, F.explode(found).alias("m")).select(
         row_id, "m.field", "m.category", "m.phrase")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -64,3 +67,12 @@ def written(df, label: str):
     path = new_scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str):
+    """A small fixed table as a local relation: no Python job reads it later."""
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    table = pa.table([pa.array(list(values), to_arrow_type(field.dataType)) for values, field in zip(columns, fields)],
+                     names=fields.names)
+    return spark.createDataFrame(table, fields)

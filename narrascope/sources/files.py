@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.schemas import strings
+from narrascope.session import local_table
 
 FALLBACK_ENCODING = "ISO-8859-1"
 FILE = "_file"
@@ -79,7 +80,7 @@ def scan_drifting_dir(spark: SparkSession, paths: list[str], required: list[str]
             continue
         part = _read_group(spark, files, names, encoding, multiline)
         result = part if result is None else result.unionByName(part, allowMissingColumns=True)
-    report = spark.createDataFrame(lacking, "file string, missing array<string>")
+    report = local_table(spark, lacking, "file string, missing array<string>")
     return result, report
 
 

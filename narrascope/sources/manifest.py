@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.operators.quality import drop_empty
-from narrascope.schemas import MANIFEST, MANIFEST_COLUMNS, NOT_EVALUATED
+from narrascope.schemas import MANIFEST_COLUMNS, NOT_EVALUATED
+from narrascope.session import local_table
 from narrascope.sources.mapping import Mapper, Provenance, union_sources
 
 SUMMARY = "dataset string, skipped boolean, reason string"
@@ -18,8 +19,9 @@ SUMMARY = "dataset string, skipped boolean, reason string"
 def build_manifest(spark: SparkSession, entries: list[Mapping[str, str]],
                    sources: Mapping[str, DataFrame]) -> DataFrame:
     """One provenance row per source; row counts come from the sources themselves."""
-    rows = spark.createDataFrame(
-        [tuple(entry.get(name) for name in MANIFEST_COLUMNS) for entry in entries], MANIFEST)
+    rows = local_table(
+        spark, [tuple(entry.get(name) for name in MANIFEST_COLUMNS) for entry in entries],
+        ", ".join(f"{name} string" for name in MANIFEST_COLUMNS))
     counted = None
     for name, source in sources.items():
         part = source.agg(F.count(F.lit(1)).cast("string").alias("_n")).select(
@@ -69,7 +71,7 @@ def ingest(spark: SparkSession, manifest: DataFrame, readers: Mapping[str, Calla
             provenance = Provenance(name, row["source_organization"], row["source_url"], row["source_type_value"])
             parts.append(mappers[name](kept, provenance, ingestion_date))
 
-    summary = spark.createDataFrame(notes, SUMMARY)
+    summary = local_table(spark, notes, SUMMARY)
     master = union_sources(parts) if parts else None
     if master is None:
         counts = summary.select("dataset", F.lit(0).cast("bigint").alias("rows_read"),

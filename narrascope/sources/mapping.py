@@ -13,6 +13,7 @@ from narrascope.functions.text import (
 )
 from narrascope.operators.identity import dedupe_ids, fallback_ids, row_index_ids
 from narrascope.schemas import MASTER_COLUMNS, SCHEMA_VERSION, UNKNOWN
+from narrascope.session import local_table
 from narrascope.sources.term_maps import RISK_OF_LEVEL, SERIOUS_LEVELS
 
 POSITION = "_position"
@@ -189,7 +190,7 @@ def real_to_seed(df: DataFrame, rules: DataFrame) -> DataFrame:
 
 def rule_table(spark, terms: Mapping[str, str], key: str = "critical_risk", value: str = "rule") -> DataFrame:
     """A fixed term table as a DataFrame."""
-    return spark.createDataFrame(list(terms.items()), f"{key} string, {value} string")
+    return local_table(spark, list(terms.items()), f"{key} string, {value} string")
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from narrascope.functions.text import normalize_code, strip, strip_html
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import NOT_EVALUATED, TAXONOMY_JSON, UNMAPPED
+from narrascope.session import local_table
 from narrascope.sources import term_maps
 
 
@@ -128,4 +129,4 @@ def known_terms(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     rows = [(datasets[source], column, term, rule)
             for source, tables in columns.items() if source in datasets
             for column, terms in tables for term, rule in terms.items()]
-    return spark.createDataFrame(rows, "source_dataset string, column_name string, term string, rule_id string")
+    return local_table(spark, rows, "source_dataset string, column_name string, term string, rule_id string")
