@@ -14,15 +14,15 @@ from narrascope.schemas import (
 )
 
 # fixed values: wording of the reasons shown to reviewers
-BELOW = "P(Yes)=%.3f below low threshold {low} -> No"
-ABOVE = "P(Yes)=%.3f at/above high threshold {high} -> Yes"
+BELOW = "P(Yes)=%s below low threshold {low} -> No"
+ABOVE = "P(Yes)=%s at/above high threshold {high} -> Yes"
 BETWEEN = (
-    "P(Yes)=%.3f between thresholds [{low}, {high}) -> NEEDS_REVIEW "
+    "P(Yes)=%s between thresholds [{low}, {high}) -> NEEDS_REVIEW "
     "(Phase 11 found this range unreliable on real narratives)"
 )
 PHRASE = "contributing phrase '%s' (%s, weight=%.3f)"
-LOW_CONFIDENCE = "top-class confidence %.3f < threshold {confidence:.2f}"
-LOW_GAP = "confidence gap %.3f < ambiguity margin {margin:.2f} (%s vs %s)"
+LOW_CONFIDENCE = "top-class confidence %s < threshold {confidence:.2f}"
+LOW_GAP = "confidence gap %s < ambiguity margin {margin:.2f} (%s vs %s)"
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -30,6 +30,20 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def three_places(value: Column) -> Column:
+    """A non-negative number with three decimals; much cheaper than a format string."""
+    return value.cast("decimal(18,3)").cast("string")
+
+
+def fill(form: str, *values: Column) -> Column:
+    """`form` with each %s replaced by the next value."""
+    head, *tails = form.split("%s")
+    parts = [F.lit(head)]
+    for value, tail in zip(values, tails, strict=True):
+        parts += [value, F.lit(tail)]
+    return F.concat(*parts)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
@@ -53,7 +67,7 @@ def sif_label(p: Column, low: float = SIF_LOW, high: float = SIF_HIGH) -> Column
 
 def band_reason(p: Column, low: float = SIF_LOW, high: float = SIF_HIGH) -> Column:
     def text(form: str) -> Column:
-        return F.format_string(form.format(low=low, high=high), p)
+        return fill(form.format(low=low, high=high), three_places(p))
 
     return F.when(p < low, text(BELOW)).when(p >= high, text(ABOVE)).otherwise(text(BETWEEN))
 
@@ -114,9 +128,9 @@ def rule_contract(probs: Column, confidence: float = RULE_CONFIDENCE, margin: fl
         review = unsure | close
         reason = F.concat_ws(
             "; ",
-            F.when(unsure, F.format_string(LOW_CONFIDENCE.format(confidence=confidence), top["p"])),
-            F.when(close, F.format_string(LOW_GAP.format(margin=margin), gap,
-                                          _quoted(top["rule"]), _quoted(second["rule"]))))
+            F.when(unsure, fill(LOW_CONFIDENCE.format(confidence=confidence), three_places(top["p"]))),
+            F.when(close, fill(LOW_GAP.format(margin=margin), three_places(gap),
+                               _quoted(top["rule"]), _quoted(second["rule"]))))
         return F.struct(
             F.when(review, NEEDS_REVIEW).otherwise(top["rule"]).alias("rule_prediction"),
             F.bround(top["p"], 6).alias("confidence"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from narrascope.functions.text import has_pii, is_malformed, normalize_text
 from narrascope.operators.ordering import dense_index
 from narrascope.operators.skew import hot_only, left_lookup
+from narrascope.session import written
 
 
 def _keyed(df: DataFrame, dataset: str, text: str, row_id: str) -> DataFrame:
@@ -22,18 +23,17 @@ def duplicate_groups(df: DataFrame, dataset: str = "source_dataset", text: str =
                      row_id: str = "record_id") -> DataFrame:
     """(row id, group id): 0 for single rows, 1..N for groups in key order.
 
-    Only groups with several members are numbered, so the global order touches
-    one row per group.
+    Texts are normalised once, into a narrow written table of keys. Only groups
+    with several members are numbered, so the global order touches one row per
+    group.
     """
-    keyed = _keyed(df, dataset, text, row_id)
+    keyed = written(_keyed(df, dataset, text, row_id), "dup-keys")
     counts = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_id").alias("sample_id"))
     multi = counts.filter("n > 1")
-    names = df.select(
-        F.col(row_id).alias("sample_id"), F.col(dataset).alias("dataset"),
-        F.coalesce(normalize_text(F.col(text)), F.lit("")).alias("norm"))
-    named = multi.join(names, "sample_id").select(
-        "key", "n", F.concat_ws("||", "dataset", "norm").alias("order_key"))
+    texts = df.select(F.col(row_id).alias("sample_id"), F.col(dataset).alias("dataset"), F.col(text).alias("text"))
+    norm = F.coalesce(normalize_text(F.col("text")), F.lit(""))
+    named = multi.join(texts, "sample_id").select("key", "n", F.concat_ws("||", "dataset", norm).alias("order_key"))
     numbered = dense_index(named, [F.col("order_key")], "group_id", "dup-groups").select(
         "key", "n", F.col("group_id").cast("int").alias("group_id"))
     total = keyed.agg(F.count(F.lit(1))).scalar()

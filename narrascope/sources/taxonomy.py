@@ -63,13 +63,13 @@ def require_taxonomy(expected: DataFrame, actual: DataFrame, name: str = "rule")
 def distinct_terms(df: DataFrame, dataset: Column, columns: list[str], html: bool = False) -> DataFrame:
     """Distinct non-blank values of several columns, whole numbers without fraction.
 
-    One scan: the columns are stacked and one grouping covers them all.
+    One scan and one grouping cover all columns; only the distinct raw values
+    are cleaned, which may make more of them equal.
     """
-    texts = [F.struct(F.lit(name).alias("column_name"),
-                      (strip_html if html else strip)(F.col(f"`{name}`").cast("string")).alias("term"))
-             for name in columns]
-    long = df.select(dataset.alias("source_dataset"), F.explode(F.array(*texts)).alias("t"))
-    terms = long.select("source_dataset", "t.column_name", normalize_code(F.col("t.term")).alias("source_term"))
+    raw = df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in columns]).unpivot(
+        [], [F.col(f"`{name}`") for name in columns], "column_name", "raw").distinct()
+    clean = (strip_html if html else strip)(F.col("raw"))
+    terms = raw.select(dataset.alias("source_dataset"), "column_name", normalize_code(clean).alias("source_term"))
     kept = terms.filter((F.col("source_term") != "") & (F.lower("source_term") != "nan"))
     return kept.distinct()
 
