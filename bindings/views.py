@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.functions.text import WHITESPACE
+from narrascope.operators.skew import spread
 from narrascope.schemas import RULE_SEVERITY, RULES
 
 CLASSES = len(RULES)
@@ -95,7 +96,7 @@ class Tables:
     @cached_property
     def narratives(self) -> DataFrame:
         quality = F.col("quality")
-        return self.documents.join(self.labels, "doc_id", "left").select(
+        return spread(self.documents, "doc_id").join(self.labels, "doc_id", "left").select(
             F.concat_ws("__", "source", F.col("doc_id").cast("string")).alias("record_id"), "doc_id",
             F.col("source").alias("source_dataset"), F.col("text").alias("narrative_text"),
             F.col("lang").alias("industry_domain"), (F.col("doc_id") % 3 == 0).alias("is_synthetic"),
@@ -158,19 +159,18 @@ class Tables:
     def scored_reports(self) -> DataFrame:
         """Reports with P(Yes) and class probabilities computed from their order."""
         key, owner = F.col("o_orderkey"), F.col("o_custkey")
-        mass = [F.sqrt((((key * (i + 3) * 31 + owner * (i + 1)) % 97 + 1)
-                        * F.when((owner % CLASSES == i) & (key % 2 == 0), 900).otherwise(1)).cast("double"))
-                for i in range(CLASSES)]
-        total = mass[0]
-        for value in mass[1:]:
-            total = total + value
-        probs = F.array(*[F.struct(F.lit(rule).alias("rule"), (mass[i] / F.col("_s")).alias("p"))
-                          for i, rule in enumerate(RULES)])
-        scores = self.orders.withColumn("_s", total).select(
+        mass = {f"m{i}": F.sqrt((((key * (i + 3) * 31 + owner * (i + 1)) % 97 + 1)
+                                 * F.when((owner % CLASSES == i) & (key % 2 == 0), 900).otherwise(1)).cast("double"))
+                for i in range(CLASSES)}
+        total = reduce(lambda a, b: a + b, [F.col(name) for name in mass])
+        probs = F.array(*[F.struct(F.lit(rule).alias("rule"), (F.col(name) / F.col("s")).alias("p"))
+                          for rule, name in zip(RULES, mass)])
+        scores = spread(self.orders, "o_orderkey").select(
             key.alias("id"), F.least(F.lit(1.0), F.col("o_totalprice") / 400000.0).alias("p"),
-            probs.alias("class_probs"))
+            *[value.alias(name) for name, value in mass.items()]).withColumn("s", total).select(
+            "id", "p", probs.alias("class_probs"))
         kept = self.reports.drop("sif_potential", "life_saving_rule", "risk_score", "critical")
-        return kept.join(scores, "id")
+        return scores.join(kept, "id")
 
 
 def report_id(key) -> "F.Column":

@@ -23,6 +23,7 @@ PHONE = (
 # fixed values: words of an oil, gas or hazmat domain
 DOMAIN_WORDS = ("oil", "gas", "hazmat", "pipeline")
 HTML_TAG = r"<[^>]+>"
+NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 # the same characters for a regular expression; possessive, so scans stay linear
 _BLANKS = r"[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + r"]*+"
@@ -31,20 +32,17 @@ _PHONE_START = r"(?=[+(\p{Nd}])"
 
 
 def strip(value: Column) -> Column:
-    """Without surrounding blanks; texts that have none are passed through untouched."""
-    first, last = F.substring(value, 1, 1), F.substring(value, -1, 1)
-    padded = first.isin(*WHITESPACE) | last.isin(*WHITESPACE)
-    return F.when(padded, F.btrim(value, F.lit(WHITESPACE))).otherwise(value)
+    return F.btrim(value, F.lit(WHITESPACE))
 
 
-def _only(value: Column, words: str) -> Column:
+def matches(value: Column, words: str) -> Column:
     """Whether the stripped value matches an expression; long texts fail at their first letter."""
     return value.rlike(rf"\A{_BLANKS}{words}{_BLANKS}\z")
 
 
 def is_blank(value: Column) -> Column:
     """Null, empty, or a spelled-out null."""
-    return F.coalesce(_only(value, f"(?i:{'|'.join(filter(None, NULL_WORDS))})?"), F.lit(True))
+    return F.coalesce(matches(value, f"(?i:{'|'.join(filter(None, NULL_WORDS))})?"), F.lit(True))
 
 
 def unknown_if_blank(value: Column) -> Column:
@@ -74,23 +72,32 @@ def site_label(place: Column, region: Column) -> Column:
     )
 
 
+def number(text: Column) -> Column:
+    """The number a text spells, or null.
+
+    The pattern comes first because a failed cast raises and catches an
+    exception per row, which costs far more than the test.
+    """
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def normalize_code(value: Column) -> Column:
     """Whole numbers lose their fraction ("71.0" -> "71"); other text is kept."""
     text = strip(value)
-    number = text.try_cast("double")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return F.when(whole, number.cast("bigint").cast("string")).otherwise(text)
+    parsed = number(text)
+    whole = (parsed == F.floor(parsed)) & (F.abs(parsed) < 1e15)
+    return F.when(whole, parsed.cast("bigint").cast("string")).otherwise(text)
 
 
 def integer_text(value: Column) -> Column:
     """A numeric id or age as integer text, UNKNOWN where blank."""
-    number = known(value).try_cast("double")
-    finite = F.abs(number) < 1e15
-    return F.when(finite, number.cast("bigint").cast("string")).otherwise(unknown_if_blank(value))
+    parsed = number(strip(value))
+    return F.when(F.abs(parsed) < 1e15, parsed.cast("bigint").cast("string")).otherwise(unknown_if_blank(value))
 
 
 def decode_sex(value: Column) -> Column:
-    code = known(value).try_cast("double").cast("int")
+    code = number(strip(value))
+    code = F.when(F.abs(code) < 1e9, code.cast("int"))
     return F.when(code == 1, "male").when(code == 2, "female").otherwise(UNKNOWN)
 
 
@@ -105,7 +112,7 @@ def normalize_text(value: Column) -> Column:
 
 def is_malformed(value: Column) -> Column:
     """Missing, UNKNOWN or shorter than five characters without surrounding blanks."""
-    return F.coalesce(_only(value, f"(?:(?i:{UNKNOWN})|(?s:.{{0,4}}))"), F.lit(True))
+    return F.coalesce(matches(value, f"(?:(?i:{UNKNOWN})|(?s:.{{0,4}}))"), F.lit(True))
 
 
 def has_pii(value: Column) -> Column:
@@ -128,7 +135,7 @@ def domain_relevant(domain: Column) -> Column:
 
 def usable_text(value: Column) -> Column:
     """Neither blank nor the UNKNOWN sentinel."""
-    return ~F.coalesce(_only(value, f"(?i:{UNKNOWN})?"), F.lit(True))
+    return ~F.coalesce(matches(value, f"(?i:{UNKNOWN})?"), F.lit(True))
 
 
 def render_unknown(value: Column) -> Column:

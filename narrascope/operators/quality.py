@@ -127,11 +127,12 @@ def nonzero_stats(df: DataFrame, column: str) -> DataFrame:
 
     The exact median keeps one counter per distinct number.
     """
-    number = strip(F.col(column).cast("string")).try_cast("bigint")
-    positive = F.when(number > 0, number)
+    text = strip(F.col(column).cast("string"))
+    parsed = F.when(text.rlike(r"\A[+-]?[0-9]{1,18}\z"), text.try_cast("bigint"))
+    positive = F.when(parsed > 0, parsed)
     return df.agg(
-        F.count(number).alias("parsed"), F.count(positive).alias("positive"),
-        F.count_if(number == 0).alias("zeros"), F.bround(F.avg(positive), 2).alias("mean_nonzero"),
+        F.count(parsed).alias("parsed"), F.count(positive).alias("positive"),
+        F.count_if(parsed == 0).alias("zeros"), F.bround(F.avg(positive), 2).alias("mean_nonzero"),
         F.median(positive).alias("median_nonzero"), F.min(positive).alias("min_nonzero"),
         F.max(positive).alias("max_nonzero"))
 

@@ -61,3 +61,13 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Col
     if small(lookup, limit):
         return rows.join(F.broadcast(lookup), keys, "left")
     return left_lookup(rows, lookup, keys, spread)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than cores, repartitioned for heavy work per row.
+
+    Small files arrive as one or a few tasks; large tables have more splits
+    than cores and are returned unchanged, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

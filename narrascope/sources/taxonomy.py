@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.functions.text import normalize_code, strip, strip_html
+from narrascope.functions.text import matches, normalize_code, number, strip, strip_html
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import NOT_EVALUATED, TAXONOMY_JSON, UNMAPPED
 from narrascope.session import local_table
@@ -63,15 +63,14 @@ def require_taxonomy(expected: DataFrame, actual: DataFrame, name: str = "rule")
 def distinct_terms(df: DataFrame, dataset: Column, columns: list[str], html: bool = False) -> DataFrame:
     """Distinct non-blank values of several columns, whole numbers without fraction.
 
-    One scan and one grouping cover all columns; only the distinct raw values
-    are cleaned, which may make more of them equal.
+    One scan and one grouping cover all columns.
     """
     raw = df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in columns]).unpivot(
-        [], [F.col(f"`{name}`") for name in columns], "column_name", "raw").distinct()
+        [], [F.col(f"`{name}`") for name in columns], "column_name", "raw")
     clean = (strip_html if html else strip)(F.col("raw"))
-    terms = raw.select(dataset.alias("source_dataset"), "column_name", normalize_code(clean).alias("source_term"))
-    kept = terms.filter((F.col("source_term") != "") & (F.lower("source_term") != "nan"))
-    return kept.distinct()
+    kept = raw.filter(F.col("raw").isNotNull() & ~matches(F.col("raw"), "(?i:nan)?"))
+    return kept.select(
+        dataset.alias("source_dataset"), "column_name", normalize_code(clean).alias("source_term")).distinct()
 
 
 def map_terms(terms: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -81,8 +80,8 @@ def map_terms(terms: DataFrame, mapping: DataFrame) -> DataFrame:
     text first, else in its integer form.
     """
     keys = ["source_dataset", "column_name"]
-    number = F.col("source_term").try_cast("double")
-    whole = F.when(F.abs(number) < 1e15, number.cast("bigint").cast("string"))
+    parsed = number(F.col("source_term"))
+    whole = F.when(F.abs(parsed) < 1e15, parsed.cast("bigint").cast("string"))
     spread = F.xxhash64("source_dataset", "column_name", "source_term")
 
     def table(key: str, value: str) -> DataFrame:
