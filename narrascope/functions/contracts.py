@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from narrascope.functions.text import bound
 from narrascope.schemas import (
     CRITICAL_RISK, DEFAULT_SEVERITY, NEEDS_REVIEW, NOT_EVALUATED, RISK_HIGH, RISK_MEDIUM,
     RISK_WEIGHTS, RULE_CONFIDENCE, RULE_MARGIN, RULE_SEVERITY, SIF_HIGH, SIF_LOW,
@@ -25,11 +25,6 @@ LOW_CONFIDENCE = "top-class confidence %s < threshold {confidence:.2f}"
 LOW_GAP = "confidence gap %s < ambiguity margin {margin:.2f} (%s vs %s)"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value evaluated once per row, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def three_places(value: Column) -> Column:
     """A non-negative number with three decimals; much cheaper than a format string."""
     return value.cast("decimal(18,3)").cast("string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ _BLANKS = r"[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + r"]*+"
 _PHONE_START = r"(?=[+(\p{Nd}])"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value evaluated once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
@@ -81,24 +88,27 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def whole_number(text: Column) -> Column:
+    """The integer text of a number below 10^15, cut at the decimal point; else null."""
+    parsed = number(text)
+    return F.when(F.abs(parsed) < 1e15, parsed.cast("bigint").cast("string"))
+
+
 def normalize_code(value: Column) -> Column:
     """Whole numbers lose their fraction ("71.0" -> "71"); other text is kept."""
     text = strip(value)
     parsed = number(text)
-    whole = (parsed == F.floor(parsed)) & (F.abs(parsed) < 1e15)
-    return F.when(whole, parsed.cast("bigint").cast("string")).otherwise(text)
+    return F.when(parsed == F.floor(parsed), F.coalesce(whole_number(text), text)).otherwise(text)
 
 
 def integer_text(value: Column) -> Column:
     """A numeric id or age as integer text, UNKNOWN where blank."""
-    parsed = number(strip(value))
-    return F.when(F.abs(parsed) < 1e15, parsed.cast("bigint").cast("string")).otherwise(unknown_if_blank(value))
+    return F.coalesce(whole_number(strip(value)), unknown_if_blank(value))
 
 
 def decode_sex(value: Column) -> Column:
-    code = number(strip(value))
-    code = F.when(F.abs(code) < 1e9, code.cast("int"))
-    return F.when(code == 1, "male").when(code == 2, "female").otherwise(UNKNOWN)
+    code = whole_number(strip(value))
+    return F.when(code == "1", "male").when(code == "2", "female").otherwise(UNKNOWN)
 
 
 def normalize_text(value: Column) -> Column:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrascope.functions.contracts import bound
-from narrascope.functions.text import strip, usable_text
+from narrascope.functions.text import bound, strip, usable_text
 from narrascope.schemas import EVIDENCE_FIELDS, UNKNOWN
 
 # letters whose lower case is not one equal-length letter, or that match others ignoring case

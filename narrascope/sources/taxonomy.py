@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.functions.text import matches, normalize_code, number, strip, strip_html
+from narrascope.functions.text import matches, normalize_code, strip, strip_html, whole_number
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import NOT_EVALUATED, TAXONOMY_JSON, UNMAPPED
 from narrascope.session import local_table
@@ -80,8 +80,7 @@ def map_terms(terms: DataFrame, mapping: DataFrame) -> DataFrame:
     text first, else in its integer form.
     """
     keys = ["source_dataset", "column_name"]
-    parsed = number(F.col("source_term"))
-    whole = F.when(F.abs(parsed) < 1e15, parsed.cast("bigint").cast("string"))
+    whole = whole_number(F.col("source_term"))
     spread = F.xxhash64("source_dataset", "column_name", "source_term")
 
     def table(key: str, value: str) -> DataFrame:
