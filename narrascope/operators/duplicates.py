@@ -7,49 +7,68 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.text import has_pii, is_malformed, normalize_text
 from narrascope.operators.ordering import dense_index
-from narrascope.operators.skew import hot_only, left_lookup
+from narrascope.operators.skew import hot_only, left_lookup, small
 from narrascope.session import written
 
 
-def _keyed(df: DataFrame, dataset: str, text: str, row_id: str) -> DataFrame:
-    """Row id, dataset and a 128-bit key; shuffles move the key, not the text."""
-    norm = F.coalesce(normalize_text(F.col(text)), F.lit(""))
-    return df.select(
-        F.col(row_id).alias("row_id"), F.col(dataset).alias("dataset"),
-        F.md5(F.concat_ws("||", dataset, norm)).alias("key"))
+def _key(dataset: str, text: str) -> Column:
+    """A 128-bit key of dataset and normalised text; shuffles move the key, not the text."""
+    return F.md5(F.concat_ws("||", dataset, F.coalesce(normalize_text(F.col(text)), F.lit(""))))
 
 
-def duplicate_groups(df: DataFrame, dataset: str = "source_dataset", text: str = "narrative_text",
-                     row_id: str = "record_id") -> DataFrame:
-    """(row id, group id): 0 for single rows, 1..N for groups in key order.
+def _numbered(df: DataFrame, keyed: DataFrame, dataset: str, text: str, row_id: str) -> DataFrame:
+    """(key, n, group_id) of the groups with several members, 1..N in key order.
 
-    Texts are normalised once, into a narrow written table of keys. Only groups
-    with several members are numbered, so the global order touches one row per
-    group.
+    Only these groups are numbered, so the global order touches one row per
+    group, and only their sample rows have their text read again.
     """
-    keyed = written(_keyed(df, dataset, text, row_id), "dup-keys")
     counts = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_id").alias("sample_id"))
     multi = counts.filter("n > 1")
     texts = df.select(F.col(row_id).alias("sample_id"), F.col(dataset).alias("dataset"), F.col(text).alias("text"))
     norm = F.coalesce(normalize_text(F.col("text")), F.lit(""))
     named = multi.join(texts, "sample_id").select("key", "n", F.concat_ws("||", "dataset", norm).alias("order_key"))
-    numbered = dense_index(named, [F.col("order_key")], "group_id", "dup-groups").select(
-        "key", "n", F.col("group_id").cast("int").alias("group_id"))
-    total = keyed.agg(F.count(F.lit(1))).scalar()
-    joined = left_lookup(keyed, numbered.select("key", "group_id"), ["key"], F.col("row_id"),
-                         hot=hot_only(numbered, total).select("key"))
-    return joined.select(
-        F.col("row_id").alias(row_id), F.col("dataset").alias(dataset),
-        F.coalesce("group_id", F.lit(0)).alias("is_duplicate_group_id"))
+    indexed = dense_index(named, [F.col("order_key")], "group_id", "dup-order")
+    return written(indexed.select("key", "n", F.col("group_id").cast("int").alias("group_id")), "dup-groups")
+
+
+def _attach(rows: DataFrame, numbered: DataFrame, total: Column, row_id: str) -> DataFrame:
+    """Rows with their group id: no shuffle within the broadcast limit, skew-safe beyond it."""
+    groups = numbered.select("key", "group_id")
+    if small(groups):
+        joined = rows.join(F.broadcast(groups), "key", "left")
+    else:
+        joined = left_lookup(rows, groups, ["key"], F.col(row_id), hot=hot_only(numbered, total).select("key"))
+    return joined.withColumn("is_duplicate_group_id", F.coalesce("group_id", F.lit(0))).drop("key", "group_id")
+
+
+def _keys(df: DataFrame, dataset: str, text: str, row_id: str) -> DataFrame:
+    """Narrow written table of row ids and keys: texts are normalised once."""
+    return written(df.select(
+        F.col(row_id).alias("row_id"), F.col(dataset).alias("dataset"), _key(dataset, text).alias("key")), "dup-keys")
+
+
+def duplicate_groups(df: DataFrame, dataset: str = "source_dataset", text: str = "narrative_text",
+                     row_id: str = "record_id") -> DataFrame:
+    """(row id, dataset, group id): 0 for single rows, 1..N for groups in key order."""
+    keyed = _keys(df, dataset, text, row_id)
+    numbered = _numbered(df, keyed, dataset, text, row_id)
+    grouped = _attach(keyed, numbered, keyed.agg(F.count(F.lit(1))).scalar(), "row_id")
+    return grouped.select(F.col("row_id").alias(row_id), F.col("dataset").alias(dataset), "is_duplicate_group_id")
 
 
 def flag_quality(df: DataFrame, dataset: str = "source_dataset", text: str = "narrative_text",
                  row_id: str = "record_id") -> DataFrame:
-    """The input with duplicate group id, malformed flag and PII flag; text untouched."""
-    groups = duplicate_groups(df, dataset, text, row_id).drop(dataset)
-    return (df.join(groups, row_id, "left")
-            .withColumn("is_empty_or_malformed", is_malformed(F.col(text)))
+    """The input with duplicate group id, malformed flag and PII flag; text untouched.
+
+    While the groups with several members fit the broadcast limit, the wide
+    rows are not shuffled at all.
+    """
+    keyed = _keys(df, dataset, text, row_id)
+    numbered = _numbered(df, keyed, dataset, text, row_id)
+    total = keyed.agg(F.count(F.lit(1))).scalar()
+    flagged = _attach(df.withColumn("key", _key(dataset, text)), numbered, total, row_id)
+    return (flagged.withColumn("is_empty_or_malformed", is_malformed(F.col(text)))
             .withColumn("has_possible_pii", has_pii(F.col(text))))
 
 

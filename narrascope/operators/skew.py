@@ -50,14 +50,18 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Col
           for name in values])
 
 
-def small(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+def small(lookup: DataFrame, limit: int | None = None) -> bool:
     """Whether a lookup has at most `limit` rows; reads no more than it must."""
+    limit = BROADCAST_ROWS if limit is None else limit
     return lookup.limit(limit + 1).count() <= limit
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Column,
-                limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join to a unique-key lookup: broadcast within a checked size, skew-safe beyond it."""
+                limit: int | None = None) -> DataFrame:
+    """Left join to a unique-key lookup: broadcast within a checked size, skew-safe beyond it.
+
+    The check reads the lookup, so pass a stored table if it is costly to compute.
+    """
     if small(lookup, limit):
         return rows.join(F.broadcast(lookup), keys, "left")
     return left_lookup(rows, lookup, keys, spread)

@@ -111,6 +111,7 @@ def test_duplicate_groups(narratives):
 
 def test_duplicate_groups_with_hot_group(narratives, monkeypatch):
     plain = {tuple(r) for r in duplicates.duplicate_groups(narratives).collect()}
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(skew, "HOT_FLOOR", 3)
     monkeypatch.setattr(skew, "HOT_KEYS", 5)
     assert {tuple(r) for r in duplicates.duplicate_groups(narratives).collect()} == plain
