@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +33,19 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Col
                 hot: DataFrame | None = None) -> DataFrame:
     """Left join to a table with unique keys; hot keys do not meet in one task.
 
-    Lookup rows of hot keys are broadcast. The rows they serve get a salt from
-    `spread`, a column that differs between rows, so the shuffle for the other
-    keys scatters them instead of sending them to one reducer.
+    Lookup rows of hot keys are broadcast. The rows they serve, and rows with a
+    null key, get a salt from `spread`, a column that differs between rows, so
+    the shuffle for the other keys scatters them instead of sending them to one
+    reducer.
     """
     if hot is None:
         hot = hot_keys(rows, keys)
     values = [name for name in lookup.columns if name not in keys]
     hot_rows = lookup.join(F.broadcast(hot.select(*keys)), keys, "left_semi").select(
         *keys, *[F.col(name).alias(f"_hot_{name}") for name in values], F.lit(True).alias("_is_hot"))
+    keyless = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in keys])
     tagged = rows.join(F.broadcast(hot_rows), keys, "left").withColumn(
-        "_salt", F.when(F.col("_is_hot"), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)))
+        "_salt", F.when(F.col("_is_hot") | keyless, F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)))
     joined = tagged.join(lookup.withColumn("_salt", F.lit(0).cast("bigint")), keys + ["_salt"], "left")
     own = [name for name in rows.columns]
     return joined.select(

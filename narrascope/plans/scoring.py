@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions.contracts import (
-    conditional_rule, flag_critical, risk_level, risk_score, rule_contract, sif_contract,
+    conditional_rule, flag_critical, phrase_reasons, risk_level, risk_score, rule_contract, sif_contract,
 )
-from narrascope.functions.text import strip
+from narrascope.functions.text import known, strip
 from narrascope.operators.reporting import bulk_summary
 from narrascope.operators.skew import lookup_join
+from narrascope.operators.tables import upsert
+from narrascope.session import written
 from narrascope.sources.taxonomy import taxonomy_lookup
 
 RULE_COLUMNS = (
@@ -34,18 +36,25 @@ def with_recurrence(df: DataFrame, recurrence: DataFrame, spread: Column) -> Dat
 
 
 def score_reports(df: DataFrame, recurrence: DataFrame | None = None, taxonomy: DataFrame | None = None,
-                  p: str = "p", probs: str = "class_probs", row_id: str = "report_id") -> DataFrame:
+                  p: str = "p", probs: str = "class_probs", row_id: str = "report_id",
+                  phrases: str | None = None) -> DataFrame:
     """Decisions for rows that carry P(Yes) and class probabilities.
 
-    Without a recurrence table that part of the score is zero. Lookups are
-    broadcast within a checked size, so nothing here shuffles the reports.
+    Without a recurrence table that part of the score is zero. `phrases` names
+    a column array<struct<phrase, weight>> whose top entries join the reasons.
+    Lookups are broadcast within a checked size, so nothing here shuffles the
+    reports.
     """
+    reasons = F.array("_sif.band_reason")
+    if phrases is not None:
+        shown = F.coalesce(phrase_reasons(F.col(phrases)), F.array().cast("array<string>"))
+        reasons = F.concat(reasons, shown)
     decided = df.withColumn("_sif", sif_contract(F.col(p)))
     decided = decided.withColumn("_rule", conditional_rule(
         F.col("_sif.sif_potential"), rule_contract(F.col(probs))))
     decided = decided.withColumns({
         "sif_potential": F.col("_sif.sif_potential"), "confidence": F.col("_sif.confidence"),
-        "sif_reasons": F.array("_sif.band_reason"), "sif_model_name": F.col("_sif.model_name"),
+        "sif_reasons": reasons, "sif_model_name": F.col("_sif.model_name"),
         "sif_model_version": F.col("_sif.model_version"), "sif_decision_thresholds": F.col("_sif.thresholds"),
         **{name: F.col(f"_rule.{name}") for name in RULE_COLUMNS}}).drop("_sif", "_rule")
     if recurrence is None:
@@ -81,13 +90,21 @@ def submission_defaults(df: DataFrame, submitted_at: Column) -> DataFrame:
                                if name in df.columns or name in ("report_id", "date", "analyzed_at")})
 
 
-def prepare_upload(df: DataFrame) -> DataFrame:
-    """Uploaded rows with defaults for missing fields; rows without text are skipped."""
+def prepare_upload(df: DataFrame, submitted_at: Column | None = None, position: str | None = None) -> DataFrame:
+    """Uploaded rows with defaults for missing fields; rows without text are skipped.
+
+    Rows without an id get a draft id; the unique `position` column keeps the
+    drafts of one upload apart.
+    """
     if "report_text" not in df.columns:
         raise ValueError("an upload must have a report_text column")
     for name, default in BULK_DEFAULTS.items():
         value = F.col(name) if name in df.columns else F.lit(None)
         df = df.withColumn(name, F.coalesce(value.cast("string"), F.lit(default)))
+    if position is not None:
+        given = F.col("report_id").cast("string") if "report_id" in df.columns else F.lit(None).cast("string")
+        draft = F.concat_ws("-", draft_id(submitted_at), F.col(position).cast("string"))
+        df = df.withColumn("report_id", F.coalesce(known(given), draft))
     return df.filter(F.coalesce(strip(F.col("report_text")), F.lit("")) != "").withColumns({
         "source": F.lit("bulk_upload"), "status": F.lit("Submitted")})
 
@@ -95,3 +112,17 @@ def prepare_upload(df: DataFrame) -> DataFrame:
 def upload_summary(uploaded: DataFrame, recurrence: DataFrame | None = None) -> DataFrame:
     """Processed, flagged and other counts of an upload that carries probabilities."""
     return bulk_summary(score_reports(prepare_upload(uploaded), recurrence))
+
+
+def bulk_upload(current: DataFrame, uploaded: DataFrame, submitted_at: Column, position: str,
+                recurrence: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Score an upload and upsert it: the new report table and the three counts.
+
+    The scored rows are written once, since both results read them.
+    """
+    scored = written(score_reports(prepare_upload(uploaded, submitted_at, position), recurrence), "upload")
+    missing = {field.name: F.lit(None).cast(field.dataType) for field in current.schema
+               if field.name not in scored.columns}
+    rows = scored.withColumns(missing).withColumn("critical", F.col("critical").cast("int"))
+    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in current.schema], position)
+    return upsert(current, typed, "report_id", position), bulk_summary(scored)

@@ -11,6 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# temporary folder per local application, used only where no shared folder is named
+_LOCAL: dict[str, str] = {}
 
 
 def build_session(app: str = "narrascope", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,9 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    named = tempfile.mkdtemp(prefix="narrascope-")
-    spark.conf.set(CHECKPOINT_KEY, named)
-    return named
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="narrascope-")
+    return _LOCAL[application]
 
 
 def new_scratch(spark: SparkSession, label: str) -> str:

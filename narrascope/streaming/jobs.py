@@ -31,13 +31,15 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
 
 
 def _start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None],
-           mode: str = "append") -> StreamingQuery:
+           mode: str = "append", every: str | None = None) -> StreamingQuery:
+    """Run over what is there and stop, or keep running with a micro-batch `every` interval."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(write).start())
+            .trigger(**trigger).foreachBatch(write).start())
 
 
 def triage(stream: DataFrame, score: Callable[[DataFrame], DataFrame], reports_log: str, audit_log: str,
-           checkpoint: str) -> StreamingQuery:
+           checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Score reports on arrival; log them, and critical ones to the audit, per batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = score(batch).persist()
@@ -47,7 +49,7 @@ def triage(stream: DataFrame, score: Callable[[DataFrame], DataFrame], reports_l
         finally:
             scored.unpersist()
 
-    return _start(stream, checkpoint, write)
+    return _start(stream, checkpoint, write, every=every)
 
 
 def current(spark: SparkSession, log: str, key: str, order: str) -> DataFrame:
@@ -57,14 +59,14 @@ def current(spark: SparkSession, log: str, key: str, order: str) -> DataFrame:
     return latest_per_key(ordered, key, "_order").drop("_order", BATCH)
 
 
-def dashboard_deltas(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+def dashboard_deltas(stream: DataFrame, log: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Change log of the report fields the dashboard counts."""
     fields = ("report_id", "version", "source", "status", "site", "life_saving_rule", "sif_potential", "critical")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch.select(*fields), log, batch_id)
 
-    return _start(stream, checkpoint, write)
+    return _start(stream, checkpoint, write, every=every)
 
 
 def live_counts(reports: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def live_counts(reports: DataFrame) -> DataFrame:
     return combined.unpivot(["n"], names, "tile", "value").groupBy("tile", "value").agg(F.sum("n").alias("n"))
 
 
-def lifecycle(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+def lifecycle(stream: DataFrame, log: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Current status per target from change events.
 
     The state is one row per target; events of a hot target are combined in
@@ -84,7 +86,7 @@ def lifecycle(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     state = stream.groupBy("target_type", "target_id").agg(
         F.max_by("new_value", "id").alias("status"), F.max("id").alias("last_id"),
         F.count(F.lit(1)).alias("changes"))
-    return _start(state, checkpoint, lambda batch, n: _write_batch(batch, log, n), mode="update")
+    return _start(state, checkpoint, lambda batch, n: _write_batch(batch, log, n), "update", every)
 
 
 def current_status(spark: SparkSession, log: str) -> DataFrame:

@@ -78,6 +78,13 @@ def test_left_lookup_splits_hot_keys(hot_rows, spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_left_lookup_keeps_rows_without_key(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "a") for i in range(90)], "pos long, key string")
+    lookup = spark.createDataFrame([("a", 5), (None, 9)], "key string, value int")
+    got = skew.left_lookup(df, lookup, ["key"], F.col("pos")).collect()
+    assert {(r["pos"], r["value"]) for r in got} == {(i, None if i % 3 else 5) for i in range(90)} and len(got) == 90
+
+
 def test_lookup_join_beyond_the_broadcast_limit(hot_rows, spark):
     rows, df = hot_rows
     lookup = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "key string, value int")

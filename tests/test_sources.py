@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from narrascope.operators.evidence import load_vocabulary, vocabulary_from_taxonomy
 from narrascope.plans.corpus import CorpusPaths, build_corpus
+from narrascope.plans.scoring import bulk_upload
 from narrascope.schemas import MASTER_COLUMNS
 from narrascope.session import local_table, new_scratch
 from narrascope.sources import files, mapping, taxonomy
@@ -66,3 +67,25 @@ def test_corpus_build(spark):
     assert done.filter("unsafe_act = 'bypass' and unsafe_act_evidence_start is not null").count() == 60
     assert done.filter("is_duplicate_group_id <> 0").select("split").distinct().count() == 1
     assert done.groupBy("split").agg(F.count("*").alias("n")).filter("split = 'test'").first()["n"] == 12
+
+
+def test_bulk_upload(spark):
+    current = spark.createDataFrame([("A", "old text", "Closed", "api", "S1", 0), ("B", "kept", "Closed", "api", "S2", 0)],
+                                    "report_id string, report_text string, status string, source string, site string, critical int")
+    uploaded = spark.sql("""SELECT id, report_id, report_text, CAST(NULL AS STRING) site, p,
+        array(named_struct('rule', 'Hot Work', 'p', 0.9D), named_struct('rule', 'Driving', 'p', 0.1D)) class_probs
+        FROM VALUES (1, 'A', 'new text', 0.95D), (2, ' ', 'draft one', 0.1D), (3, 'nan', 'draft two', 0.5D), (4, 'C', '  ', 0.9D)
+        AS t(id, report_id, report_text, p)""")
+    table, counts = bulk_upload(current, uploaded, F.lit("2024-05-06 07:08:09").cast("timestamp"), "id")
+    got = {r["report_id"]: r for r in table.collect()}
+    assert set(got) == {"A", "B", "DRAFT-20240506070809000000-2", "DRAFT-20240506070809000000-3"}
+    assert (got["A"]["report_text"], got["A"]["status"], got["A"]["source"], got["A"]["site"], got["A"]["critical"]) == (
+        "new text", "Submitted", "api", "Unknown", 1)
+    assert got["B"]["report_text"] == "kept"
+    assert counts.first().asDict() == {"total_processed": 3, "sif_flagged": 1, "non_sif": 2}
+
+
+def test_no_duplicates_at_all(spark):
+    from narrascope.operators.duplicates import duplicate_groups
+    df = spark.createDataFrame([("1", "s", "a"), ("2", "s", "b")], "record_id string, source_dataset string, narrative_text string")
+    assert {r["is_duplicate_group_id"] for r in duplicate_groups(df).collect()} == {0}
