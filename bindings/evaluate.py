@@ -10,7 +10,7 @@ from narrascope.operators.quality import class_weights, top_classes
 from narrascope.operators.reporting import recurrence_table
 from narrascope.plans.scoring import score_reports, with_recurrence
 from narrascope.schemas import RULES
-from narrascope.session import local_table
+from narrascope.session import local_table, written
 
 S, L = ("scored",), ("class_long",)
 
@@ -136,7 +136,7 @@ SHARE = "0.25::DOUBLE * least(coalesce(n, 0) / CAST((SELECT max(n) FROM recurren
 WITH {RECURRENCE} SELECT r.id, coalesce(n, 0) AS recurrence FROM reports r
 LEFT JOIN recurrence c ON r.site = c.site AND r.activity = c.activity AND r.life_saving_rule = c.life_saving_rule""", ("reports",))
 def _(t):
-    return with_recurrence(t.reports, recurrence_table(t.reports), F.col("id")).select("id", "recurrence")
+    return with_recurrence(t.reports, stored_recurrence(t), F.col("id")).select("id", "recurrence")
 
 
 @query("severity_lookup", f"SELECT id, {SQL_SEVERITY.format(rule='life_saving_rule')} AS severity FROM reports", ("reports",))
@@ -150,7 +150,7 @@ FROM reports r JOIN report_p USING (id)
 LEFT JOIN recurrence c ON r.site = c.site AND r.activity = c.activity AND r.life_saving_rule = c.life_saving_rule""",
        ("reports", "report_p"))
 def _(t):
-    table = recurrence_table(t.reports)
+    table = stored_recurrence(t)
     rows = with_recurrence(t.reports.join(t.scored_reports.select("id", "p"), "id"), table, F.col("id"))
     score = C.risk_score(F.col("p"), F.col("life_saving_rule"), F.col("recurrence"), table.agg(F.max("n")).scalar())
     return rows.select("id", score.alias("risk_score"))
@@ -184,10 +184,15 @@ FROM risked LEFT JOIN (
   FROM (SELECT {SQL_RULES}[CAST(p_partkey % 9 AS INT) + 1] AS rule, p_brand, p_type FROM part) WHERE rule <> 'Driving' GROUP BY 1)
   ON rule = life_saving_rule""", ("reports", "report_p", "report_classes"))
 def _(t):
-    scored = score_reports(t.scored_reports, recurrence_table(t.reports), part_taxonomy(t), row_id="id")
+    scored = score_reports(t.scored_reports, stored_recurrence(t), part_taxonomy(t), row_id="id")
     return scored.select("id", *SCORED_COLUMNS, "typical_hazard", "typical_barrier")
 
 
+def stored_recurrence(t: Tables):
+    """The recurrence table as a job would keep it: computed once, read by every scoring run."""
+    return written(recurrence_table(t.reports), "recurrence")
+
+
 def part_taxonomy(t: Tables):
     """A taxonomy from the parts: brands as hazards and types as barriers of a rule."""
     rule = F.array(*[F.lit(r) for r in RULES])[(F.col("p_partkey") % CLASSES).cast("int")]

@@ -9,7 +9,7 @@ from narrascope.operators import reporting as R
 from narrascope.operators import tables as T
 from narrascope.plans.dashboard import dashboard_cube
 from narrascope.plans.scoring import submission_defaults, upload_summary
-from narrascope.session import new_scratch
+from narrascope.session import new_scratch, written
 
 LIVE = "source NOT IN ('real_ihm_stefanini', 'synthetic')"
 REPORTER = 7
@@ -365,8 +365,7 @@ def _(t):
 SELECT count(*) AS total_processed, count(*) FILTER (WHERE sif_potential = 'Yes') AS sif_flagged,
        count(*) FILTER (WHERE sif_potential <> 'Yes') AS non_sif FROM reports""", V)
 def _(t):
-    from narrascope.operators.reporting import bulk_summary
-    return bulk_summary(t.reports)
+    return R.bulk_summary(t.reports)
 
 
 @query("bulk_upload", """
@@ -377,7 +376,7 @@ def _(t):
     """Reports under investigation are uploaded with a blank text and so are skipped."""
     text = F.when(F.col("status") == "Investigation", "  \t").otherwise(F.concat(F.lit("at "), F.col("site")))
     return upload_summary(t.scored_reports.withColumn("report_text", text).drop("activity"),
-                          R.recurrence_table(t.reports))
+                          written(R.recurrence_table(t.reports), "recurrence"))
 
 
 @query("submission_defaults", """

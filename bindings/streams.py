@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from bindings.evaluate import CONDITIONAL, LABEL, RECURRENCE, REPORT_RANKED, SHARE, _risk_sql
+from bindings.evaluate import CONDITIONAL, LABEL, RECURRENCE, REPORT_RANKED, SHARE, _risk_sql, stored_recurrence
 from bindings.registry import query
 from bindings.reports import LIVE
 from bindings.views import Tables
-from narrascope.operators.reporting import recurrence_table
 from narrascope.plans.scoring import score_reports
-from narrascope.session import new_scratch, written
+from narrascope.session import new_scratch
 from narrascope.streaming import jobs
 
 TRIAGED = f"""triaged AS (SELECT r.report_id, r.id, {LABEL} AS sif_potential, d.life_saving_rule, {_risk_sql('d.life_saving_rule', SHARE)} AS risk_score
@@ -25,7 +24,7 @@ def _folder(df, t: Tables, label: str, partitions: int = 4) -> str:
 
 def _triage(t: Tables) -> tuple[str, str]:
     source = t.scored_reports
-    recurrence = written(recurrence_table(t.reports), "recurrence")
+    recurrence = stored_recurrence(t)
     stream = jobs.stream_folder(t.spark, _folder(source, t, "reports-in"), source.schema, files_per_trigger=2)
     log, audit = new_scratch(t.spark, "reports-log"), new_scratch(t.spark, "audit-log")
     run = jobs.triage(stream, lambda batch: score_reports(batch, recurrence), log, audit, new_scratch(t.spark, "checkpoint"))
