@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm import exact_dedup, mixing, packing, prefix_tokens, sharding, simhash
+from narrascope.llm import exact_dedup, language_model, mixing, packing, prefix_tokens, sharding, simhash
+from narrascope.llm.common import held_out
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 TOKEN_LIMIT = 1024
@@ -92,3 +93,11 @@ FROM r""")
 def _(spark, docs, folder):
     return mixing.mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target",
                                    (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op10_lm_scoring")
+def _(spark, docs, folder):
+    held = held_out(F.col("doc_id"), 7, 2)
+    scored, model = language_model.fit_and_score(docs, held)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 7, 2).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
