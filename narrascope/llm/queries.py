@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm import exact_dedup, language_model, mixing, packing, prefix_tokens, sharding, simhash
+from narrascope.llm import (
+    exact_dedup, language_model, line_dedup, mixing, packing, prefix_tokens, quality, sharding, simhash, toxicity)
 from narrascope.llm.common import held_out
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -44,6 +45,12 @@ def _(spark, docs, folder):
                         F.col("component").alias("component_id"))
 
 
+@query("op2_line_quality")
+def _(spark, docs, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.judge(docs, quality.train(*quality.sample(docs, labels))).withColumnRenamed("id", "doc_id")
+
+
 @query("op3_token_counts")
 def _(spark, docs, folder):
     counted = prefix_tokens.prefix_counts(docs, tokenizer(BYTE_BPE), TOKEN_LIMIT)
@@ -63,6 +70,38 @@ def _(spark, docs, folder):
     return packing.pack_documents(docs, tokenizer(WORD_BPE), with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+@query("op6_toxicity")
+def _(spark, docs, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("id"), 5, 0))
+    return toxicity.scores(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_line_dedup", """
+WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+l AS (SELECT doc_id, no, trim(raw) AS line FROM e WHERE trim(raw) <> ''),
+x AS (SELECT line, min((doc_id, no)) AS f, length(line) AS n FROM l GROUP BY line),
+h AS (SELECT line, f, m, 'first' AS half, left(line, m // 2) AS part FROM (SELECT *, unnest([n, n - 1]) AS m FROM x)
+  UNION ALL SELECT line, f, m, 'last', right(line, m - m // 2) FROM (SELECT *, unnest([n, n - 1]) AS m FROM x)),
+pairs AS (SELECT DISTINCT a.line AS p, b.line AS q, length(a.line) AS m, length(b.line) AS n
+  FROM h a JOIN h b ON a.m = b.m AND a.half = b.half AND a.part = b.part AND b.f < a.f),
+-- place of the first character that differs; the rest must agree after one edit there
+differ AS (SELECT *, coalesce(list_min(list_filter(range(1, least(m, n) + 1), i -> substr(p, i, 1) <> substr(q, i, 1))),
+  least(m, n) + 1) AS i FROM pairs),
+near AS (SELECT DISTINCT p AS line FROM differ WHERE (m = n AND substr(p, i + 1) = substr(q, i + 1))
+  OR (m = n + 1 AND substr(p, i + 1) = substr(q, i)) OR (n = m + 1 AND substr(p, i) = substr(q, i + 1))),
+per AS (SELECT f[1] AS doc_id, count(*) FILTER (WHERE near.line IS NULL) AS n_kept, count(near.line) AS n_near
+  FROM x LEFT JOIN near ON x.line = near.line GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
+  coalesce(c.n, 0) - coalesce(n_kept, 0) - coalesce(n_near, 0) AS n_exact, coalesce(n_near, 0) AS n_near
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN per ON d.doc_id = per.doc_id""")
+def _(spark, docs, folder):
+    return line_dedup.line_counts(docs).withColumnRenamed("id", "doc_id")
+
+
 @query("op8_exact_dedup", f"""
 WITH t AS (SELECT doc_id, {SQL_LOWER} AS normal FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,

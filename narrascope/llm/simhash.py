@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import map_batches, texts, written
+from narrascope.llm.common import map_batches, texts, without, written
 from narrascope.llm.graph import components
 
 BITS = 64
@@ -166,3 +166,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = of.groupBy("root").agg(F.min("low").alias("component"))
     named = of.join(lowest, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     threshold: int = THRESHOLD) -> DataFrame:
+    """One row of every component stays, with all its columns: the smallest id (null ids come last),
+    then the smallest text hash."""
+    text = F.col(text_col).cast("string")
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), text.alias("text"))
+    found = near_duplicates(keyed, "key", "text", threshold)
+    decided = written(found.groupBy(F.col("id").alias("key"), F.col("component")).agg(F.count(F.lit(1)).alias("n")), "decisions")
+    flat = decided.select("key.id", "key.digest", "n", (F.col("key") == F.col("component")).alias("stays"))
+    return without(docs, {"id": F.col(id_col), "digest": digest}, flat.filter(~F.col("stays")),
+                   flat.filter(F.col("stays") & (F.col("n") > 1)))
