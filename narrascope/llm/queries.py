@@ -88,7 +88,7 @@ h AS (SELECT line, f, m, 'first' AS half, left(line, m // 2) AS part FROM (SELEC
 pairs AS (SELECT DISTINCT a.line AS p, b.line AS q, length(a.line) AS m, length(b.line) AS n
   FROM h a JOIN h b ON a.m = b.m AND a.half = b.half AND a.part = b.part AND b.f < a.f),
 -- place of the first character that differs; the rest must agree after one edit there
-differ AS (SELECT *, coalesce(list_min(list_filter(range(1, least(m, n) + 1), i -> substr(p, i, 1) <> substr(q, i, 1))),
+differ AS (SELECT *, coalesce(list_min(list_filter(range(1, least(m, n) + 1), lambda i: substr(p, i, 1) <> substr(q, i, 1))),
   least(m, n) + 1) AS i FROM pairs),
 near AS (SELECT DISTINCT p AS line FROM differ WHERE (m = n AND substr(p, i + 1) = substr(q, i + 1))
   OR (m = n + 1 AND substr(p, i + 1) = substr(q, i)) OR (n = m + 1 AND substr(p, i) = substr(q, i + 1))),
