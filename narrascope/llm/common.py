@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from narrascope.session import written  # noqa: F401  (re-exported to the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
+BIT_ROWS = 1 << 18  # rows of a bit table, 64 bits each
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -66,3 +67,16 @@ def without(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, repeate
     main = matched(losers.select(*names).union(repeated.select(*names)), "left_anti").select("_row.*")
     again = matched(repeated, "left_semi").dropDuplicates(names).select("_row.*")
     return main.union(again)
+
+
+def bit_table(keys: DataFrame, name: str) -> DataFrame:
+    """A bit table of a column of 64-bit keys: at most BIT_ROWS rows, whatever the data."""
+    return keys.groupBy(F.shiftright(name, 6).bitwiseAND(F.lit(BIT_ROWS - 1)).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63L as int))")).alias("bits"))
+
+
+def maybe_in(rows: DataFrame, name: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be in the bit table; no row that is in it is lost."""
+    word = F.shiftright(name, 6).bitwiseAND(F.lit(BIT_ROWS - 1))
+    held = F.expr(f"(bits & shiftleft(1L, cast({name} & 63L as int))) <> 0")
+    return rows.join(F.broadcast(bits), (word == F.col("word")) & held, "left_semi")

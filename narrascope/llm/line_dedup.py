@@ -27,9 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import written
-
-BIT_ROWS = 1 << 18  # rows of a bit table, 64 bits each
+from narrascope.llm.common import bit_table, maybe_in, written
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,28 +50,15 @@ def _halves(line: Column) -> Column:
     return F.array(*keys)
 
 
-def _bits(keys: DataFrame, name: str) -> DataFrame:
-    """A bit table of a column of 64-bit keys: at most BIT_ROWS rows, whatever the data."""
-    return keys.groupBy(F.shiftright(name, 6).bitwiseAND(F.lit(BIT_ROWS - 1)).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63L as int))")).alias("bits"))
-
-
-def _maybe(rows: DataFrame, name: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the bit table; no row that is in it is lost."""
-    word = F.shiftright(name, 6).bitwiseAND(F.lit(BIT_ROWS - 1))
-    held = F.expr(f"(bits & shiftleft(1L, cast({name} & 63L as int))) <> 0")
-    return rows.join(F.broadcast(bits), (word == F.col("word")) & held, "left_semi")
-
-
 def _candidates(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(key, line, first) of distinct lines that share a half with another line."""
     halves = lines.select("key", F.explode(_halves(F.col("line"))).alias("half"))
     shared = written(halves.groupBy("half").agg(F.min("key").alias("low"), F.max("key").alias("high"))
                      .filter("low <> high").select("half"), "halves")
-    found = written(_maybe(halves, "half", written(_bits(shared, "half"), "bits")).join(shared, "half", "left_semi")
+    found = written(maybe_in(halves, "half", written(bit_table(shared, "half"), "bits")).join(shared, "half", "left_semi")
                     .select("key").distinct(), "partners")
     keyed = found.select("key", F.col("key.a").alias("a"))
-    texts = _maybe(lines.select("key", F.col("key.a").alias("a"), "line"), "a", written(_bits(keyed, "a"), "bits"))
+    texts = maybe_in(lines.select("key", F.col("key.a").alias("a"), "line"), "a", written(bit_table(keyed, "a"), "bits"))
     own = texts.join(found, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
     return own.join(firsts, "key").select("key", "line", "first")
 
