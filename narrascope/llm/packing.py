@@ -24,6 +24,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,38 +38,46 @@ from narrascope.llm.common import texts
 CAPACITY = 2048
 GRAIN = 512
 GROUP = 512  # pieces that are packed together
-CACHED = 700_000  # words remembered by a worker
+CACHED = 1_500_000  # words remembered by a worker
 WORD_LIMIT = 64  # longer words are not remembered
 END = 1  # id after every document
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Positions of the pieces in each window, by multiway differencing."""
-    heap = [(-size, i, [0] * (windows - 1) + [size], [()] * (windows - 1) + [(i,)]) for i, size in enumerate(sizes)]
+    """Positions of the pieces in each window, by multiway differencing.
+
+    A partial partition is the sums of its windows in order, and a node per window. A
+    node is a piece, or stands for two nodes that were put into one window.
+    """
+    n = len(sizes)
+    heap = []
+    for i, size in enumerate(sizes):
+        sums, nodes = np.zeros(windows, np.int64), np.full(windows, -1)
+        sums[-1], nodes[-1] = size, i
+        heap.append((-size, i, sums, nodes))
     heapq.heapify(heap)
-    made = len(heap)
-    while len(heap) > 1:
-        _, _, sums_a, held_a = heapq.heappop(heap)
-        _, _, sums_b, held_b = heapq.heappop(heap)
-        joined = np.array(sums_a) + np.array(sums_b)[::-1]
-        order = np.argsort(joined, kind="stable").tolist()
-        sums = joined[order].tolist()
-        # held parts are kept as nested pairs and laid out at the end
-        held_b = held_b[::-1]
-        held = [(held_a[i], held_b[i]) if held_a[i] and held_b[i] else held_a[i] or held_b[i] for i in order]
-        heapq.heappush(heap, (sums[0] - sums[-1], made, sums, held))
-        made += 1
-    return [sorted(_flat(part)) for part in heap[0][3]]
-
-
-def _flat(part) -> Iterator[int]:
-    stack = [part]
-    while stack:
-        top = stack.pop()
-        if isinstance(top, tuple):
-            stack.extend(top)
-        else:
-            yield top
+    joined, made = [], n
+    for turn in range(n, 2 * n - 1):
+        _, _, sums_a, nodes_a = heapq.heappop(heap)
+        _, _, sums_b, nodes_b = heapq.heappop(heap)
+        sums = sums_a + sums_b[::-1]
+        order = sums.argsort(kind="stable")
+        sums, first, second = sums[order], nodes_a[order], nodes_b[::-1][order]
+        nodes = np.maximum(first, second)
+        both = np.flatnonzero((first >= 0) & (second >= 0))
+        nodes[both] = made + np.arange(len(both))
+        joined.append((made, first[both], second[both]))
+        made += len(both)
+        heapq.heappush(heap, (int(sums[0] - sums[-1]), turn, sums, nodes))
+    window = np.zeros(made, np.int64)
+    last = heap[0][3]
+    window[last[last >= 0]] = np.flatnonzero(last >= 0)
+    for start, first, second in reversed(joined):
+        window[first] = window[second] = window[start:start + len(first)]
+    found: list[list[int]] = [[] for _ in range(windows)]
+    for i, k in enumerate(window[:n].tolist()):
+        found[k].append(i)
+    return found
 
 
 def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -123,9 +133,10 @@ class WordIds:
 
     def encode(self, batch: list[bytes]) -> Iterator[bytes]:
         for start in range(0, len(batch), 256):
-            split = [text.split() for text in batch[start:start + 256]]
+            # letters in lower case share an entry; a special string must keep its own case
+            split = [(text if b"<|" in text else text.lower()).split() for text in batch[start:start + 256]]
             known = self.known
-            extra = self.learn({w for words in split for w in words if w not in known})
+            extra = self.learn(set(chain.from_iterable(split)).difference(known))
             short = {w: ids for w, ids in extra.items() if len(w) <= WORD_LIMIT}
             if len(known) + len(short) > CACHED:
                 rest = {w: known[w] for words in split for w in words if w in known}
@@ -137,7 +148,7 @@ class WordIds:
                 if long:
                     yield b"".join([known[w] if w in known else long[w] for w in words])
                 else:
-                    yield b"".join([known[w] for w in words])
+                    yield b"".join(itemgetter(*words)(known)) if len(words) > 1 else b"".join([known[w] for w in words])
 
 
 @cache
