@@ -23,7 +23,7 @@ import re
 import zlib
 from array import array
 from functools import cache
-from operator import sub
+from operator import itemgetter, sub
 from sys import byteorder
 
 import numpy as np
@@ -37,10 +37,11 @@ from narrascope.llm.common import map_batches
 # Fixed value: how the byte-level vocabulary splits text before its merges.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CHUNK = regex.compile(r"\s*\S+|\s+")
+WORD = regex.compile(r"\s*\S+")
 SPACES = regex.compile(r"\s*")
-PLAIN = re.compile(r"( ?[A-Za-z]+)([.,;:!?#$%&*|]*)")  # chunks of one or two pre-tokens
+PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]*)")  # chunks of one or two pre-tokens
 SHORT = 64  # longer chunks are not cached
-CACHED = 500_000  # chunks remembered by a worker
+CACHED = 1_500_000  # pieces of text remembered by a worker
 STEM, STEMS = 3, 150_000  # bytes between remembered stems, and stems remembered by a worker
 BORDERS = 400_000  # borders remembered by a worker
 STEP = np.dtype("<i2")
@@ -80,7 +81,7 @@ class Vocabulary:
         self.special_split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._holds: dict[tuple[int, int], bool] = {}
         self._stems: dict[bytes, tuple[list[int], list[int]]] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def border_holds(self, a: int, b: int) -> bool:
         """Whether two adjacent tokens stay apart: the merges of both are undone, latest first,
@@ -164,32 +165,51 @@ class Vocabulary:
             before += counts[-1]
         return found[:len(chunk)]
 
-    def chunk_steps(self, chunk: str) -> bytes:
-        known = self._chunks.get(chunk)
-        if known is None:
-            plain = PLAIN.fullmatch(chunk)
-            if plain:
-                counts = self.counts(plain[1].encode())
-                if plain[2]:
-                    counts += [counts[-1] + c for c in self.counts(plain[2].encode())]
-            else:
-                counts = self._chunk_counts(chunk)
-            steps = array("h", map(sub, counts, (0, *counts[:-1])))
-            if byteorder == "big":
-                steps.byteswap()
-            known = steps.tobytes()
-            if len(chunk) <= SHORT:
-                if len(self._chunks) >= CACHED:
-                    self._chunks.clear()
-                self._chunks[chunk] = known
-        return known
+    def _chunk_steps(self, chunk: str) -> bytes:
+        plain = PLAIN.fullmatch(chunk)
+        if plain:
+            counts = self._piece(plain[1])
+            if plain[2]:
+                counts += [counts[-1] + c for c in self.counts(plain[2].encode())]
+        else:
+            counts = self._chunk_counts(chunk)
+        steps = array("h", map(sub, counts, (0, *counts[:-1])))
+        if byteorder == "big":
+            steps.byteswap()
+        return steps.tobytes()
 
     def _plain_steps(self, text: str) -> bytes:
-        chunks, known = CHUNK.findall(text), self._chunks
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            return b"".join(map(self.chunk_steps, chunks))
+        """Steps of a text without special strings: its chunks' steps one after the other.
+
+        In a text whose words are parted by one space or line break each, the chunks are what lies
+        between the spaces (a line break stays with the word after it). Other texts are cut by
+        the pattern.
+        """
+        head, *rest = text.replace("\n", " \n").split(" ")
+        known = self._pieces
+        found = {}
+        if not CHUNK.fullmatch(head):
+            rest = None
+        else:
+            for piece in set(rest).difference(known):
+                chunk = piece if piece[:1] == "\n" else " " + piece
+                if not WORD.fullmatch(chunk):
+                    rest = None
+                    break
+                found[piece] = self._chunk_steps(chunk)
+        if rest is None:
+            return b"".join(map(self._chunk_steps, CHUNK.findall(text)))
+        short = {p: s for p, s in found.items() if len(p) <= SHORT}
+        if len(known) + len(short) > CACHED:
+            kept = {p: known[p] for p in rest if p in known}
+            known.clear()
+            known.update(kept)
+        known.update(short)
+        if len(short) < len(found):
+            parts = [known[p] if p in known else found[p] for p in rest]
+        else:
+            parts = itemgetter(*rest)(known) if len(rest) > 1 else [known[p] for p in rest]
+        return self._chunk_steps(head) + b"".join(parts)
 
     def steps(self, text: str) -> np.ndarray:
         """Per character: how much the token count of the prefix changes with it."""
