@@ -47,11 +47,11 @@ from narrascope.session import new_scratch
 END = b"\n"  # no word can equal it
 SEED = 42
 WORDS_PER_FILE = 1 << 20
-TOKENS_PER_FILE = 1 << 22
-TOKENS_AT_ONCE = 1 << 22  # tokens a task counts before it sends them on
-SCORED_AT_ONCE = 1 << 19
-DISTINCT_AT_ONCE = 1 << 19  # different words a task counts before it sends them on
-CACHED = 500_000  # words remembered by a worker
+TOKENS_PER_FILE = 1 << 21
+TOKENS_AT_ONCE = 1 << 21  # tokens a task counts before it sends them on
+SCORED_AT_ONCE = 1 << 18
+DISTINCT_AT_ONCE = 300_000  # different words a task counts before it sends them on
+CACHED = 300_000  # words remembered by a worker
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,8 +152,10 @@ class Arrays:
         """Values of a dense table, which lies in slices, at the given ids; 0 for unknown words."""
         out = np.zeros(len(ids), np.float64)
         slices = ids >> 20
-        for k in np.unique(slices[ids >= 0]):
+        for k in range(slices.max(initial=-1) + 1):
             at = np.flatnonzero(slices == k)
+            if not len(at):
+                continue
             out[at] = self.array(f"{name}-{k}")[ids[at] & (1 << 20) - 1]
         return out
 
@@ -163,24 +165,28 @@ class Arrays:
         out = np.zeros(len(ids), np.int64)
         ok = (ids >= 0) & (ids < self.model.words)
         file = np.searchsorted(offsets, ids, side="right") - 1
-        for k in np.unique(file[ok]):
-            at = np.flatnonzero(ok & (file == k))
+        file[~ok] = -1
+        for k in range(len(offsets)):
+            at = np.flatnonzero(file == k)
+            if not len(at):
+                continue
             out[at] = self.array(f"counts-{k}")[ids[at] - offsets[k]]
         return out
 
-    def bigram_file(self, histories: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The file of a bigram: by history, and a frequent history by the word as well."""
-        parts = 1 + self.counts(histories) // TOKENS_PER_FILE
+    def bigram_file(self, histories: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The file of a bigram: by history, and a frequent history (given its count) by the word as well."""
+        parts = 1 + counts // TOKENS_PER_FILE
         start = histories == self.model.words  # the start of a text may be frequent too
         parts[start] = self.model.bigram_files
         mixed = histories.astype(np.uint64) * np.uint64(31) + (words % parts).astype(np.uint64) + np.uint64(1)
         return ((mixed * SPREAD) >> np.uint64(33)).astype(np.int64) % self.model.bigram_files
 
-    def bigram_counts(self, histories: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def bigram_counts(self, histories: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Training counts of bigrams, given the counts of their histories; 0 for unknown ones."""
         found = np.zeros(len(words), np.int64)
         known = np.flatnonzero((histories >= 0) & (words >= 0))
         keys = histories[known].astype(np.uint64) * np.uint64(self.model.words + 1) + words[known].astype(np.uint64)
-        file = self.bigram_file(histories[known], words[known])
+        file = self.bigram_file(histories[known], words[known], counts[known])
         order = np.lexsort((keys, file))
         for part in np.split(order, np.flatnonzero(np.diff(file[order])) + 1):
             if not len(part):
@@ -200,20 +206,23 @@ class Arrays:
         """Per token: training count, base log10 probability, model log10 probability."""
         m = self.model
         ids = self.ids(documents)
-        seen = self.counts(ids)
-        base = np.log10((seen + 1.0) / (m.tokens + m.words + 1.0))
-        history = np.concatenate(([m.words], ids[:-1]))
-        history[np.cumsum([0, *map(len, documents[:-1])])] = m.words
+        # tables are read once per different word of the portion, the start of a text among them
+        own, place = np.unique(np.append(ids, m.words), return_inverse=True)
+        word, start = place[:-1], place[-1]
+        before = np.concatenate(([start], word[:-1]))
+        before[np.cumsum([0, *map(len, documents[:-1])])] = start
+        counts = self.counts(own)
+        base = np.log10((counts + 1.0) / (m.tokens + m.words + 1.0))[word]
         if not m.bigrams:
-            return seen, base, np.zeros(len(ids))
-        kinds = self.by_id("continuations", ids)
+            return counts[word], base, np.zeros(len(ids))
+        kinds = self.by_id("continuations", own)
         low = (kinds - discounted(kinds, m.low) + m.low_mass / (m.words + 1)) / m.bigrams
-        times = self.bigram_counts(history, ids).astype(np.float64)
-        total = self.by_id("totals", history)
-        rest = sum(d * self.by_id(f"n{k}", history) for k, d in enumerate(m.high, 1))
+        total = self.by_id("totals", own)
         safe = np.maximum(total, 1)
-        value = np.where(total > 0, (times - discounted(times, m.high)) / safe + rest / safe * low, low)
-        return seen, base, np.log10(value)
+        rest = sum(d * self.by_id(f"n{k}", own) for k, d in enumerate(m.high, 1)) / safe
+        times = self.bigram_counts(own[before], ids, counts[before]).astype(np.float64)
+        value = np.where(total[before] > 0, (times - discounted(times, m.high)) / safe[before] + rest[before] * low[word], low[word])
+        return counts[word], base, np.log10(value)
 
 
 def discounted(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
@@ -294,7 +303,8 @@ def _count_bigrams(model: Model):
             counts = np.diff(np.append(first, len(keys))).astype(np.uint32)
             keys = keys[first]
             base = np.uint64(model.words + 1)
-            file = lookup.bigram_file((keys // base).astype(np.int64), (keys % base).astype(np.int64))
+            histories = (keys // base).astype(np.int64)
+            file = lookup.bigram_file(histories, (keys % base).astype(np.int64), lookup.counts(histories))
             order = np.argsort(file, kind="stable")
             parts = [p for p in np.split(order, np.flatnonzero(np.diff(file[order])) + 1) if len(p)]
             return pa.RecordBatch.from_arrays([
