@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from dataclasses import dataclass
 
 
@@ -39,7 +40,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 12
 GRAMS = (3, 6)  # shortest and longest n-gram, in characters, end marks included
 WINDOW = 8  # words
-PER_CLASS = 2000  # labelled rows of each class that training reads
+PER_CLASS = 1500  # labelled rows of each class that training reads
 VISITS = 24_000  # texts that training visits, repeats counted, however many there are
 BATCH = 32
 RATE = 0.3
@@ -97,10 +98,13 @@ def train(documents: list[list[bytes]], toxic: np.ndarray, visits: int = VISITS,
         softmax[:] = 0
         return Model(vectors, softmax, bias)
     place: dict[bytes, int] = {}
-    rows = [np.array([place.setdefault(w, len(place)) for w in words], np.int64) for words in documents]
-    grams = [buckets_of(w) for w in place]
-    sizes = np.array([len(g) for g in grams])
-    flat = np.array([b for g in grams for b in g], np.int64)
+    rows = [np.array([place.setdefault(w, len(place)) for w in words], np.int32) for words in documents]
+    buckets, lengths = array("i"), array("i")
+    for word in place:
+        own = buckets_of(word)
+        buckets.extend(own)
+        lengths.append(len(own))
+    flat, sizes = np.array(buckets, np.int32), np.array(lengths, np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     squares = [np.full_like(p, 1e-4) for p in (vectors, softmax, bias)]
     for turn in range(1 + visits // len(rows)):
