@@ -101,7 +101,7 @@ class WordIds:
     PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([.,;:!?#$%&*|]*)")
     UNIT_END = "</w>"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -109,6 +109,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.UNIT_END)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.cached = cached
 
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -138,7 +139,7 @@ class WordIds:
             known = self.known
             extra = self.learn(set(chain.from_iterable(split)).difference(known))
             short = {w: ids for w, ids in extra.items() if len(w) <= WORD_LIMIT}
-            if len(known) + len(short) > CACHED:
+            if len(known) + len(short) > self.cached:
                 rest = {w: known[w] for words in split for w in words if w in known}
                 known.clear()
                 known.update(rest)
@@ -152,21 +153,22 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, cached: int) -> WordIds:
+    return WordIds(path, cached)
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                   capacity: int = CAPACITY, grain: int = GRAIN, group: int = GROUP, with_ids: bool = True) -> DataFrame:
+                   capacity: int = CAPACITY, grain: int = GRAIN, group: int = GROUP, with_ids: bool = True,
+                   cached: int = CACHED) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves
-    (`ids`, little-endian 32-bit) on request."""
+    (`ids`, little-endian 32-bit) on request. `cached` words are remembered by a worker."""
     kind = docs.schema[id_col].dataType
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     types = [None, *[pa.int64()] * 6, *([pa.binary()] if with_ids else [])]
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path)
+        encoder = word_ids(path, cached)
         sequence = TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []
 
