@@ -47,11 +47,12 @@ def _(t):
 
 
 @query("mean_pool_l2", """
-WITH long AS (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings WHERE vec_id % 7 <> 0),
-m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM long GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
+WITH long AS (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS i,
+  CASE WHEN vec_id % 7 <> 0 AND label <> 2 THEN 1 ELSE 0 END AS k FROM embeddings),
+m AS (SELECT label, i, sum(CASE WHEN k = 1 THEN CAST(x AS DOUBLE) ELSE 0 END) / greatest(sum(k), 1e-9::DOUBLE) AS x FROM long GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
 SELECT label, CAST(i AS INT) AS i, round_even(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM m JOIN n USING (label)""")
 def _(t):
-    tokens = t.embeddings.withColumn("mask", (F.col("vec_id") % 7 != 0).cast("int"))
+    tokens = t.embeddings.withColumn("mask", ((F.col("vec_id") % 7 != 0) & (F.col("label") != 2)).cast("int"))
     pooled = M.mean_pool(tokens, "label", "embedding", "mask")
     long = pooled.select("label", F.posexplode("embedding").alias("i", "x"))
     return long.select("label", (F.col("i") + 1).alias("i"), F.bround("x", 6).alias("x"))

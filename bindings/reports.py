@@ -271,7 +271,7 @@ STORED = ("report_id", "site", "status", "risk_score", "source")
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 SUBMITTED = f"""
 SELECT CASE WHEN l_returnflag = 'R' THEN concat('NEW-', CAST(l_partkey AS VARCHAR))
-            ELSE concat('RPT-', lpad(CAST(l_orderkey AS VARCHAR), 8, '0')) END AS report_id,
+            ELSE concat('RPT-', lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(length(CAST(l_orderkey AS VARCHAR)), 8) AS INT), '0')) END AS report_id,
        concat('line ', l_linestatus, CAST(l_linenumber AS VARCHAR)) AS site, 'Reviewed' AS status,
        CAST(floor(l_quantity) AS INT) AS risk_score, concat('feed ', l_returnflag, CAST(l_suppkey AS VARCHAR)) AS source,
        {", ".join(LINE_ORDER)}
@@ -380,7 +380,7 @@ def _(t):
 
 
 @query("submission_defaults", """
-SELECT id, CASE WHEN status = 'Closed' THEN concat('DRAFT-', strftime(ts, '%Y%m%d%H%M%S'), '000000') ELSE report_id END AS report_id,
+SELECT id, CASE WHEN status = 'Closed' THEN concat('DRAFT-', strftime(ts, '%Y%m%d%H%M%S'), '000000-', CAST(id AS VARCHAR)) ELSE report_id END AS report_id,
        strftime(ts, '%Y-%m-%d') AS date, CASE WHEN sif_potential = 'No' THEN 'Unknown' ELSE site END AS site,
        'Manual' AS report_type, CASE WHEN risk_score > 50 THEN risk_score ELSE 0 END AS risk_score,
        CASE WHEN risk_score > 50 THEN concat('[{"phrase":"', activity, '","weight":0.5}]') ELSE '[]' END AS top_phrases
@@ -393,4 +393,4 @@ def _(t):
         F.lit(None).cast("string").alias("date"), F.when(F.col("sif_potential") != "No", F.col("site")).alias("site"),
         F.lit(None).cast("string").alias("report_type"), F.when(high, F.col("risk_score")).alias("risk_score"),
         F.when(high, phrases).alias("top_phrases"), "ts")
-    return submission_defaults(partial, F.col("ts")).drop("ts", "analyzed_at")
+    return submission_defaults(partial, F.col("ts"), "id").drop("ts", "analyzed_at")

@@ -42,7 +42,7 @@ SELECT concat(d.source, '__', CAST(d.doc_id AS VARCHAR)) AS record_id, d.doc_id,
        CASE WHEN l.quality IS NULL THEN 'UNKNOWN' WHEN l.quality = 1 THEN 'No' ELSE 'Yes' END AS sif_potential
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "reports": """
-SELECT o.o_orderkey AS id, concat('RPT-', lpad(CAST(o.o_orderkey AS VARCHAR), 8, '0')) AS report_id,
+SELECT o.o_orderkey AS id, concat('RPT-', lpad(CAST(o.o_orderkey AS VARCHAR), CAST(greatest(length(CAST(o.o_orderkey AS VARCHAR)), 8) AS INT), '0')) AS report_id,
        o.o_custkey AS reporter_id, n.n_name AS site, c.c_mktsegment AS activity,
        CASE o.o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'P' THEN 'Investigation' ELSE 'Submitted' END AS status,
        CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Yes'
@@ -175,4 +175,4 @@ class Tables:
 
 def report_id(key) -> "F.Column":
     text = key.cast("string")
-    return F.concat(F.lit("RPT-"), F.lpad(text, 8, "0"))
+    return F.concat(F.lit("RPT-"), F.lpad(text, F.greatest(F.length(text), F.lit(8)), F.lit("0")))

@@ -13,6 +13,16 @@ CRITICAL_ACTION = "critical_flag_raised"
 CRITICAL_REASON = "Auto-flagged for immediate Reviewer alert"
 
 
+def keyed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that have a key. Rows without one cannot be matched, and grouping would merge them."""
+    return rows.filter(F.col(key).isNotNull())
+
+
+def rejected(rows: DataFrame, key: str) -> DataFrame:
+    """The rows that `upsert` and `insert_ignore` leave out for lack of a key, to be counted or kept aside."""
+    return rows.filter(F.col(key).isNull())
+
+
 def latest_per_key(versions: DataFrame, key: str, order: str) -> DataFrame:
     """The last version of every key.
 
@@ -20,6 +30,7 @@ def latest_per_key(versions: DataFrame, key: str, order: str) -> DataFrame:
     meet in one task.
     """
     names = [name for name in versions.columns if name != key]
+    versions = keyed(versions, key)
     latest = versions.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("v"))
     return latest.select(key, "v.*").select(*versions.columns)
 
@@ -29,8 +40,10 @@ def upsert(current: DataFrame, new: DataFrame, key: str, order: str | None = Non
     """Insert new keys; on a known key take the listed columns from the new row.
 
     Several new rows of one key count as successive submissions: the last one
-    by `order` supplies the listed columns, the first one the others.
+    by `order` supplies the listed columns, the first one the others. New rows
+    without a key are left out (see `rejected`).
     """
+    new = keyed(new, key)
     if order is not None:
         names = [name for name in current.columns if name != key]
         new = new.groupBy(key).agg(
@@ -55,6 +68,7 @@ def upsert(current: DataFrame, new: DataFrame, key: str, order: str | None = Non
 def insert_ignore(current: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Add rows with unknown keys; the first of several new rows of a key wins."""
     names = [name for name in current.columns if name != key]
+    new = keyed(new, key)
     first = new.groupBy(key).agg(F.min_by(F.struct(*names), order).alias("v")).select(key, "v.*")
     return current.unionByName(first.join(current.select(key), key, "left_anti").select(*current.columns))
 

@@ -74,14 +74,17 @@ def embed_with(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]]
 def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
     """Masked mean of token vectors per key, divided by its norm (zero vectors stay).
 
+    A key whose tokens are all masked keeps its row, with a zero vector.
+
     The summarizer keeps one running vector per key and task; vectors are
     neither exploded nor collected.
     """
-    weight = F.col(mask).cast("double")
-    pooled = tokens.groupBy(key).agg(
-        F.sum(weight).alias("_w"),
-        Summarizer.mean(array_to_vector(F.transform(vector, lambda x: x.cast("double"))), weight).alias("_m"))
-    return unit_vector(pooled.filter("_w > 0").withColumn("_a", vector_to_array("_m")), "_a").select(
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+    weighted = F.transform(vector, lambda x: F.when(weight == 0, 0.0).otherwise(x.cast("double") * weight))
+    # every token counts in the sum, so that a fully masked key has one too
+    pooled = tokens.groupBy(key).agg(F.sum(weight).alias("_w"), Summarizer.sum(array_to_vector(weighted)).alias("_m"))
+    mean = F.transform(vector_to_array("_m"), lambda x: x / F.greatest(F.col("_w"), F.lit(1e-9)))
+    return unit_vector(pooled.withColumn("_a", mean), "_a").select(
         key, F.col("_a").alias("embedding"))
 
 

@@ -74,12 +74,18 @@ def draft_id(submitted_at: Column) -> Column:
     return F.concat(F.lit("DRAFT-"), F.date_format(submitted_at, "yyyyMMddHHmmssSSSSSS"))
 
 
-def submission_defaults(df: DataFrame, submitted_at: Column) -> DataFrame:
-    """Complete submitted rows: ids, defaults and JSON text columns for the store."""
+def submission_defaults(df: DataFrame, submitted_at: Column, position: str | None = None) -> DataFrame:
+    """Complete submitted rows: ids, defaults and JSON text columns for the store.
+
+    A draft id is the time and the unique `position` column, or without one a hash of
+    the row, so that rows of one batch get different ids.
+    """
+    content = F.lower(F.hex(F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))))
+    draft = F.concat_ws("-", draft_id(submitted_at), content if position is None else F.col(position).cast("string"))
     defaults = {**SUBMISSION_DEFAULTS, **NUMBER_DEFAULTS}
     filled = df.na.fill({name: value for name, value in defaults.items() if name in df.columns})
     made = {
-        "report_id": F.coalesce(F.nullif(F.col("report_id"), F.lit("")), draft_id(submitted_at)),
+        "report_id": F.coalesce(F.nullif(F.col("report_id"), F.lit("")), draft),
         "date": F.coalesce(F.col("date"), F.date_format(submitted_at, "yyyy-MM-dd")),
         "top_phrases": F.coalesce(F.to_json("top_phrases"), F.lit("[]")),
         "sif_reasons": F.to_json("sif_reasons"),

@@ -42,11 +42,13 @@ class Ingested:
 
 
 def ingest(spark: SparkSession, manifest: DataFrame, readers: Mapping[str, Callable[[], DataFrame | None]],
-           mappers: Mapping[str, Mapper], ingestion_date: str, keep_empty: bool = False) -> Ingested:
+           mappers: Mapping[str, Mapper], ingestion_date: str,
+           keep_empty: bool | frozenset[str] = False) -> Ingested:
     """Walk the manifest and map every usable source; others are listed with the reason.
 
     The manifest is a table of sources, so its loop builds a plan and moves no
-    data. A reader returns None when its file is missing.
+    data. A reader returns None when its file is missing. Rows without a narrative
+    are dropped, except for all sources (`keep_empty` true) or those it names.
     """
     parts, read_counts, notes = [], [], []
     for row in manifest.toLocalIterator():
@@ -67,7 +69,7 @@ def ingest(spark: SparkSession, manifest: DataFrame, readers: Mapping[str, Calla
             read_counts.append(frame.agg(F.count(F.lit(1)).alias("rows_read")).select(
                 F.lit(name).alias("dataset"), "rows_read"))
         if reason is None:
-            kept = frame if keep_empty else drop_empty(frame, narrative)
+            kept = frame if keep_empty is True or (keep_empty and name in keep_empty) else drop_empty(frame, narrative)
             provenance = Provenance(name, row["source_organization"], row["source_url"], row["source_type_value"])
             parts.append(mappers[name](kept, provenance, ingestion_date))
 
