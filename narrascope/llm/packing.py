@@ -38,6 +38,7 @@ from narrascope.llm.common import texts
 CAPACITY = 2048
 GRAIN = 512
 GROUP = 512  # pieces that are packed together
+SENT = 512  # pieces that a task sends on at once
 CACHED = 1_500_000  # words remembered by a worker
 WORD_LIMIT = 64  # longer words are not remembered
 END = 1  # id after every document
@@ -205,7 +206,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 while len(waiting) >= group:
                     part, waiting = waiting[:group], waiting[group:]
                     done += packed(part)
-                if len(done) >= 8192:
+                if len(done) >= SENT:
                     yield rows_of(done, id_type)
                     done = []
             if done:
