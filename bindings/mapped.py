@@ -153,6 +153,44 @@ def _(t):
     return _ingest(t).master.select("record_id", "source_dataset", F.md5("narrative_text").alias("text_md5"), "source_url")
 
 
+FROM_FILES = "\nUNION ALL BY NAME ".join((f"""
+SELECT concat('hazmat__', raw, CASE WHEN rn > 1 THEN concat('_dup', CAST(rn - 1 AS VARCHAR)) ELSE '' END) AS record_id, 'hazmat' AS source_dataset,
+  {sql_unknown('told')} AS narrative_text
+FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY o_orderkey) AS rn FROM (
+  SELECT *, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS told,
+    CASE WHEN o_orderkey % 4 = 0 THEN concat('phmsa_', CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS VARCHAR))
+      ELSE concat('I-', CAST(o_custkey AS VARCHAR)) END AS raw FROM orders))""", """
+SELECT concat('severe__', CAST(user_id AS VARCHAR), CASE WHEN rn > 1 THEN concat('_dup', CAST(rn - 1 AS VARCHAR)) ELSE '' END) AS record_id,
+  'severe' AS source_dataset, event_type AS narrative_text
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type <> 'error')"""))
+
+
+@query("ingest_files", FROM_FILES)
+def _(t):
+    """Orders and events as CSV files, read in file order and mapped; hazmat rows without a narrative stay."""
+    path = new_scratch(t.spark, "sources")
+    hazmat = t.orders.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("<b>I-"), F.col("o_custkey").cast("string"), F.lit("</b>"))).alias("Report Number"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("Description Of Events"))
+    severe = t.events.select(
+        "event_id", F.col("user_id").cast("double").cast("string").alias("ID"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("Final Narrative"))
+    for name, rows, key in (("hazmat jan 2020", hazmat, "o_orderkey"), ("severe", severe, "event_id")):
+        files.write_csv(rows.repartitionByRange(4, key).sortWithinPartitions(key).drop(key), f"{path}/{name}")
+
+    def reader(name: str):
+        return lambda: files.read_csv_robust(t.spark, [f"{path}/{name}"], multiline=False, position=True)
+
+    listed = manifest.build_manifest(t.spark, [
+        {"dataset_name": "hazmat", "narrative_text_column": "Description Of Events"},
+        {"dataset_name": "severe", "narrative_text_column": "Final Narrative"}], {})
+    done = manifest.ingest(
+        t.spark, listed, {"hazmat": reader("hazmat jan 2020"), "severe": reader("severe")},
+        {"hazmat": mapping.map_hazmat, "severe": mapping.map_severe_injury}, DAY, keep_empty=frozenset({"hazmat"}))
+    return done.master.select("record_id", "source_dataset", "narrative_text")
+
+
 # --- the six mappers ----------------------------------------------------------
 
 def master_sql(dataset: str, source_type: str, record: str, table: str, given: dict[str, str]) -> str:

@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.operators.skew import lookup_join
 from narrascope.schemas import strings
-from narrascope.session import local_table
+from narrascope.session import local_table, written
 
 FALLBACK_ENCODING = "ISO-8859-1"
 FILE = "_file"
+POSITION = "_position"
+SURPLUS = "_surplus"  # first field beyond the header
+# a row's number within its task is the low part of its increasing id
+IN_TASK = (1 << 33) - 1
+
+
+def file_name() -> Column:
+    """The path of a row's file; the metadata column holds it URI-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path whose brackets, braces, stars and question marks are not read as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def file_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -22,7 +39,7 @@ def file_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
     header is the first line of the first split.
     """
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias(FILE),
+        file_name().alias(FILE),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
         "value")
     return lines.groupBy(FILE).agg(
@@ -37,10 +54,45 @@ def _columns(header: bytes, is_utf8: bool, fallback: str) -> tuple[str, ...]:
 
 def _read_group(spark: SparkSession, files: list[str], names: tuple[str, ...], encoding: str,
                 multiline: bool) -> DataFrame:
-    return (spark.read.schema(strings(*names)).options(
-        header=True, enforceSchema=True, escape='"', mode="DROPMALFORMED", encoding=encoding,
+    """Lines of files with one header; SURPLUS is set on lines with more fields than it has."""
+    rows = (spark.read.schema(strings(*names, SURPLUS)).options(
+        header=True, enforceSchema=True, escape='"', mode="PERMISSIVE", encoding=encoding,
         multiLine=multiline, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        .csv(files).withColumn(FILE, F.col("_metadata.file_path")))
+        .csv([literal_path(file) for file in files]))
+    return rows.select(
+        "*", file_name().alias(FILE), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(IN_TASK)).alias("_at"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a dense 0-based position in the order of file name, block and line.
+
+    A block is read by one task from its first line to its last, so a row's number in
+    its block is its number in the task less that of the block's first row. Only
+    (file, block, count) is gathered; rows are neither sorted nor shuffled while the
+    blocks fit a broadcast.
+    """
+    blocks = written(rows.groupBy(FILE, "_start").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")), "file-blocks")
+    # one row per file, then one per block of a file
+    per_file = blocks.groupBy(FILE).agg(F.sum("_n").alias("_rows"))
+    before = W.orderBy(FILE).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(FILE).orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    files = per_file.select(FILE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_files"))
+    offsets = blocks.join(files, FILE).select(
+        FILE, "_start", (F.col("_files") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) - F.col("_first")).alias("_offset"))
+    placed = lookup_join(rows, written(offsets, "file-offsets"), [FILE, "_start"], F.col("_at"))
+    return placed.withColumn(POSITION, F.col("_offset") + F.col("_at")).drop("_offset")
+
+
+def _rows(parts: list[DataFrame], position: bool) -> DataFrame:
+    """The kept lines of all groups of files."""
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part, allowMissingColumns=True)
+    if position:
+        result = _numbered(result)
+    return result.filter(F.col(SURPLUS).isNull()).drop(SURPLUS, "_start", "_at")
 
 
 def _groups(spark: SparkSession, paths: list[str], fallback: str) -> dict[tuple, list[str]]:
@@ -53,35 +105,49 @@ def _groups(spark: SparkSession, paths: list[str], fallback: str) -> dict[tuple,
 
 
 def read_csv_robust(spark: SparkSession, paths: list[str], fallback: str = FALLBACK_ENCODING,
-                    multiline: bool = True) -> DataFrame:
+                    multiline: bool = True, position: bool = False) -> DataFrame:
     """CSV files with a header, each read in UTF-8 or the fallback encoding.
 
-    Malformed lines are skipped; columns are strings; files may differ in
-    columns. Turn `multiline` off for files without line breaks inside fields
-    and Spark can split them.
+    Columns are strings; files may differ in columns. A line with fewer fields than
+    the header has nulls in the others; a line with a value beyond the header is
+    skipped (`surplus_lines` counts them). `position` adds the line's place among all
+    lines, in the order of file names, which the source mappers number rows by.
+    Turn `multiline` off for files without line breaks inside fields and Spark can
+    split them.
     """
-    result = None
-    for (names, encoding), files in sorted(_groups(spark, paths, fallback).items()):
-        part = _read_group(spark, files, names, encoding, multiline)
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
-    if result is None:
+    groups = sorted(_groups(spark, paths, fallback).items())
+    if not groups:
         raise FileNotFoundError(", ".join(paths))
-    return result
+    return _rows([_read_group(spark, files, names, encoding, multiline)
+                  for (names, encoding), files in groups], position)
+
+
+def surplus_lines(spark: SparkSession, paths: list[str], fallback: str = FALLBACK_ENCODING,
+                  multiline: bool = True) -> DataFrame:
+    """(file, lines): lines that the readers skip because a value lies beyond the header."""
+    counted = local_table(spark, [], "file string, lines bigint")
+    for (names, encoding), files in sorted(_groups(spark, paths, fallback).items()):
+        part = _read_group(spark, files, names, encoding, multiline).filter(F.col(SURPLUS).isNotNull())
+        counted = counted.unionByName(part.groupBy(F.col(FILE).alias("file")).agg(F.count(F.lit(1)).alias("lines")))
+    return counted
 
 
 def scan_drifting_dir(spark: SparkSession, paths: list[str], required: list[str],
-                      fallback: str = FALLBACK_ENCODING, multiline: bool = True) -> tuple[DataFrame | None, DataFrame]:
-    """Rows of the files that have all required columns, and a report of the others."""
-    result, lacking = None, []
+                      fallback: str = FALLBACK_ENCODING, multiline: bool = True,
+                      position: bool = False) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of the files that have all required columns, and a report of the others.
+
+    Short and over-long lines and `position` are as in `read_csv_robust`.
+    """
+    parts, lacking = [], []
     for (names, encoding), files in sorted(_groups(spark, paths, fallback).items()):
         missing = [name for name in required if name not in names]
         if missing:
             lacking += [(file, missing) for file in files]
-            continue
-        part = _read_group(spark, files, names, encoding, multiline)
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
+        else:
+            parts.append(_read_group(spark, files, names, encoding, multiline))
     report = local_table(spark, lacking, "file string, missing array<string>")
-    return result, report
+    return _rows(parts, position) if parts else None, report
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = True, mode: str = "error") -> None:

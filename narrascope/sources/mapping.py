@@ -14,11 +14,9 @@ from narrascope.functions.text import (
 from narrascope.operators.identity import dedupe_ids, fallback_ids, row_index_ids
 from narrascope.schemas import MASTER_COLUMNS, SCHEMA_VERSION, UNKNOWN
 from narrascope.session import local_table
+from narrascope.sources.files import POSITION
 from narrascope.sources.term_maps import RISK_OF_LEVEL, SERIOUS_LEVELS
 
-POSITION = "_position"
-
-
 @dataclass(frozen=True)
 class Provenance:
     """What the manifest says about a source."""

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from narrascope.operators.evidence import load_vocabulary, vocabulary_from_taxonomy
@@ -22,6 +23,30 @@ def test_read_mixed_encodings_and_newlines(spark, tmp_path):
     assert "größe" in files.read_csv_robust(spark, [str(tmp_path)]).columns
 
 
+def test_short_and_long_lines_and_odd_names(spark, tmp_path):
+    (tmp_path / "jan 2020 [a]+50%.csv").write_text("id,text,flag\n1,one,x\n2,short\n3,long,x,more\n4\n5,five,x,\n")
+    got = {r["id"]: (r["text"], r["flag"]) for r in files.read_csv_robust(spark, [str(tmp_path)]).collect()}
+    assert got == {"1": ("one", "x"), "2": ("short", None), "4": (None, None), "5": ("five", "x")}
+    skipped = files.surplus_lines(spark, [str(tmp_path)]).collect()
+    assert [(r["file"].endswith("jan 2020 [a]+50%.csv"), r["lines"]) for r in skipped] == [(True, 1)]
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_positions_follow_files_and_lines(spark, tmp_path, multiline):
+    for name, rows in (("b.csv", range(400)), ("a 1.csv", range(400, 420)), ("c.csv", range(420, 1000))):
+        (tmp_path / name).write_text("id,text\n" + "".join(f"{i},row {i}{',x' if i == 410 else ''}\n" for i in rows))
+    expected = [str(i) for rows in (range(400, 420), range(400), range(420, 1000)) for i in rows]
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = files.read_csv_robust(spark, [str(tmp_path)], multiline=multiline, position=True)
+        got = [(r["_position"], r["id"]) for r in rows.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+    # a skipped line keeps its place
+    assert sorted(got) == [(i, v) for i, v in enumerate(expected) if v != "410"]
+
+
 def test_scan_reports_lacking_files(spark, tmp_path):
     (tmp_path / "1.csv").write_text("id,flag\n1,Yes\n")
     (tmp_path / "2.csv").write_text("id\n2\n")
