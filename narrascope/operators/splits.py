@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrascope.operators.skew import hot_only, left_lookup
+from narrascope.operators.skew import lookup_join, small
 from narrascope.schemas import SPLIT_SHARE
 from narrascope.session import written
 
@@ -19,21 +22,65 @@ def order_hash(unit: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", unit, F.lit(str(seed))))
 
 
-def _running(units: DataFrame, weight: str, name: str) -> DataFrame:
-    """Inclusive running sum of a weight along the order hash.
+def _cutoffs(units: DataFrame, keys: list[str], weight: str, target: Column, tie: str) -> DataFrame:
+    """Per key, the place (`hash`, `tie`) of the last unit taken while the running weight is below `target`.
 
-    Units are distinct and their hashes uniform, so the first hex digits cut
-    them into even blocks; 16^4 block totals are a bounded table.
+    Units are taken along the order hash and weigh at least one; `target` may use
+    `_size`, the key's whole weight. Hashes are uniform, so their first digits cut the
+    units into even blocks; only the block in which the target is reached is ordered.
     """
-    cut = units.withColumn("_block", F.substring("hash", 1, PREFIX))
-    totals = cut.groupBy("_block").agg(F.sum(weight).alias("_t"))
-    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_block").orderBy("hash", "unit").rowsBetween(W.unboundedPreceding, 0)
-    return (cut.withColumn("_local", F.sum(weight).over(inside))
-            .join(F.broadcast(offsets), "_block")
-            .withColumn(name, F.col("_before") + F.col("_local"))
-            .drop("_block", "_local", "_before"))
+    cut = units.select(*keys, "hash", tie, weight, F.substring("hash", 1, PREFIX).alias("_block"))
+    totals = cut.groupBy(*keys, "_block").agg(F.sum(weight).alias("_t"))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sized = totals.select(
+        *keys, "_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"),
+        F.sum("_t").over(W.partitionBy(*keys)).alias("_size"))
+    # one row per key
+    reached = written(sized.withColumn("_target", target).filter(F.col("_before") < F.col("_target")).groupBy(*keys).agg(
+        F.max(F.struct("_block", "_before", "_target")).alias("_last")).select(
+        *[F.col(key).alias(f"_k_{key}") for key in keys], "_last"), "split-blocks")
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys], F.col("_block") == F.col("_last._block"))
+    held = cut.join(F.broadcast(reached) if small(reached) else reached, same)
+    inside = W.partitionBy(*keys).orderBy("hash", tie).rowsBetween(W.unboundedPreceding, -1)
+    ahead = F.col("_last._before") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    return held.withColumn("_ahead", ahead).filter(F.col("_ahead") < F.col("_last._target")).groupBy(*keys).agg(
+        F.max(F.struct("hash", tie)).alias("_cut"))
+
+
+def _placed(candidate: Column, cuts: DataFrame) -> Column:
+    """The split of a unit by its own hash and the two cut-off places."""
+    place = F.struct(F.col("hash").alias("hash"), F.col("unit").alias("unit"))
+
+    def upto(name: str) -> Column:
+        return F.coalesce(place <= cuts.select(name).scalar(), F.lit(False))
+
+    return (F.when(candidate & upto("test"), "test")
+            .when(upto("validation"), "validation").otherwise("train"))
+
+
+def _units(df: DataFrame, group: str, row_id: str, synthetic: str, seed: int) -> DataFrame:
+    """One stored row per duplicate group or single record; `mixed` if its rows differ in being candidates."""
+    candidate = _candidate(group, row_id, synthetic)
+    return written(df.groupBy(split_unit(group, row_id).alias("unit")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(candidate).alias("candidate"),
+        (F.min(candidate) != F.max(candidate)).alias("mixed"),
+    ).withColumn("hash", order_hash(F.col("unit"), seed)), "split-units")
+
+
+def _candidate(group: str, row_id: str, synthetic: str) -> Column:
+    """Whether a row may be in test: real, single and with an id."""
+    return F.coalesce((F.col(group) == 0) & ~F.col(synthetic) & F.col(row_id).isNotNull(), F.lit(False))
+
+
+def _two_cuts(units: DataFrame, share: float) -> DataFrame:
+    """One stored row: the places of the last test candidate and of the last validation unit."""
+    target = F.bround(units.agg(F.sum("rows")).scalar() * F.lit(share)).cast("bigint")
+    pool = units.filter("candidate").withColumn("_one", F.lit(1).cast("bigint"))
+    test = written(_cutoffs(pool, [], "_one", target, "unit").select(F.col("_cut").alias("test")), "split-test")
+    place = F.struct("hash", "unit")
+    tested = F.coalesce(F.col("candidate") & (place <= test.scalar()), F.lit(False))
+    validation = _cutoffs(units.filter(~tested), [], "rows", target, "unit").select(F.col("_cut").alias("validation"))
+    return written(validation.withColumn("test", test.scalar()), "split-cuts")
 
 
 def split_units(df: DataFrame, group: str = "is_duplicate_group_id", row_id: str = "record_id",
@@ -45,23 +92,9 @@ def split_units(df: DataFrame, group: str = "is_duplicate_group_id", row_id: str
     smaller); validation then takes units until it has reached the target; the
     rest is train.
     """
-    unit = split_unit(group, row_id)
-    grouped = df.groupBy(unit.alias("unit")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max((F.col(group) == 0) & ~F.col(synthetic)).alias("candidate"),
-    ).withColumn("hash", order_hash(F.col("unit"), seed))
-    # the running sums read the units several times; their input is read once
-    units = written(grouped, "split-units")
-    total = units.agg(F.sum("rows")).scalar()
-    target = F.bround(total * F.lit(share)).cast("bigint")
-
-    pool = _running(units.withColumn("_pool", F.col("candidate").cast("bigint")), "_pool", "_taken")
-    tested = pool.withColumn("is_test", F.col("candidate") & (F.col("_taken") <= target)).drop("_pool", "_taken")
-    rest = tested.withColumn("_rest", F.when(F.col("is_test"), F.lit(0)).otherwise(F.col("rows")))
-    placed = _running(rest, "_rest", "_upto")
-    split = (F.when(F.col("is_test"), "test")
-             .when(F.col("_upto") - F.col("_rest") < target, "validation").otherwise("train"))
-    return placed.select("unit", "rows", split.alias("split"))
+    units = _units(df, group, row_id, synthetic, seed)
+    cuts = _two_cuts(units, share)
+    return units.select("unit", "rows", _placed(F.col("candidate"), cuts).alias("split"))
 
 
 def split_unit(group: str, row_id: str) -> Column:
@@ -72,34 +105,37 @@ def split_unit(group: str, row_id: str) -> Column:
 def group_split(df: DataFrame, group: str = "is_duplicate_group_id", row_id: str = "record_id",
                 synthetic: str = "is_synthetic", seed: int = 42,
                 share: float = SPLIT_SHARE) -> DataFrame:
-    """The input with a `split` column; members of a duplicate group stay together."""
-    units = written(split_units(df, group, row_id, synthetic, seed, share), "split-of-unit")
-    total = units.agg(F.sum("rows")).scalar()
-    hot = hot_only(units, total, "rows").select("unit")
+    """The input with `unit` and `split` columns; members of a duplicate group stay together.
+
+    Along the hash order a row's split follows from its own unit, its flag and two
+    cut-off places, so rows are not shuffled. Only where rows that repeat a record id
+    differ in their flag is the flag looked up. Rows without an id are one unit, never
+    in test.
+    """
+    units = _units(df, group, row_id, synthetic, seed)
+    cuts = _two_cuts(units, share)
+    mixed = units.filter("mixed").select("unit", "mixed")
     keyed = df.withColumn("unit", split_unit(group, row_id))
-    return left_lookup(keyed, units.select("unit", "split"), ["unit"], F.col(row_id), hot=hot)
+    keyed = lookup_join(keyed, mixed, ["unit"], F.xxhash64(row_id)).withColumn("hash", order_hash(F.col("unit"), seed))
+    candidate = F.coalesce("mixed", _candidate(group, row_id, synthetic))
+    return keyed.withColumn("split", _placed(candidate, cuts)).select(*df.columns, "unit", "split")
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, test_share: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Seeded split with the same test share in every label.
 
-    Ranks run inside (label, hash prefix) blocks; labels are few, so a label
-    with a third of all rows is still shared out over the blocks.
+    One cut-off place per label is found from blocks of the hash order; a label with
+    a third of all rows is shared out over them, and rows are not shuffled.
     """
-    cut = (df.withColumn("_hash", order_hash(F.col(row_id).cast("string"), seed))
-           .withColumn("_block", F.substring("_hash", 1, PREFIX)))
-    counts = cut.groupBy(label, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(label).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(label).alias("_label"), F.col("_block").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(label)).alias("_size"))
-    inside = W.partitionBy(label, "_block").orderBy("_hash", row_id)
-    ranked = cut.withColumn("_local", F.row_number().over(inside)).join(
-        offsets, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_block") == F.col("_b")))
-    is_test = F.col("_before") + F.col("_local") <= F.bround(F.col("_size") * F.lit(test_share))
-    return ranked.withColumn("split", F.when(is_test, "test").otherwise("train")).select(*df.columns, "split")
+    digest = order_hash(F.col(row_id).cast("string"), seed)
+    narrow = df.select(F.col(label).alias("_label"), F.col(row_id).alias("_id"), digest.alias("hash"),
+                       F.lit(1).cast("bigint").alias("_one"))
+    target = F.bround(F.col("_size") * F.lit(test_share))
+    cuts = written(_cutoffs(narrow, ["_label"], "_one", target, "_id"), "label-cuts")
+    placed = df.join(F.broadcast(cuts) if small(cuts) else cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
+    is_test = F.struct(digest.alias("hash"), F.col(row_id).alias("_id")) <= F.col("_cut")
+    return placed.withColumn("split", F.when(is_test, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def split_overlap(df: DataFrame, unit: str = "unit", split: str = "split") -> DataFrame:
