@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,6 +15,7 @@ from narrascope.schemas import EVIDENCE_FIELDS, UNKNOWN
 
 # letters whose lower case is not one equal-length letter, or that match others ignoring case
 FOLDING = ("İ", "ı", "ſ")
+GUARD_LETTERS = 4  # shorter words occur in most texts
 NO_HITS = "array<struct<category:string,phrase:string,at:int>>"
 
 Vocabulary = dict[str, list[tuple[str, list[str]]]]
@@ -48,12 +50,32 @@ def vocabulary_from_taxonomy(rules: DataFrame, field: str = "barrier") -> DataFr
         "phrase_order", "phrase")
 
 
-def _literal(categories: list[tuple[str, list[str]]]) -> Column:
-    """array<struct<category, array<struct<phrase, lowered>>>> as a literal."""
+def _guards(vocabulary: Vocabulary) -> dict[str, str]:
+    """Lowered phrase -> the part of it that is searched first.
+
+    A text without the guard cannot hold the phrase, so phrases that share a word are
+    searched only in texts that hold the word. Words are given out from the one that
+    most phrases share; a phrase that shares none guards itself.
+    """
+    open_phrases = {p.lower() for categories in vocabulary.values() for _, phrases in categories for p in phrases}
+    guards: dict[str, str] = {}
+    while open_phrases:
+        shared = Counter(word for phrase in open_phrases for word in set(phrase.split()) if len(word) >= GUARD_LETTERS)
+        word, times = max(shared.items(), key=lambda item: (item[1], len(item[0]), item[0]), default=("", 0))
+        if times < 2:
+            break
+        held = {phrase for phrase in open_phrases if word in phrase.split()}
+        guards.update(dict.fromkeys(held, word))
+        open_phrases -= held
+    return guards | {phrase: phrase for phrase in open_phrases}
+
+
+def _literal(categories: list[tuple[str, list[str]]], place: Callable[[str], int]) -> Column:
+    """array<struct<category, array<struct<phrase, lowered, guard>>>> as a literal; `guard` is a place in a list."""
     return F.array(*[
         F.struct(
             F.lit(category).alias("category"),
-            F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(p.lower()).alias("lowered"))
+            F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(p.lower()).alias("lowered"), F.lit(place(p)).alias("guard"))
                       for p in phrases]).alias("phrases"))
         for category, phrases in categories])
 
@@ -66,7 +88,7 @@ def _folds(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(letter)) for letter in FOLDING])
 
 
-def _search(categories: list[tuple[str, list[str]]], present: Callable[[Column], Column],
+def _search(literal: Column, present: Callable[[Column], Column],
             position: Callable[[Column], Column]) -> Column:
     """array<struct<category, phrase, at>> with one entry per category that occurs.
 
@@ -77,7 +99,7 @@ def _search(categories: list[tuple[str, list[str]]], present: Callable[[Column],
         return bound(F.get(F.filter(entry["phrases"], present), F.lit(0)), lambda found: F.struct(
             entry["category"].alias("category"), found["phrase"].alias("phrase"), position(found).alias("at")))
 
-    return F.filter(F.transform(_literal(categories), first), lambda hit: hit["phrase"].isNotNull())
+    return F.filter(F.transform(literal, first), lambda hit: hit["phrase"].isNotNull())
 
 
 def _all_hits(text: Column, wanted: dict[str, Column], vocabulary: Vocabulary) -> Column:
@@ -87,13 +109,21 @@ def _all_hits(text: Column, wanted: dict[str, Column], vocabulary: Vocabulary) -
     fold unusually take the slower regular-expression route.
     """
     nothing = F.array().cast(NO_HITS)
+    guards = _guards({field: vocabulary[field] for field in wanted})
+    words = sorted(set(guards.values()))
+    places = {word: i for i, word in enumerate(words)}
 
     def every(present, position) -> Column:
-        return F.struct(*[F.when(open_field, _search(vocabulary[field], present, position))
-                          .otherwise(nothing).alias(field) for field, open_field in wanted.items()])
+        return F.struct(*[F.when(open_field, _search(
+            _literal(vocabulary[field], lambda p: places[guards[p.lower()]]), present, position))
+            .otherwise(nothing).alias(field) for field, open_field in wanted.items()])
+
+    def guarded(low: Column) -> Column:
+        held = F.transform(F.array(*[F.lit(word) for word in words]), lambda word: F.contains(low, word))
+        return bound(held, lambda flags: every(
+            lambda p: F.get(flags, p["guard"]) & F.contains(low, p["lowered"]), lambda p: F.instr(low, p["lowered"])))
 
-    plain = bound(F.lower(text), lambda low: every(
-        lambda p: F.contains(low, p["lowered"]), lambda p: F.instr(low, p["lowered"])))
+    plain = bound(F.lower(text), guarded)
     folded = every(lambda p: F.regexp_like(text, _pattern(p["phrase"])),
                    lambda p: F.regexp_instr(text, _pattern(p["phrase"])))
     return F.when(_folds(text), folded).otherwise(plain)
@@ -164,12 +194,21 @@ def vocabulary_matches(df: DataFrame, vocabulary: Vocabulary, row_id: str = "rec
 
     Phrases are tested in place and only those found become rows.
     """
+    guards = _guards(vocabulary)
+    words = sorted(set(guards.values()))
+    places = {word: i for i, word in enumerate(words)}
     entries = F.array(*[
         F.struct(F.lit(field).alias("field"), F.lit(category).alias("category"), F.lit(phrase).alias("phrase"),
-                 F.lit(phrase.lower()).alias("lowered"))
+                 F.lit(phrase.lower()).alias("lowered"), F.lit(places[guards[phrase.lower()]]).alias("guard"))
         for field, categories in vocabulary.items() for category, phrases in categories for phrase in phrases])
     body = F.col(text)
-    plain = bound(F.lower(body), lambda low: F.filter(entries, lambda e: F.contains(low, e["lowered"])))
+
+    def guarded(low: Column) -> Column:
+        held = F.transform(F.array(*[F.lit(word) for word in words]), lambda word: F.contains(low, word))
+        return bound(held, lambda flags: F.filter(
+            entries, lambda e: F.get(flags, e["guard"]) & F.contains(low, e["lowered"])))
+
+    plain = bound(F.lower(body), guarded)
     folded = F.filter(entries, lambda e: F.regexp_like(body, _pattern(e["phrase"])))
     found = F.when(_folds(body), folded).otherwise(plain)
     return df.filter(usable_text(body)).select(row_id, F.explode(found).alias("m")).select(

@@ -151,6 +151,24 @@ def test_group_split_invariants(narratives, share, monkeypatch):
     assert len(validation) >= min(target, 88 - len(test))
 
 
+@pytest.mark.parametrize("share", [0.0, 0.15, 0.9])
+def test_group_split_agrees_with_units_and_moves_no_rows(spark, share):
+    # every fifth record id occurs twice, once as a synthetic row; some ids are null
+    rows = [(None if i % 31 == 7 else f"r{i}", 0 if i % 4 else i // 40 + 1, i % 6 == 0, f"text {i}") for i in range(300)]
+    rows += [(f"r{i}", 0, True, f"again {i}") for i in range(0, 300, 5) if i % 4]
+    df = spark.createDataFrame(rows, "record_id string, is_duplicate_group_id int, is_synthetic boolean, narrative_text string")
+    got = splits.group_split(df, share=share)
+    assert got.columns == [*df.columns, "unit", "split"]
+    per_unit = {r["unit"]: r["split"] for r in splits.split_units(df, share=share).collect()}
+    done = got.collect()
+    assert Counter(r["narrative_text"] for r in done) == Counter(r[3] for r in rows)
+    assert all(per_unit[r["unit"]] == r["split"] for r in done)
+    if share == 0:
+        assert set(per_unit.values()) == {"train"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning" in line and "narrative_text" in line for line in plan.splitlines())
+
+
 def test_split_checks_find_leaks(spark):
     rows = [("a", "train", False, 0), ("a", "test", True, 0), ("b", "test", False, 4)]
     df = spark.createDataFrame(rows, "unit string, split string, is_synthetic boolean, is_duplicate_group_id int")
@@ -204,6 +222,22 @@ def test_evidence_agrees_with_vocabulary_matches(spark):
             assert r[f"{field}_status"] == expected
 
 
+def test_phrases_that_share_words(spark):
+    words = ["guard", "permit", "ladder", "valve", "spill"]
+    vocabulary = {field: [(f"{a}-{i}", [f"{a} {b}", f"{b} of {a}"]) for i, (a, b) in enumerate(pairs)]
+                  for field, pairs in (("unsafe_act", [(a, b) for a in words for b in words if a != b]), ("barrier", [("no", "Guard")]))}
+    guards = evidence._guards(vocabulary)
+    assert all(guard in phrase for phrase, guard in guards.items()) and len(set(guards.values())) < len(guards) / 4
+    texts = ["Unguarded ladder", "guard laddered", "a permit of VALVE", "no guard of ladders", "guard", "spill valve of spill", ""]
+    df = spark.createDataFrame([(str(i), t, "", "") for i, t in enumerate(texts)],
+                               "record_id string, narrative_text string, unsafe_act string, barrier string")
+    expected = {(str(i), p) for i, t in enumerate(texts) for cs in vocabulary.values() for _, ps in cs for p in ps if p.lower() in t.lower()}
+    assert {(r["record_id"], r["phrase"]) for r in evidence.vocabulary_matches(df, vocabulary).collect()} == expected
+    hits = evidence.extract_evidence(df, vocabulary, fields=("unsafe_act", "barrier"), keep_hits=True)
+    found = {(r["record_id"], h["category"]) for r in hits.collect() for f in ("unsafe_act", "barrier") for h in r[f"_{f}_hits"]}
+    assert found == {(i, c) for i, p in expected for cs in vocabulary.values() for c, ps in cs if p in ps}
+
+
 def test_load_vocabulary_orders_and_refuses(spark):
     rows = [("f", 1, "b", 0, "two"), ("f", 0, "a", 1, "one-b"), ("f", 0, "a", 0, "one-a")]
     table = spark.createDataFrame(rows, "field string, category_order int, category string, phrase_order int, phrase string")
