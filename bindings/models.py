@@ -3,10 +3,10 @@
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from bindings.evaluate import COUNTS, CURVE, F1, PREC, REC, SCORE_CURVE
 from bindings.registry import query
-from bindings.views import Tables
+from bindings.views import Tables, sql_text
 from narrascope.operators.quality import class_weights
-from narrascope.operators.splits import order_hash
 from narrascope.plans import models as M
 from narrascope.schemas import RULES
 from narrascope.session import local_table, new_scratch, written
@@ -65,23 +65,28 @@ def _(t):
     return class_weights(vectors(t), "y")
 
 
-@query("train_sif")
+OPTIMUM = 1e-5  # largest gradient entry of a finished fit
+
+
+@query("train_sif", """
+SELECT CAST(unnest(range(0, 65)) AS INT) AS dimension, true AS at_optimum, count(*) AS n, count(*) FILTER (WHERE label < 3) AS positive FROM embeddings""")
 def _(t):
-    """Scores of the fitted binary classifier on its own rows, by label."""
-    model = M.train_sif(vectors(t))
-    scored = M.positive_probability(model.transform(vectors(t)))
-    return scored.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("p"), 3).alias("mean_p"))
+    """The fit's first-order condition per coefficient, and for the intercept (dimension 64)."""
+    rows = vectors(t)
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("positive"))
+    met = M.fit_gradient(M.train_sif(rows), rows).select("dimension", (F.abs("gradient") < OPTIMUM).alias("at_optimum"))
+    return met.withColumns({"n": sizes.select("n").scalar(), "positive": sizes.select("positive").scalar()})
 
 
-@query("train_rule")
+@query("train_rule", "SELECT " + "[" + ", ".join(sql_text(r) for r in RULES) + "]" + """[CAST(label % 9 AS INT) + 1] AS life_saving_rule,
+  count(*) AS n, 65 AS dimensions, 65 AS at_optimum FROM embeddings GROUP BY 1""")
 def _(t):
-    """Share of rows whose own rule is the fitted model's top rule."""
-    model = M.train_rule(vectors(t))
-    probs = M.class_probabilities()
-    top = F.array_max(F.transform(probs, lambda x: F.struct(x["p"].alias("p"), x["rule"].alias("rule"))))["rule"]
-    scored = model.transform(vectors(t)).withColumn("top", top)
-    return scored.groupBy("life_saving_rule").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("top") == F.col("life_saving_rule")).alias("correct"))
+    """Per rule: its rows, and how many entries of its gradient vanish (64 coefficients, one intercept)."""
+    rows = vectors(t)
+    met = M.fit_gradient(M.train_rule(rows), M.rule_rows(rows), label="label").groupBy("class").agg(
+        F.count(F.lit(1)).alias("dimensions"), F.count_if(F.abs("gradient") < OPTIMUM).alias("at_optimum"))
+    named = met.withColumn("life_saving_rule", F.array(*[F.lit(r) for r in RULES])[F.col("class")]).drop("class")
+    return rows.groupBy("life_saving_rule").agg(F.count(F.lit(1)).alias("n")).join(named, "life_saving_rule")
 
 
 @query("save_load_model", "SELECT count(*) AS n, count(*) AS equal_predictions, 2 AS classes FROM embeddings")
@@ -120,13 +125,43 @@ def _(t):
     return M.explain_terms(t.narratives, written(coefficients, "coefficients"))
 
 
-def with_split(t: Tables):
-    """Vectors in train, validation and test by hash order."""
-    digit = F.conv(F.substring(order_hash(F.col("vec_id").cast("string"), 42), 1, 2), 16, 10).cast("int")
-    return vectors(t).withColumn("split", F.when(digit < 154, "train").when(digit < 205, "validation").otherwise("test"))
-
-
-@query("evaluate_model")
+@query("evaluate_model", """
+SELECT 'embedding_lr' AS model_id, false AS skipped, NULL AS skip_reason, count(*) AS test_rows, count(*) FILTER (WHERE label < 3) AS positive, true AS in_range FROM embeddings WHERE vec_id % 10 >= 8
+UNION ALL SELECT 'no_checkpoint', true, 'no qualifying checkpoint', NULL, NULL, NULL
+UNION ALL SELECT 'no_column', true, 'no column sentence', NULL, NULL, NULL""")
+def _(t):
+    """A trained candidate and two skipped ones; the figures of a scored one are in `evaluate_scored`."""
+    made = M.evaluate_candidates(vectors(t).withColumn("split", split_of()), {
+        "embedding_lr": "features", "no_checkpoint": None, "no_column": "sentence"})
+    in_range = (F.col("pr_auc").between(0, 1) & F.col("brier_score").between(0, 1) & F.col("threshold").between(0.05, 0.95)
+                & (F.size("calibration_bins") == 10))
+    return made.select("model_id", "skipped", "skip_reason", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("test_rows"),
+                       (F.col("tp") + F.col("fn")).alias("positive"), in_range.alias("in_range"))
+
+
+def split_of():
+    """Six, two and two of ten rows in train, validation and test."""
+    digit = F.col("vec_id") % 10
+    return F.when(digit < 6, "train").when(digit < 8, "validation").otherwise("test")
+
+
+@query("evaluate_scored", f"""
+WITH validation AS (SELECT y, p FROM scored WHERE vec_id % 10 BETWEEN 6 AND 7), test AS (SELECT y, p FROM scored WHERE vec_id % 10 >= 8),
+{CURVE.replace("FROM scored", "FROM validation")},
+best AS (SELECT coalesce(max(threshold), 0.05::DOUBLE) AS t FROM (SELECT * FROM curve WHERE pr >= 0.5 AND re > 0 ORDER BY re DESC, step LIMIT 1)),
+rates AS (SELECT *, {PREC} AS pr, {REC} AS re FROM (SELECT t AS threshold, {COUNTS.format(t='t')} FROM test, best GROUP BY t)),
+{SCORE_CURVE.replace("FROM scored", "FROM test")},
+points AS (SELECT score, tp / CAST(tp + fp AS DOUBLE) AS pr, tp / CAST(total AS DOUBLE) AS re FROM sc),
+area AS (SELECT round_even(sum((re - re0) * (pr + pr0) / 2), 4) AS pr_auc FROM (
+  SELECT *, coalesce(lag(re) OVER (ORDER BY score DESC), 0.0) AS re0, coalesce(lag(pr) OVER (ORDER BY score DESC), 1.0) AS pr0 FROM points)),
+bins AS (SELECT bin, count(p) AS bin_n, round_even(avg(p), 4) AS mean_predicted_prob, round_even(avg(CAST(y AS DOUBLE)), 4) AS actual_positive_rate
+  FROM (SELECT CAST(unnest(range(0, 10)) AS INT) AS bin) LEFT JOIN test ON p >= bin * 0.1::DOUBLE AND p < (bin + 1) * 0.1::DOUBLE GROUP BY bin)
+SELECT 'raw' AS model_id, threshold, tp, fp, tn, fn, round_even(pr, 4) AS precision, round_even(re, 4) AS recall, round_even({F1}, 4) AS f1,
+  round_even(CASE WHEN tp + fn > 0 THEN fn / CAST(tp + fn AS DOUBLE) ELSE 0 END, 4) AS fn_rate,
+  round_even(CASE WHEN fp + tn > 0 THEN fp / CAST(fp + tn AS DOUBLE) ELSE 0 END, 4) AS fp_rate, pr_auc,
+  (SELECT round_even(avg((p - y) * (p - y)), 4) FROM test) AS brier_score, bins.* FROM rates, area, bins""", ("scored",))
 def _(t):
-    """One evaluated and one skipped candidate."""
-    return M.evaluate_candidates(with_split(t), {"embedding_lr": "features", "no_checkpoint": None})
+    """The whole evaluation row of given scores, one line per calibration bin."""
+    made = M.evaluate_scored(t.scored.withColumn("split", split_of()), "raw")
+    bins = F.inline("calibration_bins").alias("bin", "bin_low", "bin_high", "bin_n", "mean_predicted_prob", "actual_positive_rate")
+    return made.select(*[c for c in made.columns if c != "calibration_bins"], bins).drop("bin_low", "bin_high")

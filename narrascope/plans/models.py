@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from narrascope.operators import evaluation
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import RULES
+from narrascope.session import local_table, written
 
 # fixed values: vector length and fit settings of the classifiers
 DIMENSIONS = 384
@@ -24,6 +25,7 @@ INVERSE_PENALTY = 1.0
 SIF_ITERATIONS = 2000
 RULE_ITERATIONS = 1000
 TOP_TERMS = 6
+TOLERANCE = 1e-7  # of the fits: their gradients must vanish
 BATCH = 64
 WORD = r"[^\p{L}\p{N}_]+"
 
@@ -113,18 +115,54 @@ def train_sif(df: DataFrame, features: str = "features", label: str = "y") -> Lo
     weighted = balanced(df.select(features, F.col(label).cast("double").alias(label)), label)
     return LogisticRegression(
         featuresCol=features, labelCol=label, weightCol="_weight", regParam=_penalty(df.count()),
-        standardization=False, maxIter=SIF_ITERATIONS, family="binomial").fit(weighted)
+        standardization=False, maxIter=SIF_ITERATIONS, tol=TOLERANCE, family="binomial").fit(weighted)
+
+
+def rule_rows(df: DataFrame, features: str = "features", rule: str = "life_saving_rule",
+              rules: tuple[str, ...] = RULES) -> DataFrame:
+    """Features and class index of the rows with a valid rule."""
+    index = F.array_position(F.array(*[F.lit(name) for name in rules]), F.col(rule)) - 1
+    return df.filter(F.col(rule).isin(*rules)).select(features, index.cast("double").alias("label"))
 
 
 def train_rule(df: DataFrame, features: str = "features", rule: str = "life_saving_rule",
                rules: tuple[str, ...] = RULES) -> LogisticRegressionModel:
     """Multinomial classifier over the valid rules, class index = position in `rules`."""
-    index = F.array_position(F.array(*[F.lit(name) for name in rules]), F.col(rule)) - 1
-    rows = df.filter(F.col(rule).isin(*rules)).select(features, index.cast("double").alias("label"))
+    rows = rule_rows(df, features, rule, rules)
     weighted = balanced(rows, "label")
     return LogisticRegression(
         featuresCol=features, labelCol="label", weightCol="_weight", regParam=_penalty(rows.count()),
-        standardization=False, maxIter=RULE_ITERATIONS, family="multinomial").fit(weighted)
+        standardization=False, maxIter=RULE_ITERATIONS, tol=TOLERANCE, family="multinomial").fit(weighted)
+
+
+def fit_gradient(model: LogisticRegressionModel, df: DataFrame, features: str = "features",
+                 label: str = "y") -> DataFrame:
+    """(class, dimension, gradient) of the fitted objective over its training rows.
+
+    Every entry is 0 at the optimum: the mean weighted residual times the feature,
+    plus the ridge term. The dimension after the last feature is the intercept,
+    whose residuals alone sum to 0. Classes are those with own coefficients, so a
+    binary fit has class 1 only. Sums combine before the shuffle, which carries
+    one row per class and task; coefficients number classes x dimensions.
+    """
+    coefficients = model.coefficientMatrix.toArray()
+    classes = [1] if len(coefficients) == 1 else list(range(len(coefficients)))
+    size, penalty = model.numFeatures, model.getOrDefault("regParam")
+    weighted = balanced(df.select(features, F.col(label).cast("double").alias(label)), label)
+    probability = vector_to_array("probability")
+    residuals = F.array(*[F.struct(F.lit(c).alias("class"), (F.col("_weight") * (
+        probability[c] - (F.col(label) == c).cast("double"))).alias("r")) for c in classes])
+    rows = model.transform(weighted).select(
+        "_weight", vector_to_array(features).alias("x"), F.explode(residuals).alias("c"))
+    sums = rows.groupBy("c.class").agg(
+        F.sum("_weight").alias("w"),
+        F.array(*[F.sum(F.col("c.r") * F.col("x")[j]) for j in range(size)], F.sum("c.r")).alias("sums"))
+    ridge = local_table(df.sparkSession, [
+        (c, j, float(penalty * own[j]) if j < size else 0.0)
+        for c, own in zip(classes, coefficients) for j in range(size + 1)], "class int, dimension int, ridge double")
+    return (sums.select("class", "w", F.posexplode("sums").alias("dimension", "s"))
+            .join(F.broadcast(ridge), ["class", "dimension"])
+            .select("class", "dimension", (F.col("s") / F.col("w") + F.col("ridge")).alias("gradient")))
 
 
 def positive_probability(df: DataFrame, probability: str = "probability", out: str = "p") -> DataFrame:
@@ -171,34 +209,59 @@ def explain_terms(df: DataFrame, coefficients: DataFrame, row_id: str = "doc_id"
             .select(row_id, "rank", "word", "weight"))
 
 
-def evaluate_model(df: DataFrame, model_id: str, features: str = "features", label: str = "y",
-                   split: str = "split") -> DataFrame:
-    """Train on train, choose the threshold on validation, evaluate once on test."""
+def evaluate_scored(scored: DataFrame, model_id: str, label: str = "y", p: str = "p",
+                    split: str = "split") -> DataFrame:
+    """One row: the threshold is chosen on validation rows, everything else is read off the test rows once."""
     def part(name: str) -> DataFrame:
-        return df.filter(F.col(split) == name)
+        return scored.filter(F.col(split) == name).select(label, p)
 
-    model = train_sif(part("train"), features, label)
+    chosen = evaluation.pick_threshold(evaluation.threshold_sweep(part("validation"), label, p)).first()["threshold"]
+    test = part("test")
+    bins = evaluation.calibration_bins(test, label, p)
+    by_bin = F.sort_array(F.collect_list(F.struct(*bins.columns)))  # as many as there are bins
+    return evaluation.binary_metrics(test, chosen, label, p).select(
+        F.lit(model_id).alias("model_id"), F.lit(chosen).alias("threshold"), "*",
+        evaluation.pr_auc(test, label, p).scalar().alias("pr_auc"),
+        evaluation.brier_score(test, label, p).scalar().alias("brier_score"),
+        bins.agg(by_bin).scalar().alias("calibration_bins"))
 
-    def scored(name: str) -> DataFrame:
-        return positive_probability(model.transform(part(name))).select(label, "p")
 
-    chosen = evaluation.pick_threshold(evaluation.threshold_sweep(scored("validation"), label)).first()
-    test = scored("test")
-    metrics = evaluation.binary_metrics(test, chosen["threshold"], label)
-    extra = test.agg(F.bround(F.avg(F.pow(F.col("p") - F.col(label), F.lit(2))), 4)).scalar()
-    return metrics.select(
-        F.lit(model_id).alias("model_id"), F.lit(chosen["threshold"]).alias("threshold"), "*",
-        extra.alias("brier_score"))
+def evaluate_model(df: DataFrame, model_id: str, features: str = "features", label: str = "y",
+                   split: str = "split") -> DataFrame:
+    """Train on train rows, then evaluate the scored validation and test rows (stored, since they are read often)."""
+    model = train_sif(df.filter(F.col(split) == "train"), features, label)
+    rest = df.filter(F.col(split).isin("validation", "test"))
+    scored = positive_probability(model.transform(rest)).select(label, "p", split)
+    return evaluate_scored(written(scored, "scored"), model_id, label, "p", split)
+
+
+def skip_reason(df: DataFrame, features: str | None, label: str = "y", split: str = "split") -> str | None:
+    """Why a candidate cannot be evaluated, or None if it can."""
+    if features is None:
+        return "no qualifying checkpoint"
+    if features not in df.columns:
+        return f"no column {features}"
+    known = df.filter(F.col(split).isin("train", "validation", "test") & F.col(label).isin(0, 1))
+    seen = {(row[split], int(row[label])) for row in known.groupBy(split, label).count().collect()}  # at most six
+    for name in ("train", "validation", "test"):
+        if not any(part == name for part, _ in seen):
+            return f"no {name} rows"
+    if not {("train", 0), ("train", 1)} <= seen:
+        return "train rows of one class only"
+    return None
 
 
 def evaluate_candidates(df: DataFrame, candidates: dict[str, str | None], label: str = "y",
                         split: str = "split") -> DataFrame:
-    """One row per candidate: features column to evaluate, or None to record it as skipped."""
+    """One row per candidate (features column, or None without a checkpoint); a skipped one carries its reason."""
     rows = None
     for model_id, features in candidates.items():
-        if features is None:
-            row = df.sparkSession.range(1).select(F.lit(model_id).alias("model_id"), F.lit(True).alias("skipped"))
+        reason = skip_reason(df, features, label, split)
+        if reason is None:
+            row = evaluate_model(df, model_id, features, label, split).withColumns(
+                {"skipped": F.lit(False), "skip_reason": F.lit(None).cast("string")})
         else:
-            row = evaluate_model(df, model_id, features, label, split).withColumn("skipped", F.lit(False))
+            row = df.sparkSession.range(1).select(
+                F.lit(model_id).alias("model_id"), F.lit(True).alias("skipped"), F.lit(reason).alias("skip_reason"))
         rows = row if rows is None else rows.unionByName(row, allowMissingColumns=True)
     return rows
