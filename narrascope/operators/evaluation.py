@@ -266,13 +266,13 @@ def review_triggers(ranked: DataFrame, truth: str, top: str, top_p: str, second_
 
 
 def curve_parity(curve: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Curve rows at the stored thresholds, with a verdict on equal counts."""
+    """Curve rows at the stored thresholds, with a verdict on equal counts; a curve has one row per grid step and is broadcast."""
     names = ("tp", "fp", "tn", "fn")
     kept = stored.select(*keys, *[F.col(n).alias(f"stored_{n}") for n in names])
     same = F.lit(True)
     for name in names:
         same = same & F.col(name).eqNullSafe(F.col(f"stored_{name}"))
-    return (F.broadcast(kept).join(curve.select(*keys, *names), keys, "left")
+    return (kept.join(F.broadcast(curve.select(*keys, *names)), keys, "left")
             .select(*keys, *names, *[f"stored_{n}" for n in names], same.alias("parity_ok")))
 
 

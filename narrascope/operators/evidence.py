@@ -7,10 +7,11 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from narrascope.functions.text import bound, strip, usable_text
+from narrascope.operators.ordering import dense_index
+from narrascope.operators.skew import lookup_join
 from narrascope.schemas import EVIDENCE_FIELDS, UNKNOWN
 
 # letters whose lower case is not one equal-length letter, or that match others ignoring case
@@ -43,10 +44,9 @@ def vocabulary_from_taxonomy(rules: DataFrame, field: str = "barrier") -> DataFr
     """Vocabulary rows from taxonomy examples (rule_id, "; "-joined barrier_examples)."""
     parts = rules.select(
         "rule_id", F.posexplode(F.split("barrier_examples", "; ")).alias("phrase_order", "phrase"))
-    # one row per rule: a handful
-    ordered = rules.select("rule_id", F.row_number().over(W.orderBy("rule_id")).alias("category_order"))
-    return parts.filter("phrase <> ''").join(F.broadcast(ordered), "rule_id").select(
-        F.lit(field).alias("field"), "category_order", F.col("rule_id").alias("category"),
+    ordered = dense_index(rules.select("rule_id").distinct(), [F.col("rule_id")], "category_order", "rule-order")
+    return lookup_join(parts.filter("phrase <> ''"), ordered, ["rule_id"], F.xxhash64("rule_id", "phrase_order")).select(
+        F.lit(field).alias("field"), F.col("category_order").cast("int").alias("category_order"), F.col("rule_id").alias("category"),
         "phrase_order", "phrase")
 
 

@@ -7,10 +7,10 @@ column explicitly and never guesses one.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrascope.operators.ordering import grouped_row_number
+from narrascope.operators.ordering import grouped_row_number, running_totals
+from narrascope.operators.skew import lookup_join
 
 
 def dedupe_ids(df: DataFrame, dataset: str, record: str, position: str, out: str) -> DataFrame:
@@ -41,10 +41,10 @@ def sequential_ids(df: DataFrame, block: str, position: str, out: str, prefix: s
     the blocks before it. The number of blocks is the number of inputs.
     """
     numbered = grouped_row_number(df, [block], position, "_nth")
-    before = W.orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    starts = df.groupBy(block).agg(F.count(F.lit(1)).alias("_size")).select(
-        block, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    sizes = df.groupBy(block).agg(F.count(F.lit(1)).alias("_size"))
+    starts = running_totals(sizes, [F.col(block)], {"_upto": "_size"}, "blocks").select(
+        block, (F.col("_upto") - F.col("_size")).alias("_start"))
     number = (F.col("_start") + F.col("_nth")).cast("string")
     padded = F.lpad(number, F.greatest(F.length(number), F.lit(digits)), F.lit("0"))
-    return (numbered.join(F.broadcast(starts), block)
+    return (lookup_join(numbered, starts, [block], F.xxhash64(position))
             .withColumn(out, F.concat(F.lit(prefix), padded)).drop("_nth", "_start"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from narrascope.functions.text import (
     NULL_WORDS, domain_relevant, is_malformed, strip, word_count,
 )
+from narrascope.operators.ordering import running_totals
 from narrascope.schemas import UNKNOWN
 
 # fixed values: spellings of "flag not set"
@@ -125,16 +126,23 @@ def severity_flags(df: DataFrame, columns: list[str]) -> DataFrame:
 def nonzero_stats(df: DataFrame, column: str) -> DataFrame:
     """Parsed, positive and zero counts with statistics of the positive whole numbers.
 
-    The exact median keeps one counter per distinct number.
+    The median is exact: rows are counted per number, and running totals over
+    the numbers find the one or two in the middle, so no task holds them all.
     """
     text = strip(F.col(column).cast("string"))
     parsed = F.when(text.rlike(r"\A[+-]?[0-9]{1,18}\z"), text.try_cast("bigint"))
     positive = F.when(parsed > 0, parsed)
-    return df.agg(
+    stats = df.agg(
         F.count(parsed).alias("parsed"), F.count(positive).alias("positive"),
         F.count_if(parsed == 0).alias("zeros"), F.bround(F.avg(positive), 2).alias("mean_nonzero"),
-        F.median(positive).alias("median_nonzero"), F.min(positive).alias("min_nonzero"),
-        F.max(positive).alias("max_nonzero"))
+        F.min(positive).alias("min_nonzero"), F.max(positive).alias("max_nonzero"))
+    counts = df.select(positive.alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(counts, [F.col("_v")], {"_upto": "_n"}, "numbers")
+    rows = upto.agg(F.max("_upto")).scalar()
+    middle = [F.min(F.when(F.col("_upto") >= F.floor((rows + odd) / 2), F.col("_v"))) for odd in (1, 2)]
+    median = upto.agg(*[m.cast("double").alias(n) for m, n in zip(middle, ("_low", "_high"))]).select(
+        ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+    return stats.withColumn("median_nonzero", median.scalar())
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:

@@ -6,14 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer
 # than HOT_KEYS hot keys whatever the data: their lookup rows may be broadcast.
 HOT_KEYS = 10_000
 # keys below this many rows are never worth special treatment
 HOT_FLOOR = 100_000
-# largest lookup, in rows, that is broadcast without a proven bound on its growth
+# largest lookup, in rows and in bytes, that is broadcast without a proven bound on its growth
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
+# a plan whose own estimate is below this is taken as small: even 32 times as much may be broadcast
+TRUSTED_BYTES = 4 << 20
 
 
 def hot_only(counts: DataFrame, total: Column, rows: str = "n") -> DataFrame:
@@ -55,9 +59,35 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Col
 
 
 def small(lookup: DataFrame, limit: int | None = None) -> bool:
-    """Whether a lookup has at most `limit` rows; reads no more than it must."""
+    """Whether a lookup has at most `limit` rows and fits a broadcast in bytes.
+
+    The plan's own estimate answers for small stored tables without a job; other
+    lookups are measured in one distributed pass that adds up rows and bytes.
+    """
     limit = BROADCAST_ROWS if limit is None else limit
-    return lookup.limit(limit + 1).count() <= limit
+    # a row takes at least 8 bytes, so few bytes also mean few rows
+    if _estimated_bytes(lookup) <= min(8 * limit, TRUSTED_BYTES):
+        return True
+    size = lookup.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_row_bytes(lookup)), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= limit and size["bytes"] <= BROADCAST_BYTES
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Size of the result by the optimizer's statistics (of joins and groupings an upper estimate)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: texts by their length, nested values by their JSON text, numbers as 8."""
+    def width(field) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            return F.octet_length(value)
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            return F.octet_length(F.to_json(F.struct(value)))
+        return F.lit(8)
+
+    return reduce(lambda a, b: a + b, [F.coalesce(width(f), F.lit(0)).cast("bigint") for f in df.schema], F.lit(16).cast("bigint"))
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Column,

@@ -12,6 +12,7 @@ from narrascope.functions.text import (
     decode_sex, integer_text, make_record_id, site_label, strip, strip_html, unknown_if_blank,
 )
 from narrascope.operators.identity import dedupe_ids, fallback_ids, row_index_ids
+from narrascope.operators.skew import lookup_join
 from narrascope.schemas import MASTER_COLUMNS, SCHEMA_VERSION, UNKNOWN
 from narrascope.session import local_table
 from narrascope.sources.files import POSITION
@@ -167,8 +168,9 @@ def real_to_seed(df: DataFrame, rules: DataFrame) -> DataFrame:
     graded = F.lit("LOW")
     for name, value in RISK_OF_LEVEL.items():
         graded = F.when(level == name, value).otherwise(graded)
-    joined = (df.withColumn("_risk", risk).filter(F.coalesce(text, F.lit("")) != "")
-              .join(F.broadcast(rules.withColumnsRenamed({"critical_risk": "_risk", "rule": "_rule"})), "_risk", "left"))
+    kept = df.withColumn("_risk", risk).filter(F.coalesce(text, F.lit("")) != "")
+    joined = lookup_join(kept, rules.withColumnsRenamed({"critical_risk": "_risk", "rule": "_rule"}),
+                         ["_risk"], F.xxhash64(*kept.columns))
     return joined.select(
         F.split_part(F.coalesce(field(df, "Data"), F.lit("")), F.lit(" "), F.lit(1)).alias("date"),
         F.concat(F.lit("Real-"), F.coalesce(field(df, "Local"), F.lit("Unknown"))).alias("site"),
