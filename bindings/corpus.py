@@ -157,7 +157,8 @@ def _(t):
 GROUPS = f"""keyed AS (SELECT {{key}}, {{ds}} AS ds, concat({{ds}}, '||', {{norm}}) AS k FROM {{table}}),
 multi AS (SELECT k, row_number() OVER (ORDER BY k) AS g FROM (SELECT k FROM keyed GROUP BY 1 HAVING count(*) > 1))"""
 DOC_GROUPS = GROUPS.format(key="record_id, doc_id", ds="source_dataset", norm=sql_norm("narrative_text"), table="narratives")
-TURN_GROUPS = GROUPS.format(key="conv_id, turn", ds="role", norm="split_part(" + sql_norm("text") + ", ' ', 1)", table="conversations")
+# names of parts repeat within a type
+PART_GROUPS = GROUPS.format(key="p_partkey", ds="p_type", norm=sql_norm("p_name"), table="part")
 
 
 @query("duplicate_groups", f"WITH {DOC_GROUPS} SELECT record_id, ds AS source_dataset, CAST(coalesce(g, 0) AS INT) AS is_duplicate_group_id FROM keyed LEFT JOIN multi USING (k)", N)
@@ -165,17 +166,11 @@ def _(t):
     return D.duplicate_groups(t.narratives)
 
 
-def first_words(t: Tables):
-    """Conversation turns cut to their first word: a text with many repeats."""
-    word = F.split_part(normalize_text(F.col("text")), F.lit(" "), F.lit(1))
-    return t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("row"), "role", word.alias("word"))
-
-
 @query("duplicate_summary", f"""
-WITH {TURN_GROUPS} SELECT ds AS role, count(*) AS duplicate_rows, count(DISTINCT k) AS duplicate_groups
+WITH {PART_GROUPS} SELECT ds AS p_type, count(*) AS duplicate_rows, count(DISTINCT k) AS duplicate_groups
 FROM keyed JOIN multi USING (k) GROUP BY ROLLUP (ds)""")
 def _(t):
-    return D.duplicate_summary(D.duplicate_groups(first_words(t), "role", "word", "row"), "role")
+    return D.duplicate_summary(D.duplicate_groups(t.part, "p_type", "p_name", "p_partkey"), "p_type")
 
 
 @query("flag_quality", f"""

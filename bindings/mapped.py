@@ -324,7 +324,7 @@ def industrial_rows(t: Tables):
 
 
 @query("merge_real_seed", f"""
-WITH {REAL}, synthetic AS (SELECT doc_id, 'synthetic text' AS report_text FROM documents)
+WITH {REAL}, synthetic AS (SELECT doc_id, text AS report_text FROM documents)
 SELECT concat('OIL-', CASE WHEN n < 100000 THEN lpad(CAST(n AS VARCHAR), 5, '0') ELSE CAST(n AS VARCHAR) END) AS report_id, * EXCLUDE (n) FROM (
   SELECT row_number() OVER (ORDER BY o_orderkey) AS n, * EXCLUDE (o_orderkey) FROM merged
   UNION ALL SELECT (SELECT count(*) FROM merged) + row_number() OVER (ORDER BY doc_id), '2025-01-01', 'Site A', 'Hot Work', 'Near Miss', report_text,
@@ -333,10 +333,10 @@ def _(t):
     rules = mapping.rule_table(t.spark, CRITICAL_RISK_RULES)
     real = mapping.real_to_seed(industrial_rows(t), rules).withColumn("block", F.lit(0))
     constants = {"date": "2025-01-01", "site": "Site A", "activity": "Hot Work", "report_type": "Near Miss",
-                 "report_text": "synthetic text", "sif_potential": "No", "life_saving_rule": None, "hazard": "Fire",
+                 "sif_potential": "No", "life_saving_rule": None, "hazard": "Fire",
                  "barrier": None, "barrier_status": None, "risk_level": "LOW", "source": "synthetic"}
     made = t.documents.select(
-        F.col("doc_id").alias(mapping.POSITION), F.lit(1).alias("block"),
+        F.col("doc_id").alias(mapping.POSITION), F.lit(1).alias("block"), F.col("text").alias("report_text"),
         *[F.lit(value).cast("string").alias(name) for name, value in constants.items()])
     return sequential_ids(real.unionByName(made), "block", mapping.POSITION, "report_id").select(*SEED_COLUMNS)
 

@@ -330,3 +330,49 @@ def test_severity_flags_are_one_way(spark):
     df = spark.createDataFrame([("Yes",), ("0",), (None,), (" NO ",), ("1",)], "flag string")
     row = quality.severity_flags(df, ["flag"]).first()
     assert (row["total"], row["positive"]) == (5, 2)
+
+
+def test_nonzero_median_of_even_and_odd_counts(spark):
+    def median(values):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        row = quality.nonzero_stats(df, "v").first()
+        return row["median_nonzero"], row["positive"]
+
+    assert median(["3", "1", " 2 ", "0", None, "x"]) == (2.0, 3)
+    assert median(["4", "1", "1", "2"]) == (1.5, 4)
+    assert median(["0", None]) == (None, 0)
+
+
+def test_lookup_size_counts_bytes(spark, monkeypatch):
+    table = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array(F.lit("y")).alias("tags"))
+    monkeypatch.setattr(skew, "TRUSTED_BYTES", 0)
+    assert skew.small(table)
+    assert not skew.small(table, 49)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 50_000)
+    assert not skew.small(table)
+    assert skew.small(table.drop("text"))
+    assert skew.small(table.filter("id < 0"))
+
+
+def test_sequential_ids_over_text_blocks(spark):
+    df = spark.createDataFrame([("b", 5), ("a", 9), ("b", 2), ("a", 1)], "block string, pos long")
+    got = {(r["block"], r["pos"]): r["id"] for r in identity.sequential_ids(df, "block", "pos", "id").collect()}
+    assert got == {("a", 1): "OIL-00001", ("a", 9): "OIL-00002", ("b", 2): "OIL-00003", ("b", 5): "OIL-00004"}
+
+
+def test_candidates_are_skipped_with_a_reason(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from narrascope.plans.models import evaluate_candidates, skip_reason
+
+    rng = random.Random(4)
+    rows = [(["train", "validation", "test"][i % 3], i % 2, [rng.random() + (i % 2), 1.0 - (i % 2)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "split string, y int, v array<double>").withColumn("features", array_to_vector("v"))
+    got = {r["model_id"]: r for r in evaluate_candidates(df, {"a": "features", "b": None, "c": "absent"}).collect()}
+    assert (got["b"]["skip_reason"], got["c"]["skip_reason"]) == ("no qualifying checkpoint", "no column absent")
+    assert not got["a"]["skipped"] and got["a"]["skip_reason"] is None
+    assert got["a"]["recall"] == 1.0 and got["a"]["pr_auc"] == 1.0 and got["a"]["tp"] == 10
+    assert sum(b["n"] for b in got["a"]["calibration_bins"]) == 20
+    assert skip_reason(df.filter("split <> 'test'"), "features") == "no test rows"
+    assert skip_reason(df.filter("split <> 'train' or y = 1"), "features") == "train rows of one class only"
+    assert skip_reason(df.limit(0), "features") == "no train rows"
