@@ -36,13 +36,18 @@ def grouped_row_number(df: DataFrame, keys: list[str], order: str, name: str,
     """1-based position of each row within its key, along a unique integer column.
 
     Equal to row_number() over (partition by keys order by order), but a key's
-    rows are shared out by block, so a hot key does not end in one task.
+    rows are shared out by block, so a hot key does not end in one task. Far apart
+    positions make as many blocks as rows; so the blocks' own totals run over a
+    range partitioning too, minus what lies before the key's first block.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
-    names = [*keys, "_block"]
+    cut = df.withColumn("_cut", F.floor(F.col(order) / F.lit(width)))
+    names = [*keys, "_cut"]
     counts = cut.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    upto = running_totals(counts, [F.col(n) for n in names], {"_upto": "_n"}, "blocks")
+    offsets = upto.select(*names, (F.col("_upto") - F.col("_n")).alias("_before"))
+    if keys:
+        firsts = offsets.groupBy(*keys).agg(F.min("_before").alias("_first"))
+        offsets = _carry(offsets, firsts, keys).select(*names, (F.col("_before") - F.col("_first")).alias("_before"))
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*names).orderBy(order)))
     return (_carry(local, offsets, names)
             .withColumn(name, F.col("_before") + F.col("_local"))

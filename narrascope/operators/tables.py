@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrascope.operators.skew import small
 from narrascope.schemas import SEED_SOURCES, UPSERT_COLUMNS
 
 # fixed values: what the scoring engine writes to the audit log
@@ -41,7 +42,8 @@ def upsert(current: DataFrame, new: DataFrame, key: str, order: str | None = Non
 
     Several new rows of one key count as successive submissions: the last one
     by `order` supplies the listed columns, the first one the others. New rows
-    without a key are left out (see `rejected`).
+    without a key are left out (see `rejected`). While the new rows fit a broadcast,
+    the rows of the table are not shuffled; beyond it both sides are, by key.
     """
     new = keyed(new, key)
     if order is not None:
@@ -52,8 +54,14 @@ def upsert(current: DataFrame, new: DataFrame, key: str, order: str | None = Non
         ).select(key, *[F.col("_last" if name in replaced else "_first")[name].alias(name) for name in names])
     fresh = new.select(F.col(key).alias("_key"), *[
         F.col(name).alias(f"_new_{name}") for name in current.columns if name != key])
-    both = current.withColumn("_old", F.lit(True)).join(
-        fresh, F.col(key) == F.col("_key"), "full_outer")
+    old = current.withColumn("_old", F.lit(True))
+    if small(fresh):
+        both = old.join(F.broadcast(fresh), F.col(key) == F.col("_key"), "left")
+        # keys of the upload that the table has: no more than the upload
+        known = current.select(F.col(key).alias("_key")).join(F.broadcast(fresh.select("_key")), "_key", "left_semi").distinct()
+        both = both.unionByName(fresh.join(F.broadcast(known), "_key", "left_anti"), allowMissingColumns=True)
+    else:
+        both = old.join(fresh, F.col(key) == F.col("_key"), "full_outer")
 
     def merged(name: str) -> Column:
         if name == key:

@@ -376,3 +376,24 @@ def test_candidates_are_skipped_with_a_reason(spark):
     assert skip_reason(df.filter("split <> 'test'"), "features") == "no test rows"
     assert skip_reason(df.filter("split <> 'train' or y = 1"), "features") == "train rows of one class only"
     assert skip_reason(df.limit(0), "features") == "no train rows"
+
+
+def test_grouped_row_number_with_far_apart_positions(spark):
+    rows = [(i * 10**12, "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "pos long, key string")
+    got = {r["pos"]: r["n"] for r in ordering.grouped_row_number(df, ["key"], "pos", "n").collect()}
+    assert got == {i * 10**12: i // 2 + 1 for i in range(300)}
+    whole = ordering.grouped_row_number(df, [], "pos", "n")
+    assert {r["pos"]: r["n"] for r in whole.collect()} == {i * 10**12: i + 1 for i in range(300)}
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_upsert_by_broadcast_and_by_shuffle(spark, monkeypatch, fits):
+    monkeypatch.setattr(tables, "small", lambda rows: fits)
+    schema = "id string, risk int, note string"
+    current = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", None, None)], schema)
+    new = spark.createDataFrame([("b", 9, "new"), ("d", 4, "fresh"), ("c", 5, "late"), (None, 7, "none")], schema)
+    got = sorted(tuple(r) for r in tables.upsert(current, new, "id", replaced=("risk",)).collect())
+    assert got == [("a", 1, "x"), ("b", 9, "y"), ("c", 5, None), ("d", 4, "fresh")]
+    assert tables.upsert(current, new.limit(0), "id").count() == 3
+    assert tables.upsert(current.limit(0), new, "id").count() == 3
