@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from narrascope.llm import (
     exact_dedup, language_model, line_dedup, mixing, packing, prefix_tokens, quality, sharding, simhash, toxicity)
 from narrascope.llm.common import held_out
+from narrascope.session import new_scratch
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 TOKEN_LIMIT = 1024
@@ -60,9 +62,13 @@ def _(spark, docs, folder):
 
 @query("op4_sharding")
 def _(spark, docs, folder):
-    dealt = sharding.shuffled(sharding.record_sizes(docs), F.lit(64))
-    return dealt.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                        F.lit(None).cast("int").alias("grown_shard"))
+    path = new_scratch(spark, "shards")
+    sharding.write_shards(docs, sharding.record_bytes("text"), path, sharding.file_count(docs, "text"))
+    stored = StructType([*docs.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    records = spark.read.schema(stored).parquet(path)
+    return sharding.record_sizes(records, "doc_id", "text", "shard", "slot").select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op5_packing")

@@ -50,17 +50,21 @@ def permuted(table: pa.Table, seed: int) -> pa.Table:
 def shuffled(records: DataFrame, size: Column, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All columns of the records, then shard and slot: one random order of the table, dealt to the shards.
 
-    `size` is a record's bytes in memory; map columns are not supported.
+    `size` is a record's bytes in memory; map columns are not supported. The records are read several
+    times and must be the same each time: a table, or what `written` returns.
     """
     own = records.schema.fields
     names = [f"c{i}" for i in range(len(own))]
     plain = records.select("*", size.cast("bigint").alias("_bytes")).toDF(*names, "bytes")
-    keyed = written(plain.select(*names, "bytes", F.xxhash64(F.lit(seed), *names).alias("hash"),
-                                 F.monotonically_increasing_id().alias("spread")), "records")
+    keyed = plain.select(*names, "bytes", F.xxhash64(F.lit(seed), *names).alias("hash"),
+                         F.monotonically_increasing_id().alias("spread"))
+    # at most 8 * rows / BUCKET_ROWS hashes are that frequent
+    hot = written(keyed.groupBy("hash").count().filter(F.col("count") > BUCKET_ROWS // 8)
+                  .select("hash", F.lit(True).alias("hot")), "hot")
+    if not hot.isEmpty():  # their buckets follow from the place in the input, which must not change
+        keyed = written(keyed, "records")
     rows, volume = keyed.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     buckets = bucket_count(rows, volume or 0)
-    # at most 8 * rows / BUCKET_ROWS hashes are that frequent
-    hot = keyed.groupBy("hash").count().filter(F.col("count") > BUCKET_ROWS // 8).select("hash", F.lit(True).alias("hot"))
     dealt = F.when(F.col("hot"), F.xxhash64(F.lit(seed), "hash", "spread")).otherwise(F.col("hash"))
     scattered = keyed.join(F.broadcast(hot), "hash", "left").select(
         *names, "hash", "spread", F.pmod(F.shiftright(dealt, 8), F.lit(buckets)).cast("bigint").alias("bucket"))
@@ -83,8 +87,19 @@ def write_shards(records: DataFrame, size: Column, path: str, files: int, **how)
      .write.partitionBy("shard").parquet(path))
 
 
-def record_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc id, size (bytes of the text plus the overhead) and crc32 of the text of every row."""
+def record_bytes(text_col: str = "text") -> Column:
+    """Bytes of a record: its text plus the overhead."""
+    return (F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) + OVERHEAD).cast("bigint")
+
+
+def file_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Files to write: as many as buckets of half their bound hold the records, at least one per shard."""
+    rows, volume = docs.agg(F.count(F.lit(1)), F.sum(record_bytes(text_col))).first()
+    return max(SHARDS, bucket_count(rows, volume or 0))
+
+
+def record_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
+    """doc id, size (bytes of the text plus the overhead) and crc32 of the text of every row, then other columns as they are."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"))
+    return docs.select(F.col(id_col).alias("id"), record_bytes(text_col).alias("size"),
+                       F.crc32(text.cast("binary")).alias("text_crc32"), *others)

@@ -1,9 +1,15 @@
 """Operators do the whole job: planted cases that a smaller job would miss."""
 
+import collections
+import pathlib
 import random
+import zlib
+
+import pyarrow.parquet as pq
 
 import corpus_pipeline
-from narrascope.llm import near_copies
+from narrascope.llm import near_copies, sharding
+from narrascope.llm.queries import QUERIES
 
 
 def shingles(text, width=5):
@@ -60,3 +66,29 @@ def test_near_copies_of_odd_rows(spark):
     assert sorted(map(str, near_copies.drop_near_copies(table).collect())) == [
         "Row(doc_id=5, text='a b c d e f g')", "Row(doc_id=None, text='other')"]
     assert near_copies.drop_near_copies(table.limit(0)).count() == 0
+
+
+def test_sharding_query_moves_whole_texts(spark, tmp_path, monkeypatch):
+    dice = random.Random(4)
+    rows = [(i, "".join(dice.choices("abc \n", k=dice.choice([0, 50, 3000])))) for i in range(300)] + [(None, None), (7, "same"), (7, "same")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    dealt, files = [], []
+    shuffled, write_shards = sharding.shuffled, sharding.write_shards
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 16)  # so the texts, not the row count, make the buckets
+    monkeypatch.setattr(sharding, "shuffled", lambda records, size, **how: dealt.append(records.columns) or shuffled(records, size, **how))
+    monkeypatch.setattr(sharding, "write_shards", lambda records, size, path, n, **how: files.append(path) or write_shards(records, size, path, n, **how))
+    got = QUERIES["op4_sharding"](spark, str(tmp_path)).collect()
+    assert dealt == [["doc_id", "text"]]
+    key = lambda r: (str(r[0]), r[1], r[2])
+    plain = [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows]
+    assert sorted(map(key, plain)) == sorted(map(key, got))
+    assert sharding.bucket_count(len(rows), sum(r[1] for r in plain)) > 5
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(by) == sharding.SHARDS
+    # the texts lie in the files, in slot order
+    shards = sorted(pathlib.Path(files[0].removeprefix("file:")).glob("shard=*"))
+    assert len(shards) == sharding.SHARDS
+    stored = [t for s in shards for f in sorted(s.glob("*.parquet")) for t in pq.ParquetFile(f).read().column("text").to_pylist()]
+    assert sorted(t or "" for t in stored) == sorted(t or "" for _, t in rows)
