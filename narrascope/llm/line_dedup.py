@@ -130,10 +130,23 @@ def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "id", "n_lines", kept.alias("n_kept"), (F.col("n_lines") - kept - near).alias("n_exact"), near.alias("n_near"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with their texts cut down to the lines that stay (lines without a character stay too)."""
-    stays = F.filter(F.split("_text", "\n"), lambda line, no: (F.trim(line) == "") | F.array_contains("_numbers", no))
-    found = _with_decisions(docs, id_col, text_col, F.struct("*").alias("_row")).withColumn(
-        "_text", F.col("_row")[text_col].cast("string")).withColumn("_numbers", F.coalesce("_kept", F.array().cast("array<int>")))
-    text = F.when(F.col("_text").isNotNull(), F.array_join(stays, "\n"))
-    return found.select(F.col("_row").withField(f"`{text_col}`", text).alias("_row")).select("_row.*")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = False) -> DataFrame:
+    """The rows with their texts cut down to the lines that stay (lines without a character stay too).
+
+    `counted` adds the columns n_lines, n_kept, n_exact and n_near of `line_counts`.
+    """
+    # split behind the join, so that a text is moved once
+    found = _with_decisions(docs, id_col, text_col, F.struct("*").alias("_row")).select(
+        "*", F.split(F.col("_row")[text_col].cast("string"), "\n").alias("_all"))
+    none = F.array().cast("array<int>")
+    blank = F.filter(F.transform("_all", lambda line, no: F.when(F.trim(line) == "", no)), lambda no: no.isNotNull())
+    numbered = found.select("_row", "_all", F.coalesce("_kept", none).alias("_kept"), F.coalesce("_near", F.lit(0)).alias("_near"),
+                            F.coalesce(blank, none).alias("_blank"))
+    stays = F.transform(F.array_sort(F.concat("_kept", "_blank")), lambda no: F.get("_all", no))
+    text = F.when(F.col("_all").isNotNull(), F.array_join(stays, "\n"))
+    size = lambda name: F.size(name).cast("bigint")
+    lines = F.when(F.col("_all").isNull(), F.lit(0)).otherwise(size("_all") - size("_blank")).cast("bigint")
+    counts = [lines.alias("n_lines"), size("_kept").alias("n_kept"), (lines - size("_kept") - F.col("_near")).alias("n_exact"),
+              F.col("_near").alias("n_near")] if counted else []
+    return numbered.select(F.col("_row").withField(f"`{text_col}`", text).alias("_row"), *counts).select(
+        "_row.*", *["n_lines", "n_kept", "n_exact", "n_near"][:len(counts)])

@@ -100,12 +100,19 @@ near AS (SELECT DISTINCT p AS line FROM differ WHERE (m = n AND substr(p, i + 1)
   OR (m = n + 1 AND substr(p, i + 1) = substr(q, i)) OR (n = m + 1 AND substr(p, i) = substr(q, i + 1))),
 per AS (SELECT f[1] AS doc_id, count(*) FILTER (WHERE near.line IS NULL) AS n_kept, count(near.line) AS n_near
   FROM x LEFT JOIN near ON x.line = near.line GROUP BY 1),
-c AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1)
+c AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
+k AS (SELECT e.doc_id, string_agg(e.raw, chr(10) ORDER BY e.no) AS cut FROM e
+  LEFT JOIN x ON trim(e.raw) = x.line LEFT JOIN near ON x.line = near.line
+  WHERE trim(e.raw) = '' OR (near.line IS NULL AND x.f[1] = e.doc_id AND x.f[2] = e.no) GROUP BY 1),
+r AS (SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.cut, '') END AS cut FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id)
 SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
-  coalesce(c.n, 0) - coalesce(n_kept, 0) - coalesce(n_near, 0) AS n_exact, coalesce(n_near, 0) AS n_near
-FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN per ON d.doc_id = per.doc_id""")
+  coalesce(c.n, 0) - coalesce(n_kept, 0) - coalesce(n_near, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
+  sha256(r.cut) AS text_sha256, CAST(length(r.cut) AS BIGINT) AS text_chars
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN per ON d.doc_id = per.doc_id JOIN r ON d.doc_id = r.doc_id""")
 def _(spark, docs, folder):
-    return line_dedup.line_counts(docs).withColumnRenamed("id", "doc_id")
+    return line_dedup.deduplicated(docs, counted=True).select(
+        "doc_id", "n_lines", "n_kept", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.char_length("text").cast("bigint").alias("text_chars"))
 
 
 @query("op8_exact_dedup", f"""

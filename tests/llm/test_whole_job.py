@@ -1,6 +1,7 @@
 """Operators do the whole job: planted cases that a smaller job would miss."""
 
 import collections
+import hashlib
 import pathlib
 import random
 import zlib
@@ -92,3 +93,16 @@ def test_sharding_query_moves_whole_texts(spark, tmp_path, monkeypatch):
     assert len(shards) == sharding.SHARDS
     stored = [t for s in shards for f in sorted(s.glob("*.parquet")) for t in pq.ParquetFile(f).read().column("text").to_pylist()]
     assert sorted(t or "" for t in stored) == sorted(t or "" for _, t in rows)
+
+
+def test_line_query_digests_the_texts_that_stay(spark, tmp_path):
+    rows = [(1, "one line\n\nsame line here\n  same line here \nlast"), (2, "same line hers\nother words\nonly two"), (3, None), (4, ""),
+            (5, "other words"), (6, "z\n" * 12 + "y y y y")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {1: "one line\n\nsame line here\nlast", 2: "other words\nonly two", 3: None, 4: "", 5: "", 6: "z\ny y y y"}
+    got = {r.doc_id: r for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    counts = {1: (4, 3, 1, 0), 2: (3, 2, 0, 1), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0), 5: (1, 0, 1, 0), 6: (13, 2, 11, 0)}
+    for i, text in wanted.items():
+        assert (got[i].n_lines, got[i].n_kept, got[i].n_exact, got[i].n_near) == counts[i]
+        assert got[i].text_sha256 == (None if text is None else hashlib.sha256(text.encode()).hexdigest())
+        assert got[i].text_chars == (None if text is None else len(text))
