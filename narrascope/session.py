@@ -69,7 +69,23 @@ def written(df, label: str):
     """
     path = new_scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables) -> None:
+    """Remove tables that `written` made and that no later result reads."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            remove_path(table.sparkSession, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str):
