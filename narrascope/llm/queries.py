@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from narrascope.llm import (
-    exact_dedup, language_model, line_dedup, mixing, packing, prefix_tokens, quality, sharding, simhash, toxicity)
+    clustering, conversations, exact_dedup, language_id, language_model, line_dedup, mixing, packing, prefix_tokens, quality,
+    sharding, simhash, toxicity)
 from narrascope.llm.common import held_out
 from narrascope.session import new_scratch
 
@@ -29,10 +30,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, table: str = "documents"):
     def register(build: Callable[[SparkSession, DataFrame, str], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(
-            spark, spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet"), folder.rstrip("/"))
+            spark, spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"), folder.rstrip("/"))
         if sql is not None:
             ORACLES[name] = sql
         return build
@@ -153,3 +154,21 @@ def _(spark, docs, folder):
     scored, model = language_model.fit_and_score(docs, held)
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 7, 2).alias("held_out"), "n_tokens", "n_known",
                          F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@query("op11_language_id")
+def _(spark, docs, folder):
+    model = language_id.fit(docs, ~held_out(F.col("id"), 5, 0))
+    return language_id.predict(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op12_centroid_clustering", table="embeddings")
+def _(spark, vectors, folder):
+    return clustering.with_inertia(clustering.cluster(vectors, "vec_id", "embedding")).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op13_conversation_repair", table="conversations")
+def _(spark, rows, folder):
+    return conversations.digests(conversations.repair(rows, damage=True)).withColumnRenamed("conv", "conv_id")
