@@ -42,52 +42,55 @@ NONE = "und"
 
 
 class SuffixAutomaton:
-    """All substrings of a text; transitions of a state are a dictionary by character."""
+    """All substrings of a text; a state is a dictionary of the states that follow by character."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+        following: list[dict[str, int]] = [{}]
         link, length, last = [-1], [0], 0
         for char in text:
-            new = len(self.next)
-            self.next.append({})
+            new = len(following)
+            following.append({})
             length.append(length[last] + 1)
             link.append(0)
             at = last
-            while at >= 0 and char not in self.next[at]:
-                self.next[at][char] = new
+            while at >= 0 and char not in following[at]:
+                following[at][char] = new
                 at = link[at]
             if at >= 0:
-                old = self.next[at][char]
+                old = following[at][char]
                 if length[old] == length[at] + 1:
                     link[new] = old
                 else:
-                    clone = len(self.next)
-                    self.next.append(self.next[old].copy())
+                    clone = len(following)
+                    following.append(following[old].copy())
                     length.append(length[at] + 1)
                     link.append(link[old])
-                    while at >= 0 and self.next[at].get(char) == old:
-                        self.next[at][char] = clone
+                    while at >= 0 and following[at].get(char) == old:
+                        following[at][char] = clone
                         at = link[at]
                     link[old] = link[new] = clone
             last = new
+        states: list[dict[str, dict]] = [{} for _ in following]
+        for state, own in zip(states, following):
+            state.update((char, states[to]) for char, to in own.items())
+        self.start = states[0]
 
     def phrases(self, text: str) -> tuple[int, int]:
         """Number of greedy longest matches that make up the text, and how many of them are lacking characters."""
-        states, start = self.next, self.next[0]
+        at = start = self.start
         count = lacking = 0
-        at = start
         for char in text:
-            to = at.get(char)
-            if to is None:
-                if at is not start:
-                    count += 1
-                    to = start.get(char)
-                if to is None:  # the character itself is unknown
-                    count += 1
-                    lacking += 1
-                    at = start
-                    continue
-            at = states[to]
+            if char in at:
+                at = at[char]
+                continue
+            if at is not start:
+                count += 1
+            if char in start:
+                at = start[char]
+            else:  # a phrase of its own
+                count += 1
+                lacking += 1
+                at = start
         return count + (at is not start), lacking
 
 
@@ -150,16 +153,18 @@ class Parser:
 
     def __init__(self, model: Model):
         self.model = model
-        self.automata = [SuffixAutomaton(text) for text in model.samples]
-        self.bits = np.array([math.log2(len(text) + 1) for text in model.samples])
+        self.ways = [(SuffixAutomaton(text).phrases, math.log2(len(text) + 1)) for text in model.samples]
         self.place: dict[str, int] = {}
         self.room = max(1024, min(CACHED, 16 * CACHED_BYTES // (8 * max(1, len(model.names)))))
         self.costs = np.zeros((self.room, len(model.names)))
         self.letters = 0
 
-    def word(self, word: str) -> np.ndarray:
-        counts = np.array([automaton.phrases(f" {word} ") for automaton in self.automata], np.float64)
-        return counts[:, 0] * self.bits + counts[:, 1] * LITERAL
+    def word(self, word: str) -> list[float]:
+        text, costs = f" {word} ", []
+        for phrases, bits in self.ways:
+            count, lacking = phrases(text)
+            costs.append(count * bits + lacking * LITERAL)
+        return costs
 
     def text(self, text: str) -> np.ndarray | None:
         """Cost of a text in every language; none if it has no letter."""
