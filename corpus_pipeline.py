@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm import exact_dedup, mixing, near_copies, packing, toxicity
+from narrascope.llm import exact_dedup, mixing, packing, simhash, toxicity
 from narrascope.llm.common import held_out
 from narrascope.llm.queries import WORD_BPE, tokenizer
 from narrascope.session import written
@@ -38,7 +38,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    """One document of every group whose fingerprints (three-word shingles) are linked by two or fewer differing bits."""
+    return simhash.drop_near_copies(docs, threshold=simhash.THRESHOLD)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
