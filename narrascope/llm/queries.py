@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from narrascope.llm import (
     clustering, conversations, exact_dedup, language_id, language_model, line_dedup, mixing, packing, prefix_tokens, quality,
@@ -63,13 +62,11 @@ def _(spark, docs, folder):
 
 @query("op4_sharding")
 def _(spark, docs, folder):
-    path = new_scratch(spark, "shards")
-    sharding.write_shards(docs, sharding.record_bytes("text"), path, sharding.file_count(docs, "text"))
-    stored = StructType([*docs.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
-    records = spark.read.schema(stored).parquet(path)
-    return sharding.record_sizes(records, "doc_id", "text", "shard", "slot").select(
-        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+    records = sharding.write_shards(docs, sharding.record_bytes("text"), new_scratch(spark, "shards"))
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    return records.select(
+        "record.doc_id", (F.octet_length(text) + sharding.OVERHEAD).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op5_packing")

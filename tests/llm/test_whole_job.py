@@ -77,7 +77,7 @@ def test_sharding_query_moves_whole_texts(spark, tmp_path, monkeypatch):
     shuffled, write_shards = sharding.shuffled, sharding.write_shards
     monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 16)  # so the texts, not the row count, make the buckets
     monkeypatch.setattr(sharding, "shuffled", lambda records, size, **how: dealt.append(records.columns) or shuffled(records, size, **how))
-    monkeypatch.setattr(sharding, "write_shards", lambda records, size, path, n, **how: files.append(path) or write_shards(records, size, path, n, **how))
+    monkeypatch.setattr(sharding, "write_shards", lambda records, size, path, **how: files.append(path) or write_shards(records, size, path, **how))
     got = QUERIES["op4_sharding"](spark, str(tmp_path)).collect()
     assert dealt == [["doc_id", "text"]]
     key = lambda r: (str(r[0]), r[1], r[2])
