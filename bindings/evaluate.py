@@ -8,7 +8,7 @@ from narrascope.functions import contracts as C
 from narrascope.operators import evaluation as E
 from narrascope.operators.quality import class_weights, top_classes
 from narrascope.operators.reporting import recurrence_table
-from narrascope.plans.scoring import score_reports, with_recurrence
+from narrascope.plans.scoring import RULE_COLUMNS, score_reports, with_recurrence
 from narrascope.schemas import RULES
 from narrascope.session import local_table, written
 
@@ -164,28 +164,39 @@ def _(t):
     return rows.select("id", C.risk_score(F.col("p"), F.col("life_saving_rule")).alias("risk_score"))
 
 
-SCORED_COLUMNS = ("sif_potential", "confidence", "life_saving_rule", "rule_confidence", "rule_needs_review",
-                  "rule_runner_up", "risk_score", "risk_level", "critical")
+SCORED_COLUMNS = ("sif_potential", "confidence", "sif_reasons", "sif_model_name", "sif_model_version", "low", "high", *RULE_COLUMNS,
+                  "risk_score", "risk_level", "critical")
+# every column of a scored report, arrays and maps spelled out
+SCORED_SQL = f"""{RECURRENCE}, decided AS ({CONDITIONAL}),
+risked AS (SELECT r.id, p, {LABEL} AS sif_potential, round_even(p, 4) AS confidence, {BAND} AS sif_reasons,
+  'embedding + logistic regression' AS sif_model_name, '1.0.0' AS sif_model_version, 0.35::DOUBLE AS low, 0.70::DOUBLE AS high,
+  d.life_saving_rule, rule_confidence, rule_needs_review, rule_review_reason, rule_runner_up, rule_runner_up_confidence,
+  CASE WHEN {EVALUATED} THEN 'rule_classifier' END AS rule_model_name, CASE WHEN {EVALUATED} THEN '1.0.0' END AS rule_model_version,
+  {_risk_sql('d.life_saving_rule', SHARE)} AS risk_score
+  FROM reports r JOIN decided d USING (id)
+  LEFT JOIN recurrence c ON r.site = c.site AND r.activity = c.activity AND d.life_saving_rule = c.life_saving_rule),
+scored_rows AS (SELECT *, CASE WHEN risk_score >= 70 THEN 'High' WHEN risk_score >= 40 THEN 'Medium' ELSE 'Low' END AS risk_level,
+  CASE WHEN sif_potential = 'Yes' AND risk_score >= 70 THEN 1 ELSE 0 END AS critical FROM risked)"""
+
+
+def flat(scored):
+    """Reasons as one text and the thresholds as two columns, for the comparison."""
+    at = F.col("sif_decision_thresholds")
+    return scored.withColumns({"sif_reasons": F.array_join("sif_reasons", " / "), "low": at["low"], "high": at["high"]}).drop(
+        "sif_decision_thresholds")
 
 
 @query("score_reports", f"""
-WITH {REPORT_RANKED}, {RECURRENCE}, decided AS ({CONDITIONAL}),
-risked AS (SELECT r.id, p, {LABEL} AS sif_potential, d.life_saving_rule, rule_confidence, rule_needs_review, rule_runner_up,
-  {_risk_sql('d.life_saving_rule', SHARE)} AS risk_score
-  FROM reports r JOIN decided d USING (id)
-  LEFT JOIN recurrence c ON r.site = c.site AND r.activity = c.activity AND d.life_saving_rule = c.life_saving_rule)
-SELECT id, sif_potential, round_even(p, 4) AS confidence, life_saving_rule, rule_confidence, rule_needs_review, rule_runner_up,
-  risk_score, CASE WHEN risk_score >= 70 THEN 'High' WHEN risk_score >= 40 THEN 'Medium' ELSE 'Low' END AS risk_level,
-  CASE WHEN sif_potential = 'Yes' AND risk_score >= 70 THEN 1 ELSE 0 END AS critical,
-  coalesce(hazards, 'N/A') AS typical_hazard, coalesce(barriers, 'N/A') AS typical_barrier
-FROM risked LEFT JOIN (
+WITH {REPORT_RANKED}, {SCORED_SQL}
+SELECT id, {", ".join(SCORED_COLUMNS)}, coalesce(hazards, 'N/A') AS typical_hazard, coalesce(barriers, 'N/A') AS typical_barrier
+FROM scored_rows LEFT JOIN (
   SELECT rule, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS hazards,
          string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS barriers
   FROM (SELECT {SQL_RULES}[CAST(p_partkey % 9 AS INT) + 1] AS rule, p_brand, p_type FROM part) WHERE rule <> 'Driving' GROUP BY 1)
   ON rule = life_saving_rule""", ("reports", "report_p", "report_classes"))
 def _(t):
     scored = score_reports(t.scored_reports, stored_recurrence(t), part_taxonomy(t), row_id="id")
-    return scored.select("id", *SCORED_COLUMNS, "typical_hazard", "typical_barrier")
+    return flat(scored).select("id", *SCORED_COLUMNS, "typical_hazard", "typical_barrier")
 
 
 def stored_recurrence(t: Tables):

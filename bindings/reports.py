@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from bindings.evaluate import REPORT_RANKED, SCORED_SQL, stored_recurrence
 from bindings.registry import query
 from bindings.views import Tables, report_id
 from narrascope.functions.contracts import precursor_severity
 from narrascope.operators import reporting as R
 from narrascope.operators import tables as T
 from narrascope.plans.dashboard import dashboard_cube
-from narrascope.plans.scoring import submission_defaults, upload_summary
+from narrascope.plans.scoring import Recurrence, bulk_upload, submission_defaults, upload_summary
 from narrascope.session import new_scratch, written
 
 LIVE = "source NOT IN ('real_ihm_stefanini', 'synthetic')"
@@ -379,18 +380,64 @@ def _(t):
                           written(R.recurrence_table(t.reports), "recurrence"))
 
 
+# uploads of known reports (two thirds) and of new ones, some of them twice; blank texts are skipped
+UPLOAD_ID = "CASE WHEN o.id % 3 = 0 THEN concat('UP-', CAST(o.id % 50000 AS VARCHAR)) ELSE o.report_id END"
+STORED_REPORT = ("report_id", "report_text", "site", "activity", "sif_potential", "life_saving_rule", "confidence", "risk_score",
+                 "rule_confidence", "risk_level", "top_phrases", "analyzed_at", "status", "critical", "source", "reporter_id", "report_type")
+
+
+@query("bulk_upload_table", f"""
+WITH {REPORT_RANKED}, {SCORED_SQL},
+up AS (SELECT {UPLOAD_ID} AS report_id, o.id, concat('at ', o.site) AS report_text, o.site, o.activity, s.sif_potential, s.life_saving_rule,
+    s.confidence, s.risk_score, s.rule_confidence, s.risk_level, CAST(NULL AS VARCHAR) AS top_phrases, CAST(NULL AS VARCHAR) AS analyzed_at,
+    'Submitted' AS status, s.critical, 'bulk_upload' AS source, o.reporter_id, 'Bulk' AS report_type
+  FROM reports o JOIN scored_rows s USING (id) WHERE o.status <> 'Investigation'),
+lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY id DESC) AS rn FROM up) WHERE rn = 1),
+fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY id) AS rn FROM up) WHERE rn = 1),
+old AS (SELECT report_id, 'stored' AS report_text, site, activity, 'No' AS sif_potential, 'N/A' AS life_saving_rule, 0.5::DOUBLE AS confidence,
+  1 AS risk_score, 0.5::DOUBLE AS rule_confidence, 'Low' AS risk_level, '[]' AS top_phrases, strftime(ts, '%Y-%m-%d') AS analyzed_at, status,
+  0 AS critical, source, reporter_id, 'Manual' AS report_type FROM reports WHERE id % 2 = 0)
+SELECT coalesce(o.report_id, n.report_id) AS report_id, {", ".join(
+    f"CASE WHEN n.report_id IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in STORED_REPORT[1:14])},
+  {", ".join(f"CASE WHEN o.report_id IS NOT NULL THEN o.{c} ELSE f.{c} END AS {c}" for c in STORED_REPORT[14:])}
+FROM old o FULL OUTER JOIN lst n ON o.report_id = n.report_id LEFT JOIN fst f ON f.report_id = n.report_id""",
+       ("reports", "report_p", "report_classes"))
+def _(t):
+    stored_rows = t.reports.filter("id % 2 = 0").select(
+        "report_id", F.lit("stored").alias("report_text"), "site", "activity", F.lit("No").alias("sif_potential"),
+        F.lit("N/A").alias("life_saving_rule"), F.lit(0.5).alias("confidence"), F.lit(1).alias("risk_score"), F.lit(0.5).alias("rule_confidence"),
+        F.lit("Low").alias("risk_level"), F.lit("[]").alias("top_phrases"), F.date_format("ts", "yyyy-MM-dd").alias("analyzed_at"), "status",
+        F.lit(0).alias("critical"), "source", "reporter_id", F.lit("Manual").alias("report_type"))
+    uploaded = t.scored_reports.withColumns({
+        "report_text": F.when(F.col("status") == "Investigation", "  ").otherwise(F.concat(F.lit("at "), F.col("site"))),
+        "report_id": F.when(F.col("id") % 3 == 0, F.concat(F.lit("UP-"), (F.col("id") % 50_000).cast("string"))).otherwise(F.col("report_id"))})
+    table, _summary = bulk_upload(stored_rows, uploaded, F.col("ts"), "id", Recurrence.of(stored_recurrence(t)))
+    return table.select(*STORED_REPORT)
+
+
 @query("submission_defaults", """
 SELECT id, CASE WHEN status = 'Closed' THEN concat('DRAFT-', strftime(ts, '%Y%m%d%H%M%S'), '000000-', CAST(id AS VARCHAR)) ELSE report_id END AS report_id,
        strftime(ts, '%Y-%m-%d') AS date, CASE WHEN sif_potential = 'No' THEN 'Unknown' ELSE site END AS site,
        'Manual' AS report_type, CASE WHEN risk_score > 50 THEN risk_score ELSE 0 END AS risk_score,
-       CASE WHEN risk_score > 50 THEN concat('[{"phrase":"', activity, '","weight":0.5}]') ELSE '[]' END AS top_phrases
+       CASE WHEN risk_score > 50 THEN concat('[{"phrase":"', activity, '","weight":0.5}]') ELSE '[]' END AS top_phrases,
+       CASE WHEN risk_score > 50 THEN concat('["score ', CAST(risk_score AS VARCHAR), '","', site, '"]') END AS sif_reasons,
+       CASE WHEN risk_score > 50 THEN '{"low":0.35,"high":0.7}' END AS sif_decision_thresholds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS analyzed_at,
+       'Unknown' AS activity, 'api' AS source, 'No' AS sif_potential, 'N/A' AS life_saving_rule, 'Low' AS risk_level, 'Submitted' AS status,
+       0.0::DOUBLE AS confidence, 0.0::DOUBLE AS rule_confidence
 FROM reports""", V)
 def _(t):
     high = F.col("risk_score") > 50
     phrases = F.array(F.struct(F.col("activity").alias("phrase"), F.lit(0.5).alias("weight")))
+    reasons = F.array(F.concat(F.lit("score "), F.col("risk_score").cast("string")), F.col("site"))
+    thresholds = F.create_map(F.lit("low"), F.lit(0.35), F.lit("high"), F.lit(0.7))
+    nothing = {name: F.lit(None).cast(kind) for name, kind in {
+        "activity": "string", "source": "string", "sif_potential": "string", "life_saving_rule": "string", "risk_level": "string",
+        "status": "string", "confidence": "double", "rule_confidence": "double"}.items()}
     partial = t.reports.select(
         "id", F.when(F.col("status") == "Closed", "").otherwise(F.col("report_id")).alias("report_id"),
         F.lit(None).cast("string").alias("date"), F.when(F.col("sif_potential") != "No", F.col("site")).alias("site"),
         F.lit(None).cast("string").alias("report_type"), F.when(high, F.col("risk_score")).alias("risk_score"),
-        F.when(high, phrases).alias("top_phrases"), "ts")
-    return submission_defaults(partial, F.col("ts"), "id").drop("ts", "analyzed_at")
+        F.when(high, phrases).alias("top_phrases"), F.when(high, reasons).alias("sif_reasons"),
+        F.when(high, thresholds).alias("sif_decision_thresholds"), *[value.alias(name) for name, value in nothing.items()], "ts")
+    done = submission_defaults(partial, F.col("ts"), "id")
+    return done.withColumn("analyzed_at", F.date_format("analyzed_at", "yyyy-MM-dd HH:mm:ss")).drop("ts")

@@ -2,17 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from bindings.evaluate import CONDITIONAL, LABEL, RECURRENCE, REPORT_RANKED, SHARE, _risk_sql, stored_recurrence
+from bindings.evaluate import REPORT_RANKED, SCORED_COLUMNS, SCORED_SQL, flat, stored_recurrence
 from bindings.registry import query
 from bindings.reports import LIVE
 from bindings.views import Tables
-from narrascope.plans.scoring import score_reports
+from narrascope.operators.store import KeyedStore
+from narrascope.plans.scoring import Recurrence, score_reports
+from narrascope.schemas import UPSERT_COLUMNS
 from narrascope.session import new_scratch
 from narrascope.streaming import jobs
 
-TRIAGED = f"""triaged AS (SELECT r.report_id, r.id, {LABEL} AS sif_potential, d.life_saving_rule, {_risk_sql('d.life_saving_rule', SHARE)} AS risk_score
-  FROM reports r JOIN decided d USING (id)
-  LEFT JOIN recurrence c ON r.site = c.site AND r.activity = c.activity AND d.life_saving_rule = c.life_saving_rule)"""
 SCORED_VIEWS = ("reports", "report_p", "report_classes")
 
 
@@ -22,33 +21,52 @@ def _folder(df, t: Tables, label: str, partitions: int = 4) -> str:
     return path
 
 
-def _triage(t: Tables) -> tuple[str, str]:
-    source = t.scored_reports
-    recurrence = stored_recurrence(t)
-    stream = jobs.stream_folder(t.spark, _folder(source, t, "reports-in"), source.schema, files_per_trigger=2)
-    log, audit = new_scratch(t.spark, "reports-log"), new_scratch(t.spark, "audit-log")
-    run = jobs.triage(stream, lambda batch: score_reports(batch, recurrence), log, audit, new_scratch(t.spark, "checkpoint"))
-    run.awaitTermination()
-    return log, audit
+REPLACED = tuple(name for name in UPSERT_COLUMNS if name not in ("report_text", "top_phrases", "analyzed_at"))
+KEPT = ("source", "reporter_id", *[name for name in SCORED_COLUMNS if name not in REPLACED])
+
+
+def _triage(t: Tables) -> KeyedStore:
+    """Two thirds of the reports are stored already, as someone entered them; then all are submitted to the stream."""
+    spark, source = t.spark, t.scored_reports
+    recurrence = Recurrence.of(stored_recurrence(t))
+
+    def score(batch):
+        return score_reports(batch, recurrence).withColumns({
+            "report_text": F.concat(F.lit("at "), F.col("site")), "top_phrases": F.lit("[]"), "analyzed_at": F.date_format("ts", "yyyy-MM-dd")})
+
+    schema = score(source).drop("p", "class_probs", "recurrence").schema
+    store = KeyedStore(spark, new_scratch(spark, "reports"), schema, "report_id", buckets=8)
+    entered = source.filter("id % 3 <> 0").select("report_id", "id", F.lit("entered by hand").alias("report_text"), F.lit("old").alias("status"),
+                                                 F.lit("stored").alias("source"), F.lit(0).cast("bigint").alias("reporter_id"))
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in entered.columns}
+    store.merge(entered.withColumns(missing), "id", "entered", 0)
+    stream = jobs.stream_folder(spark, _folder(source, t, "reports-in"), source.schema, files_per_trigger=2)
+    jobs.triage(stream, score, store, new_scratch(spark, "checkpoint")).awaitTermination()
+    return store
 
 
 @query("stream_triage", f"""
-WITH {REPORT_RANKED}, {RECURRENCE}, decided AS ({CONDITIONAL}), {TRIAGED}
-SELECT report_id, sif_potential, life_saving_rule, risk_score, CASE WHEN sif_potential = 'Yes' AND risk_score >= 70 THEN 1 ELSE 0 END AS critical FROM triaged""",
-       SCORED_VIEWS)
+WITH {REPORT_RANKED}, {SCORED_SQL}
+SELECT r.report_id, r.id, r.site, r.activity, r.status, concat('at ', r.site) AS report_text, '[]' AS top_phrases,
+  strftime(r.ts, '%Y-%m-%d') AS analyzed_at, {", ".join("s." + c for c in SCORED_COLUMNS if c in REPLACED)},
+  CASE WHEN r.id % 3 <> 0 THEN 'stored' ELSE r.source END AS source, CASE WHEN r.id % 3 <> 0 THEN 0 ELSE r.reporter_id END AS reporter_id,
+  {", ".join(f"CASE WHEN r.id % 3 = 0 THEN s.{c} END AS {c}" for c in KEPT[2:])}
+FROM reports r JOIN scored_rows s USING (id)""", SCORED_VIEWS)
 def _(t):
-    log, _audit = _triage(t)
-    return jobs.current(t.spark, log, "report_id", "id").select(
-        "report_id", "sif_potential", "life_saving_rule", "risk_score", "critical")
+    """The report table after the stream: 13 columns of a stored report are replaced, the others stay."""
+    return flat(_triage(t).current()).select(
+        "report_id", "id", "site", "activity", "status", "report_text", "top_phrases", "analyzed_at",
+        *[c for c in SCORED_COLUMNS if c in REPLACED], *KEPT)
 
 
 @query("stream_triage_audit", f"""
-WITH {REPORT_RANKED}, {RECURRENCE}, decided AS ({CONDITIONAL}), {TRIAGED}
-SELECT 'critical_flag_raised' AS action, report_id AS target_id, concat('sif_potential=Yes risk_score=', CAST(risk_score AS VARCHAR)) AS new_value
-FROM triaged WHERE sif_potential = 'Yes' AND risk_score >= 70""", SCORED_VIEWS)
+WITH {REPORT_RANKED}, {SCORED_SQL}
+SELECT CAST(NULL AS BIGINT) AS actor_user_id, 'AI Engine' AS actor_name, 'critical_flag_raised' AS action, 'report' AS target_type,
+  r.report_id AS target_id, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS old_value,
+  concat('sif_potential=Yes risk_score=', CAST(s.risk_score AS VARCHAR)) AS new_value, 'Auto-flagged for immediate Reviewer alert' AS reason
+FROM reports r JOIN scored_rows s USING (id) WHERE s.critical = 1""", SCORED_VIEWS)
 def _(t):
-    _log, audit = _triage(t)
-    return t.spark.read.parquet(audit).select("action", "target_id", "new_value")
+    return jobs.triage_audit(_triage(t))
 
 
 def _versions(t: Tables):
@@ -65,17 +83,21 @@ SELECT tile, value, CAST(sum(n) AS BIGINT) AS n FROM (
 def _(t):
     source = _versions(t)
     stream = jobs.stream_folder(t.spark, _folder(source, t, "versions-in"), source.schema, files_per_trigger=1)
-    log, folded = new_scratch(t.spark, "dashboard-log"), new_scratch(t.spark, "dashboard-folded")
-    jobs.dashboard_deltas(stream, log, new_scratch(t.spark, "checkpoint")).awaitTermination()
-    jobs.compact(t.spark, log, folded, "report_id", "version")
-    return jobs.live_counts(jobs.current(t.spark, folded, "report_id", "version"))
+    store = KeyedStore(t.spark, new_scratch(t.spark, "dashboard"), source.select(*jobs.DASHBOARD_FIELDS).schema, "report_id", buckets=8,
+                       replaced=None, newest="version")
+    jobs.dashboard(stream, store, new_scratch(t.spark, "checkpoint")).awaitTermination()
+    return jobs.live_counts(store)
 
 
-@query("stream_lifecycle", """
-SELECT target_type, target_id, max_by(new_value, id) AS status, max(id) AS last_id, count(*) AS changes FROM audit_log GROUP BY 1, 2""", ("audit_log",))
-def _(t):
+def _lifecycle(t: Tables, **how) -> str:
     source = t.audit_log
     stream = jobs.stream_folder(t.spark, _folder(source, t, "audit-in"), source.schema, files_per_trigger=2)
     log = new_scratch(t.spark, "lifecycle-log")
-    jobs.lifecycle(stream, log, new_scratch(t.spark, "checkpoint")).awaitTermination()
-    return jobs.current_status(t.spark, log)
+    jobs.lifecycle(stream, log, new_scratch(t.spark, "checkpoint"), **how).awaitTermination()
+    return log
+
+
+@query("stream_lifecycle", """
+SELECT target_type, target_id, max_by(new_value, id) AS status, max(id) AS last_id, count(*) AS changes FROM audit_log GROUP BY 1, 2""", ("audit_log",))
+def _(t):
+    return jobs.current_status(t.spark, _lifecycle(t))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from narrascope.operators.skew import small
 from narrascope.schemas import SEED_SOURCES, UPSERT_COLUMNS
+from narrascope.session import written
 
 # fixed values: what the scoring engine writes to the audit log
 ENGINE_NAME = "AI Engine"
@@ -52,8 +53,9 @@ def upsert(current: DataFrame, new: DataFrame, key: str, order: str | None = Non
             F.min_by(F.struct(*names), order).alias("_first"),
             F.max_by(F.struct(*names), order).alias("_last"),
         ).select(key, *[F.col("_last" if name in replaced else "_first")[name].alias(name) for name in names])
-    fresh = new.select(F.col(key).alias("_key"), *[
-        F.col(name).alias(f"_new_{name}") for name in current.columns if name != key])
+    # written once: the size check, the broadcast, the list of known keys and the join read it
+    fresh = written(new.select(F.col(key).alias("_key"), *[
+        F.col(name).alias(f"_new_{name}") for name in current.columns if name != key]), "upload")
     old = current.withColumn("_old", F.lit(True))
     if small(fresh):
         both = old.join(F.broadcast(fresh), F.col(key) == F.col("_key"), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from narrascope.functions.contracts import (
 )
 from narrascope.functions.text import known, strip
 from narrascope.operators.reporting import bulk_summary
-from narrascope.operators.skew import lookup_join
+from narrascope.operators.skew import left_lookup, lookup_join, small
 from narrascope.operators.tables import upsert
 from narrascope.session import written
 from narrascope.sources.taxonomy import taxonomy_lookup
@@ -29,13 +31,33 @@ NUMBER_DEFAULTS = {"confidence": 0.0, "risk_score": 0, "rule_confidence": 0.0}
 KEY = ["site", "activity", "life_saving_rule"]
 
 
-def with_recurrence(df: DataFrame, recurrence: DataFrame, spread: Column) -> DataFrame:
+@dataclass(frozen=True)
+class Recurrence:
+    """A recurrence table that is looked up many times: its size and its largest count are found once."""
+
+    table: DataFrame
+    largest: int | None
+    fits: bool
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Recurrence:
+        return cls(table, table.agg(F.max("n")).first()[0], small(table))
+
+
+def with_recurrence(df: DataFrame, recurrence: DataFrame | Recurrence, spread: Column) -> DataFrame:
     """Count of past reports with the same site, activity and rule, 0 by default."""
-    table = recurrence.select(*KEY, F.col("n").alias("recurrence"))
-    return lookup_join(df, table, KEY, spread).na.fill(0, ["recurrence"])
+    known = isinstance(recurrence, Recurrence)
+    table = (recurrence.table if known else recurrence).select(*KEY, F.col("n").alias("recurrence"))
+    if known and recurrence.fits:
+        joined = df.join(F.broadcast(table), KEY, "left")
+    elif known:
+        joined = left_lookup(df, table, KEY, spread)
+    else:
+        joined = lookup_join(df, table, KEY, spread)
+    return joined.na.fill(0, ["recurrence"])
 
 
-def score_reports(df: DataFrame, recurrence: DataFrame | None = None, taxonomy: DataFrame | None = None,
+def score_reports(df: DataFrame, recurrence: DataFrame | Recurrence | None = None, taxonomy: DataFrame | None = None,
                   p: str = "p", probs: str = "class_probs", row_id: str = "report_id",
                   phrases: str | None = None) -> DataFrame:
     """Decisions for rows that carry P(Yes) and class probabilities.
@@ -61,8 +83,8 @@ def score_reports(df: DataFrame, recurrence: DataFrame | None = None, taxonomy:
         score = risk_score(F.col(p), F.col("life_saving_rule"))
     else:
         decided = with_recurrence(decided, recurrence, F.xxhash64(row_id))
-        score = risk_score(F.col(p), F.col("life_saving_rule"), F.col("recurrence"),
-                           recurrence.agg(F.max("n")).scalar())
+        largest = F.lit(recurrence.largest).cast("bigint") if isinstance(recurrence, Recurrence) else recurrence.agg(F.max("n")).scalar()
+        score = risk_score(F.col(p), F.col("life_saving_rule"), F.col("recurrence"), largest)
     scored = decided.withColumn("risk_score", score)
     scored = scored.withColumns({
         "risk_level": risk_level(F.col("risk_score")),
@@ -74,14 +96,13 @@ def draft_id(submitted_at: Column) -> Column:
     return F.concat(F.lit("DRAFT-"), F.date_format(submitted_at, "yyyyMMddHHmmssSSSSSS"))
 
 
-def submission_defaults(df: DataFrame, submitted_at: Column, position: str | None = None) -> DataFrame:
+def submission_defaults(df: DataFrame, submitted_at: Column, position: str) -> DataFrame:
     """Complete submitted rows: ids, defaults and JSON text columns for the store.
 
-    A draft id is the time and the unique `position` column, or without one a hash of
-    the row, so that rows of one batch get different ids.
+    A draft id is the time and the unique `position` column (the readers number rows on request), so that rows of
+    one batch get different ids even if they agree in everything else.
     """
-    content = F.lower(F.hex(F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))))
-    draft = F.concat_ws("-", draft_id(submitted_at), content if position is None else F.col(position).cast("string"))
+    draft = F.concat_ws("-", draft_id(submitted_at), F.col(position).cast("string"))
     defaults = {**SUBMISSION_DEFAULTS, **NUMBER_DEFAULTS}
     filled = df.na.fill({name: value for name, value in defaults.items() if name in df.columns})
     made = {

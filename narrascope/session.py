@@ -88,6 +88,38 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is missing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(where)] if files.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place and rename it, so that readers see all of it or nothing."""
+    files_of = spark._jvm.org.apache.hadoop.fs.Path
+    where, part = files_of(path), files_of(f"{path}.{uuid.uuid4().hex}.part")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(part, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if not files.rename(part, where):
+        files.delete(part, False)
+        raise FileExistsError(path)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str):
     """A small fixed table as a local relation: no Python job reads it later."""
     fields = StructType.fromDDL(schema)
