@@ -6,7 +6,10 @@ Word rule of all operators: a word is a run of `[^\\x20\\x09-\\x0D]`, which is w
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +18,9 @@ from pyspark.sql import functions as F
 from narrascope.session import written  # noqa: F401  (re-exported to the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
-BIT_ROWS = 1 << 18  # rows of a bit table, 64 bits each
+TEXTS_AT_ONCE = 256  # texts of a batch that are Python values at a time
+BIT_ROWS = 1 << 19  # most rows of a bit table, 64 bits each; this bounds what is broadcast
+LARGEST_KEYS = 1 << 23  # keys up to which a bit table is used
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -28,9 +33,22 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, UPPER.lower()))
 
 
-def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """The texts of a batch as UTF-8 bytes; null counts as empty."""
-    return [value or b"" for value in batch.column(name).cast(pa.binary()).to_pylist()]
+def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
+    """The texts of a batch as UTF-8 bytes, some at a time; null counts as empty."""
+    column = batch.column(name)
+    for start in range(0, len(column), TEXTS_AT_ONCE):
+        for value in column.slice(start, TEXTS_AT_ONCE).cast(pa.binary()).to_pylist():
+            yield value or b""
+
+
+def release_memory() -> None:
+    """Give freed memory back at the end of a task, since its worker serves the next stage beside a grown heap of the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
@@ -40,6 +58,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)
+        del step
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -69,14 +89,46 @@ def without(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, repeate
     return main.union(again)
 
 
-def bit_table(keys: DataFrame, name: str) -> DataFrame:
-    """A bit table of a column of 64-bit keys: at most BIT_ROWS rows, whatever the data."""
-    return keys.groupBy(F.shiftright(name, 6).bitwiseAND(F.lit(BIT_ROWS - 1)).alias("word")).agg(
+@dataclass(frozen=True)
+class KeyFilter:
+    """What is known of a set of 64-bit keys without moving the rows that may hold them: a bit table, or the keys themselves."""
+
+    keys: DataFrame
+    bits: DataFrame | None
+    rows: int
+
+    def word(self, key: Column) -> Column:
+        return F.shiftright(key, 6).bitwiseAND(F.lit(self.rows - 1))
+
+    def held(self, name: str) -> Column:
+        """Whether the key's bit is set, beside a row of the bit table (null without one)."""
+        return F.expr(f"(bits & shiftleft(1L, cast({name} & 63L as int))) <> 0")
+
+
+def key_filter(keys: DataFrame, name: str, label: str = "bits") -> KeyFilter:
+    """A filter of a column of 64-bit keys, sized by their number: 16 bits or more a key while the table
+    has at most BIT_ROWS rows. Beyond LARGEST_KEYS keys a bit table would let most rows through, so there is none."""
+    found = written(keys.select(name).filter(F.col(name).isNotNull()).distinct(), f"{label}-keys")
+    count = found.count()
+    if count > LARGEST_KEYS:
+        return KeyFilter(found, None, 0)
+    rows = min(BIT_ROWS, 1 << max(10, (count // 4).bit_length()))
+    table = KeyFilter(found, None, rows)
+    bits = found.groupBy(table.word(F.col(name)).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63L as int))")).alias("bits"))
+    return KeyFilter(found, written(bits, label), rows)
+
+
+def maybe_in(rows: DataFrame, name: str, keys: KeyFilter) -> DataFrame:
+    """Rows whose key may be in the set; no row that is in it is lost, and beyond LARGEST_KEYS none else is left."""
+    if keys.bits is None:
+        return rows.join(keys.keys.select(F.col(keys.keys.columns[0]).alias(name)), name, "left_semi")
+    return rows.join(F.broadcast(keys.bits), (keys.word(F.col(name)) == F.col("word")) & keys.held(name), "left_semi")
 
 
-def maybe_in(rows: DataFrame, name: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the bit table; no row that is in it is lost."""
-    word = F.shiftright(name, 6).bitwiseAND(F.lit(BIT_ROWS - 1))
-    held = F.expr(f"(bits & shiftleft(1L, cast({name} & 63L as int))) <> 0")
-    return rows.join(F.broadcast(bits), (word == F.col("word")) & held, "left_semi")
+def marked_in(rows: DataFrame, name: str, keys: KeyFilter, mark: str) -> DataFrame:
+    """All rows with a mark: whether the key may be in the set (always, without a bit table). Rows are not moved."""
+    if keys.bits is None:
+        return rows.withColumn(mark, F.lit(True))
+    beside = rows.join(F.broadcast(keys.bits), keys.word(F.col(name)) == F.col("word"), "left")
+    return beside.withColumn(mark, F.coalesce(keys.held(name), F.lit(False))).drop("word", "bits")

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import ascii_lower, bit_table, maybe_in, without, written
+from narrascope.llm.common import ascii_lower, key_filter, maybe_in, without, written
 
 # rows of one group that one task compares with the group's chosen row
 COMPARED = 1024
@@ -49,7 +49,7 @@ def colliding(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, ke
     """
     parts = F.ceil(F.col("size") / COMPARED).cast("int")
     # a bit table of the repeated hashes keeps nearly all other texts from being moved
-    bits = written(bit_table(groups.select(F.xxhash64("key").alias("code")), "code"), "bits")
+    bits = key_filter(groups.select(F.xxhash64("key").alias("code")), "code")
     texts = maybe_in(_keys(docs, id_col, text_col, key).withColumn("code", F.xxhash64("key")), "code", bits).drop("code")
     members = written(texts.join(groups, "key").withColumn(
         "salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")), "members")

@@ -108,9 +108,9 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
   sha256(r.cut) AS text_sha256, CAST(length(r.cut) AS BIGINT) AS text_chars
 FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN per ON d.doc_id = per.doc_id JOIN r ON d.doc_id = r.doc_id""")
 def _(spark, docs, folder):
+    text = F.col("row.text")
     return line_dedup.deduplicated(docs, counted=True).select(
-        "doc_id", "n_lines", "n_kept", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
-        F.char_length("text").cast("bigint").alias("text_chars"))
+        "row.doc_id", "counts.*", F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.char_length(text).cast("bigint").alias("text_chars"))
 
 
 @query("op8_exact_dedup", f"""

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from narrascope.llm import (
-    exact_dedup, language_model, line_dedup, mixing, packing, prefix_tokens, quality, sharding, simhash, toxicity)
+    common, exact_dedup, language_model, line_dedup, mixing, packing, prefix_tokens, quality, sharding, simhash, toxicity)
+from narrascope.llm.common import key_filter, marked_in, maybe_in
 from narrascope.llm.graph import components
 from narrascope.llm.queries import BYTE_BPE, WORD_BPE, tokenizer
 
@@ -253,6 +254,25 @@ def test_line_dedup(spark, docs, none):
     cut = line_dedup.deduplicated(docs)
     assert cut.columns == docs.columns and cut.filter("doc_id = 3 and text is null").count() == 1
     assert line_dedup.line_counts(none).count() == line_dedup.deduplicated(none).count() == 0
+    named = docs.withColumns({name: F.lit(1) for name in ("n_lines", "n_kept", "n_exact", "n_near", "row", "counts", "kept", "hit", "tie")})
+    assert line_dedup.deduplicated(named).columns == named.columns
+    assert sorted(map(str, line_dedup.deduplicated(named).select("doc_id", "text").collect())) == sorted(map(str, cut.select("doc_id", "text").collect()))
+    counted = line_dedup.deduplicated(named, counted=True).select("row.doc_id", "counts.*")
+    assert sorted(map(str, map(tuple, counted.collect()))) == sorted(map(str, map(tuple, counts)))
+
+
+def test_key_filters_lose_no_key(spark, monkeypatch):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("k"), "id")
+    keys = rows.filter("id % 7 = 0").select("k")
+    wanted = {r.id for r in rows.filter("id % 7 = 0").collect()}
+    found = key_filter(keys, "k")
+    passed = {r.id for r in maybe_in(rows, "k", found).collect()}
+    assert passed >= wanted and len(passed) < 1500
+    assert {r.id for r in marked_in(rows, "k", found, "m").filter("m").collect()} == passed
+    assert marked_in(rows, "k", found, "m").count() == 5000
+    monkeypatch.setattr(common, "LARGEST_KEYS", 10)  # the shuffled way beyond the bound
+    many = key_filter(keys, "k")
+    assert many.bits is None and {r.id for r in maybe_in(rows, "k", many).collect()} == wanted
 
 
 def test_mixing(spark, docs, none):
