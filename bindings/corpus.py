@@ -11,6 +11,7 @@ from narrascope.operators import evidence as V
 from narrascope.operators import identity as I
 from narrascope.operators import quality as Q
 from narrascope.operators import splits as S
+from narrascope.operators.ordering import dense_index
 from narrascope.schemas import EVIDENCE_FIELDS
 from narrascope.session import written
 
@@ -307,6 +308,60 @@ def _(t):
     return V.match_rate_report(V.extract_evidence(open_master(t), VOCABULARY))
 
 
+# --- evidence with a vocabulary table --------------------------------------------
+
+PHRASES_WANTED = 478
+# one to three words of every document in turn, until there are enough different phrases; fields and categories follow from the number
+TABLE_SQL = f"""words AS (SELECT doc_id, string_split(narrative_text, ' ') AS w FROM narratives WHERE doc_id % 2 = 0),
+picked AS (SELECT DISTINCT array_to_string(w[2:2 + CAST(doc_id // 2 % 3 AS INT)], ' ') AS phrase FROM words WHERE len(w) > 6),
+vocab AS (SELECT ['unsafe_act', 'unsafe_condition', 'barrier', 'potential_consequence'][CAST((rn - 1) % 4 AS INT) + 1] AS field,
+  CAST((rn - 1) // 4 % 6 AS INT) AS cat_ord, concat('category ', CAST((rn - 1) // 4 % 6 AS VARCHAR)) AS category, CAST((rn - 1) // 24 AS INT) AS phrase_ord, phrase
+  FROM (SELECT phrase, row_number() OVER (ORDER BY md5(phrase), phrase) AS rn FROM picked WHERE length(phrase) > 2) WHERE rn <= {PHRASES_WANTED}),
+m AS (SELECT n.record_id, n.source_dataset, v.*, instr(lower(n.narrative_text), lower(v.phrase)) AS pos, n.narrative_text
+  FROM narratives n, vocab v WHERE contains(lower(n.narrative_text), lower(v.phrase))
+    AND {sql_strip('n.narrative_text')} <> '' AND upper({sql_strip('n.narrative_text')}) <> 'UNKNOWN')"""
+TABLE_FIRST_SQL = TABLE_SQL + FIRST_SQL[len(VOCAB_SQL):]
+
+
+def vocabulary_table(t: Tables):
+    """As many phrases as the reference keeps, of one to three words each, as a table."""
+    words = F.split("narrative_text", " ")
+    cut = F.slice(words, F.lit(2), (F.floor(F.col("doc_id") / 2) % 3 + 1).cast("int"))
+    picked = t.narratives.filter((F.col("doc_id") % 2 == 0) & (F.size(words) > 6)).select(F.array_join(cut, " ").alias("phrase")).distinct()
+    first = picked.filter(F.char_length("phrase") > 2).orderBy(F.md5(F.col("phrase").cast("binary")), "phrase").limit(PHRASES_WANTED)
+    at = (dense_index(first.withColumn("hash", F.md5(F.col("phrase").cast("binary"))), [F.col("hash"), F.col("phrase")], "rn", "vocabulary")
+          .withColumn("at", F.col("rn") - 1))
+    group = F.floor(F.col("at") / 4) % 6
+    fields = F.array(*[F.lit(f) for f in ("unsafe_act", "unsafe_condition", "barrier", "potential_consequence")])
+    return written(at.select(
+        F.get(fields, (F.col("at") % 4).cast("int")).alias("field"), group.cast("int").alias("category_order"),
+        F.concat(F.lit("category "), group.cast("string")).alias("category"), F.floor(F.col("at") / 24).cast("int").alias("phrase_order"),
+        "phrase"), "vocabulary")
+
+
+@query("extract_evidence_table", f"WITH {TABLE_FIRST_SQL} {_evidence_sql()}", N)
+def _(t):
+    done = V.extract_evidence(open_master(t), V.load_vocabulary(vocabulary_table(t)))
+    entries = F.array(*[F.struct(
+        F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"{f}_evidence_span").alias("span"),
+        F.col(f"{f}_evidence_start").alias("start_at"), F.col(f"{f}_evidence_end").alias("end_at"),
+        F.col(f"{f}_status").alias("status")) for f in EVIDENCE_FIELDS])
+    return done.select("record_id", "source_dataset", F.inline(entries))
+
+
+@query("ambiguous_matches_table", f"""
+WITH {TABLE_FIRST_SQL} SELECT record_id, source_dataset, field, string_agg(category, '|' ORDER BY cat_ord) AS matched_categories,
+  string_agg(concat('\'\'', substring(narrative_text, pos, length(phrase)), '\'\''), '|' ORDER BY cat_ord) AS matched_spans
+FROM hits GROUP BY 1, 2, 3 HAVING count(*) > 1""", N)
+def _(t):
+    return V.ambiguous_matches(open_master(t), vocabulary_table(t))
+
+
+@query("vocab_match_table", f"WITH {TABLE_SQL} SELECT record_id, field, category, phrase FROM m", N)
+def _(t):
+    return V.vocabulary_matches(t.narratives, vocabulary_table(t))
+
+
 # --- splits -------------------------------------------------------------------
 
 SPLIT_SQL = f"""{DOC_GROUPS},

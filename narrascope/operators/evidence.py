@@ -13,24 +13,28 @@ from narrascope.functions.text import bound, strip, usable_text
 from narrascope.operators.ordering import dense_index
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import EVIDENCE_FIELDS, UNKNOWN
+from narrascope.session import written
 
 # letters whose lower case is not one equal-length letter, or that match others ignoring case
 FOLDING = ("İ", "ı", "ſ")
 GUARD_LETTERS = 4  # shorter words occur in most texts
 NO_HITS = "array<struct<category:string,phrase:string,at:int>>"
 
+LITERAL_PHRASES = 200  # longer vocabularies are searched through an index
+GRAM = 3  # letters of the pieces by which short phrases find the words that may hold them
+
 Vocabulary = dict[str, list[tuple[str, list[str]]]]
 
 
-def load_vocabulary(table: DataFrame, limit: int = 100_000) -> Vocabulary:
+def load_vocabulary(table: DataFrame, limit: int = LITERAL_PHRASES) -> Vocabulary | DataFrame:
     """Field -> ordered categories -> ordered phrases, from a vocabulary table.
 
-    A vocabulary is a hand-kept word list that becomes a literal of the plan;
-    one beyond `limit` phrases is refused rather than cut.
+    A short, hand-kept word list becomes a literal of the plan; beyond `limit` phrases the
+    table itself is returned, which every function here takes too and searches through an index.
     """
     rows = table.orderBy("field", "category_order", "phrase_order").limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"vocabulary has more than {limit} phrases")
+        return table
     vocabulary: Vocabulary = {}
     for row in rows:
         categories = vocabulary.setdefault(row["field"], [])
@@ -129,6 +133,103 @@ def _all_hits(text: Column, wanted: dict[str, Column], vocabulary: Vocabulary) -
     return F.when(_folds(text), folded).otherwise(plain)
 
 
+def folded(text: Column) -> Column:
+    """The text in lower case, letter for letter, the unusual ones as the letters that they match ignoring case."""
+    return F.lower(F.translate(text, "".join(FOLDING), "iis"))
+
+
+def _grams(word: Column, size: int = GRAM) -> Column:
+    """Different pieces of `size` letters of a word, and the word itself if it is shorter."""
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(word) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(word, i, F.lit(size))))
+
+
+def _rarest(numbered: DataFrame, frequencies: DataFrame, token: str) -> DataFrame:
+    """The least frequent of a phrase's tokens in the texts: (no, token). One that no text has is rarest of all."""
+    known = numbered.join(frequencies, token, "left")
+    order = F.struct(F.coalesce("n", F.lit(0)), -F.char_length(token), token)
+    return known.groupBy("no").agg(F.min_by(token, order).alias(token))
+
+
+def phrase_index(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, nos: phrases that a text with this token may hold): an inverted index of the phrases over a table of the
+    texts' tokens (token, n). Tokens are what single spaces part.
+
+    A phrase of three tokens or more holds its inner ones whole, so its rarest inner token stands for it. Of a shorter
+    phrase any token of a text may hold a piece: its own word inside, its first one at the end, or its last one at the
+    beginning. These tokens are found among the different tokens through pieces of three letters, again by the rarest.
+    """
+    split = vocabulary.select("no", F.split("low", " ").alias("parts"))
+    long = split.filter(F.size("parts") > 2).select(
+        "no", F.explode(F.array_distinct(F.slice("parts", F.lit(2), F.size("parts") - 2))).alias("token"))
+    whole = _rarest(long, tokens, "token")
+    # of two tokens the longer one is looked for, where it touches the space
+    first, last = F.get("parts", F.lit(0)), F.get("parts", F.size("parts") - 1)
+    ahead = F.char_length(first) >= F.char_length(last)
+    short = split.filter(F.size("parts") <= 2).select(
+        "no", F.when(ahead, first).otherwise(last).alias("piece"),
+        F.when(F.size("parts") == 1, "inside").when(ahead, "end").otherwise("start").alias("side"))
+    words = tokens.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
+    counts = written(words.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
+    keyed = short.filter(F.char_length("piece") >= GRAM)
+    key = _rarest(keyed.select("no", F.explode(_grams(F.col("piece"))).alias("gram")), counts, "gram")
+    token, piece, side = F.col("token"), F.col("piece"), F.col("side")
+    holds = (F.when(side == "inside", F.contains(token, piece)).when(side == "end", F.endswith(token, piece))
+             .otherwise(F.startswith(token, piece)))
+    found = keyed.join(key, "no").join(words, "gram").filter(holds).select("token", "no")
+    # pieces of one or two letters (few, and in nearly every text) are compared with the words themselves
+    tiny = short.filter(F.char_length("piece") < GRAM)
+    pairs = tokens.select("token", F.explode(F.array_distinct(F.concat(
+        _grams(token, 1), _grams(token, 2), F.array(F.lit("")))))
+        .alias("piece")).join(tiny, "piece").filter(holds).select("token", "no")
+    return whole.select("token", "no").union(found).union(pairs).distinct().groupBy("token").agg(F.collect_list("no").alias("nos"))
+
+
+def indexed_hits(df: DataFrame, vocabulary: DataFrame, text: str) -> DataFrame:
+    """The rows with `_candidates`: the phrases of a vocabulary table that their text may hold, in vocabulary order, each
+    with its lower-case form. Texts without a candidate are not moved while the candidates fit a broadcast.
+    """
+    numbered = written(dense_index(
+        vocabulary.select("field", "category_order", "category", "phrase_order", "phrase").distinct(),
+        [F.col(c) for c in ("field", "category_order", "phrase_order", "category", "phrase")], "no", "vocabulary")
+        .withColumn("low", folded(F.col("phrase"))), "phrases")
+    body = F.col(text)
+    each = df.filter(usable_text(body)).select(F.xxhash64(body).alias("key"), F.explode(F.array_distinct(F.split(folded(body), " "))).alias("token"))
+    tokens = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "tokens")
+    index = written(phrase_index(numbered, tokens), "index")
+    met = lookup_join(each, index, ["token"], F.col("key")).filter(F.col("nos").isNotNull()).select("key", F.explode("nos").alias("no")).distinct()
+    phrases = numbered.select("no", F.struct("no", "field", "category", "phrase", "low").alias("entry"))
+    of_text = lookup_join(met, phrases, ["no"], F.col("key")).groupBy("key").agg(F.sort_array(F.collect_list("entry")).alias("_candidates"))
+    keyed = df.withColumn("_text_key", F.xxhash64(body))
+    return lookup_join(keyed, written(of_text.withColumnRenamed("key", "_text_key"), "candidates"), ["_text_key"], F.col("_text_key")).drop("_text_key")
+
+
+def _verified(text: Column) -> Column:
+    """The candidates that the text holds: array<struct<field, category, phrase, at>>, in vocabulary order."""
+    return bound(folded(text), lambda low: F.transform(
+        F.filter(F.coalesce(F.col("_candidates"), F.array().cast("array<struct<no:bigint,field:string,category:string,phrase:string,low:string>>")),
+                 lambda e: F.contains(low, e["low"])),
+        lambda e: F.struct(e["field"].alias("field"), e["category"].alias("category"), e["phrase"].alias("phrase"),
+                           F.instr(low, e["low"]).alias("at"))))
+
+
+def _first_of_category(hits: Column) -> Column:
+    """The first hit of every run of one category."""
+    new = lambda e, i: (i == 0) | (e["category"] != F.get(hits, i - 1)["category"])
+    return F.transform(F.filter(hits, new), lambda e: F.struct(e["category"].alias("category"), e["phrase"].alias("phrase"), e["at"].alias("at")))
+
+
+def _indexed_struct(text: Column, wanted: dict[str, Column]) -> Column:
+    """As `_all_hits`, from the candidates of the row."""
+    nothing = F.array().cast(NO_HITS)
+
+    def of_field(hits: Column, field: str) -> Column:
+        return bound(F.filter(hits, lambda e: e["field"] == field), _first_of_category)
+
+    return bound(_verified(text), lambda hits: F.struct(*[
+        F.when(open_field, of_field(hits, field)).otherwise(nothing).alias(field) for field, open_field in wanted.items()]))
+
+
 def _span(text: Column, hit: Column) -> Column:
     return F.substring(text, hit["at"], F.length(hit["phrase"]))
 
@@ -140,20 +241,24 @@ def _status(open_field: Column, usable: Column, hits: Column) -> Column:
             .when(F.size(hits) == 1, "matched").otherwise("ambiguous"))
 
 
-def extract_evidence(df: DataFrame, vocabulary: Vocabulary, text: str = "narrative_text",
+def extract_evidence(df: DataFrame, vocabulary: Vocabulary | DataFrame, text: str = "narrative_text",
                      fields: tuple[str, ...] = EVIDENCE_FIELDS, keep_hits: bool = False) -> DataFrame:
     """Fill UNKNOWN fields from a single matching category, with quoted evidence.
 
     A known value is never overwritten; several categories leave the field
     open. Each field gains _evidence_span, _evidence_start (0-based),
-    _evidence_end and _status. One narrow pass: no shuffle, no UDF.
+    _evidence_end and _status. With a literal vocabulary one narrow pass: no shuffle, no UDF. A
+    vocabulary table of any size is searched through an inverted index, with equal results.
     """
     body = F.col(text)
+    indexed = isinstance(vocabulary, DataFrame)
+    if indexed:
+        df = indexed_hits(df, vocabulary, text)
     values = {field: strip(F.coalesce(F.col(field), F.lit(""))) for field in fields}
     plan = df.withColumn("_usable", usable_text(body)).withColumns(
         {f"_{field}_open": (value == "") | (value == UNKNOWN) for field, value in values.items()})
     wanted = {field: F.col("_usable") & F.col(f"_{field}_open") for field in fields}
-    plan = plan.withColumn("_hits", _all_hits(body, wanted, vocabulary))
+    plan = plan.withColumn("_hits", _indexed_struct(body, wanted) if indexed else _all_hits(body, wanted, vocabulary))
     plan = plan.withColumns({f"_{field}_hits": F.col(f"_hits.{field}") for field in fields})
     plan = plan.withColumns({f"{field}_status": _status(
         F.col(f"_{field}_open"), F.col("_usable"), F.col(f"_{field}_hits")) for field in fields})
@@ -166,11 +271,11 @@ def extract_evidence(df: DataFrame, vocabulary: Vocabulary, text: str = "narrati
             f"{field}_evidence_span": F.when(matched, _span(body, hit)),
             f"{field}_evidence_start": start,
             f"{field}_evidence_end": start + F.length(hit["phrase"])})
-    plan = plan.drop("_hits", "_usable", *[f"_{field}_open" for field in fields])
+    plan = plan.drop("_hits", "_usable", "_candidates", *[f"_{field}_open" for field in fields])
     return plan if keep_hits else plan.drop(*[f"_{field}_hits" for field in fields])
 
 
-def ambiguous_matches(df: DataFrame, vocabulary: Vocabulary, row_id: str = "record_id",
+def ambiguous_matches(df: DataFrame, vocabulary: Vocabulary | DataFrame, row_id: str = "record_id",
                       dataset: str = "source_dataset", text: str = "narrative_text",
                       fields: tuple[str, ...] = EVIDENCE_FIELDS) -> DataFrame:
     """Long log of fields with several matching categories."""
@@ -188,12 +293,15 @@ def ambiguous_matches(df: DataFrame, vocabulary: Vocabulary, row_id: str = "reco
         F.array_join("e.spans", "|").alias("matched_spans"))
 
 
-def vocabulary_matches(df: DataFrame, vocabulary: Vocabulary, row_id: str = "record_id",
+def vocabulary_matches(df: DataFrame, vocabulary: Vocabulary | DataFrame, row_id: str = "record_id",
                        text: str = "narrative_text") -> DataFrame:
     """Every (row, phrase) that occurs, long form: the audit of the extraction.
 
     Phrases are tested in place and only those found become rows.
     """
+    if isinstance(vocabulary, DataFrame):
+        held = indexed_hits(df, vocabulary, text).filter(usable_text(F.col(text)))
+        return held.select(row_id, F.inline(_verified(F.col(text)))).select(row_id, "field", "category", "phrase")
     guards = _guards(vocabulary)
     words = sorted(set(guards.values()))
     places = {word: i for i, word in enumerate(words)}

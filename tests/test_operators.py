@@ -238,13 +238,59 @@ def test_phrases_that_share_words(spark):
     assert found == {(i, c) for i, p in expected for cs in vocabulary.values() for c, ps in cs if p in ps}
 
 
-def test_load_vocabulary_orders_and_refuses(spark):
+def test_load_vocabulary_orders_and_turns_to_a_table(spark):
     rows = [("f", 1, "b", 0, "two"), ("f", 0, "a", 1, "one-b"), ("f", 0, "a", 0, "one-a")]
     table = spark.createDataFrame(rows, "field string, category_order int, category string, phrase_order int, phrase string")
     assert evidence.load_vocabulary(table) == {"f": [("a", ["one-a", "one-b"]), ("b", ["two"])]}
-    with pytest.raises(ValueError):
-        evidence.load_vocabulary(table, limit=2)
-
+    assert evidence.load_vocabulary(table, limit=2) is table
+
+
+def made_up_texts(pick, n):
+    letters = ["a", "b", "é", "I", "ſ", "İ", "ı", "K", "1"]
+    word = lambda: "".join(pick.choice(letters) for _ in range(pick.randrange(0, 5)))
+    return [" ".join(word() for _ in range(pick.randrange(0, 25))) for _ in range(n)] + ["", "  ", "unknown", None]
+
+
+def test_indexed_vocabulary_equals_the_literal_one(spark):
+    """Phrases of one to four words, whole or cut out of words, with blanks at their ends and letters that fold."""
+    pick = random.Random(12)
+    texts = made_up_texts(pick, 150)
+    phrases = {"a", "b ", " é", "zz", "  "}
+    while len(phrases) < 120:
+        text = pick.choice(texts[:150])
+        a = pick.randrange(len(text) + 1)
+        piece = text[a:a + pick.randrange(1, 12)]
+        if piece:
+            phrases.add(piece)
+    rows, vocabulary = [], {}
+    for i, phrase in enumerate(sorted(phrases)):
+        field, category = ("barrier", "unsafe_act")[i % 2], i // 2 % 5
+        rows.append((field, category, f"c{category}", i // 10, phrase))
+    for field, order, category, _, phrase in sorted(rows):
+        categories = vocabulary.setdefault(field, [])
+        if not categories or categories[-1][0] != category:
+            categories.append((category, []))
+        categories[-1][1].append(phrase)
+    table = spark.createDataFrame(rows, "field string, category_order int, category string, phrase_order int, phrase string")
+    df = spark.createDataFrame([(str(i), t, "UNKNOWN", "UNKNOWN") for i, t in enumerate(texts)], "record_id string, narrative_text string, barrier string, unsafe_act string")
+    fields = ("barrier", "unsafe_act")
+    literal = evidence.extract_evidence(df, vocabulary, fields=fields, keep_hits=True)
+    indexed = evidence.extract_evidence(df, table, fields=fields, keep_hits=True)
+    assert sorted(map(str, indexed.select(literal.columns).collect())) == sorted(map(str, literal.collect()))
+    found = evidence.vocabulary_matches(df, table)
+    assert sorted(found.collect()) == sorted(evidence.vocabulary_matches(df, vocabulary).collect()) and found.count() > 500
+
+
+def test_a_million_phrases(spark):
+    table = spark.range(1_000_000).select(
+        F.lit("barrier").alias("field"), (F.col("id") % 7).cast("int").alias("category_order"), (F.col("id") % 7).cast("string").alias("category"),
+        F.col("id").cast("int").alias("phrase_order"),
+        F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") % 1000).cast("string"), F.lit(" end")).alias("phrase"))
+    df = spark.createDataFrame([("1", "so W5 x5 end here", "UNKNOWN"), ("2", "w77 x78 end", "UNKNOWN"), ("3", "aw999999 X999 ending", "UNKNOWN")],
+                               "record_id string, narrative_text string, barrier string")
+    assert evidence.load_vocabulary(table) is table
+    got = {r.record_id: (r.barrier, r.barrier_evidence_span) for r in evidence.extract_evidence(df, table, fields=("barrier",)).collect()}
+    assert got == {"1": ("5", "W5 x5 end"), "2": ("UNKNOWN", None), "3": (str(999_999 % 7), "w999999 X999 end")}
 
 def scored_rows(seed, n=300):
     rng = random.Random(seed)
