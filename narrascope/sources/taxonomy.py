@@ -117,12 +117,12 @@ def known_terms(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     """The fixed term table; `datasets` names the dataset of each known source."""
     columns = {
         "industrial": [("Critical Risk", term_maps.CRITICAL_RISK)],
-        "severe_injury": [("Event", term_maps.by_code(term_maps.SEVERE_INJURY_EVENTS))],
+        "severe_injury": [("Event", term_maps.SEVERE_INJURY_EVENTS)],
         "abstracts": [("Event type", term_maps.ABSTRACT_EVENT_TYPES),
                       ("Human Factor", term_maps.ABSTRACT_HUMAN_FACTORS),
                       ("Environmental Factor", term_maps.ABSTRACT_ENVIRONMENT)],
         "hazmat": [("Failure Cause Description", term_maps.FAILURE_CAUSES)],
-        "injury_narratives": [("event", term_maps.by_code(term_maps.NARRATIVE_EVENTS))],
+        "injury_narratives": [("event", term_maps.NARRATIVE_EVENTS)],
     }
     rows = [(datasets[source], column, term, rule)
             for source, tables in columns.items() if source in datasets
