@@ -164,7 +164,7 @@ PART_GROUPS = GROUPS.format(key="p_partkey", ds="p_type", norm=sql_norm("p_name"
 
 @query("duplicate_groups", f"WITH {DOC_GROUPS} SELECT record_id, ds AS source_dataset, CAST(coalesce(g, 0) AS INT) AS is_duplicate_group_id FROM keyed LEFT JOIN multi USING (k)", N)
 def _(t):
-    return D.duplicate_groups(t.narratives)
+    return D.duplicate_groups(t.narratives).withColumn("is_duplicate_group_id", F.col("is_duplicate_group_id").cast("int"))
 
 
 @query("duplicate_summary", f"""
@@ -179,7 +179,7 @@ WITH {DOC_GROUPS} SELECT n.record_id, CAST(coalesce(g, 0) AS INT) AS is_duplicat
 FROM narratives n JOIN keyed k USING (record_id) LEFT JOIN multi m ON m.k = k.k""", N)
 def _(t):
     return D.flag_quality(t.narratives).select(
-        "record_id", "is_duplicate_group_id", "is_empty_or_malformed", "has_possible_pii")
+        "record_id", F.col("is_duplicate_group_id").cast("int").alias("is_duplicate_group_id"), "is_empty_or_malformed", "has_possible_pii")
 
 
 @query("duplicate_size_histogram", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.text import has_pii, is_malformed, normalize_text
 from narrascope.operators.ordering import dense_index
-from narrascope.operators.skew import hot_only, left_lookup, small
+from narrascope.operators.skew import hot_only, left_lookup, lookup_join, small
 from narrascope.session import written
 
 
@@ -16,20 +16,19 @@ def _key(dataset: str, text: str) -> Column:
     return F.md5(F.concat_ws("||", dataset, F.coalesce(normalize_text(F.col(text)), F.lit(""))))
 
 
-def _numbered(df: DataFrame, keyed: DataFrame, dataset: str, text: str, row_id: str) -> DataFrame:
+def _numbered(df: DataFrame, keyed: DataFrame, dataset: str, text: str) -> DataFrame:
     """(key, n, group_id) of the groups with several members, 1..N in key order.
 
-    Only these groups are numbered, so the global order touches one row per
-    group, and only their sample rows have their text read again.
+    Only these groups are numbered, so the global order touches one row per group. Their texts are read again
+    by key, one per group, whatever the row ids are.
     """
-    counts = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("sample_id"))
-    multi = counts.filter("n > 1")
-    texts = df.select(F.col(row_id).alias("sample_id"), F.col(dataset).alias("dataset"), F.col(text).alias("text"))
-    norm = F.coalesce(normalize_text(F.col("text")), F.lit(""))
-    named = multi.join(texts, "sample_id").select("key", "n", F.concat_ws("||", "dataset", norm).alias("order_key"))
+    multi = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "dup-counts")
+    norm = F.coalesce(normalize_text(F.col(text)), F.lit(""))
+    texts = lookup_join(df.select(_key(dataset, text).alias("key"), F.concat_ws("||", dataset, norm).alias("order_key")),
+                        multi, ["key"], F.xxhash64("key")).filter(F.col("n").isNotNull())
+    named = texts.groupBy("key").agg(F.min("order_key").alias("order_key"), F.min("n").alias("n"))
     indexed = dense_index(named, [F.col("order_key")], "group_id", "dup-order")
-    return written(indexed.select("key", "n", F.col("group_id").cast("int").alias("group_id")), "dup-groups")
+    return written(indexed.select("key", "n", "group_id"), "dup-groups")
 
 
 def _attach(rows: DataFrame, numbered: DataFrame, total: Column, row_id: str) -> DataFrame:
@@ -39,7 +38,7 @@ def _attach(rows: DataFrame, numbered: DataFrame, total: Column, row_id: str) ->
         joined = rows.join(F.broadcast(groups), "key", "left")
     else:
         joined = left_lookup(rows, groups, ["key"], F.col(row_id), hot=hot_only(numbered, total).select("key"))
-    return joined.withColumn("is_duplicate_group_id", F.coalesce("group_id", F.lit(0))).drop("key", "group_id")
+    return joined.withColumn("is_duplicate_group_id", F.coalesce("group_id", F.lit(0).cast("bigint"))).drop("key", "group_id")
 
 
 def _keys(df: DataFrame, dataset: str, text: str, row_id: str) -> DataFrame:
@@ -52,7 +51,7 @@ def duplicate_groups(df: DataFrame, dataset: str = "source_dataset", text: str =
                      row_id: str = "record_id") -> DataFrame:
     """(row id, dataset, group id): 0 for single rows, 1..N for groups in key order."""
     keyed = _keys(df, dataset, text, row_id)
-    numbered = _numbered(df, keyed, dataset, text, row_id)
+    numbered = _numbered(df, keyed, dataset, text)
     grouped = _attach(keyed, numbered, keyed.agg(F.count(F.lit(1))).scalar(), "row_id")
     return grouped.select(F.col("row_id").alias(row_id), F.col("dataset").alias(dataset), "is_duplicate_group_id")
 
@@ -65,7 +64,7 @@ def flag_quality(df: DataFrame, dataset: str = "source_dataset", text: str = "na
     rows are not shuffled at all.
     """
     keyed = _keys(df, dataset, text, row_id)
-    numbered = _numbered(df, keyed, dataset, text, row_id)
+    numbered = _numbered(df, keyed, dataset, text)
     total = keyed.agg(F.count(F.lit(1))).scalar()
     flagged = _attach(df.withColumn("key", _key(dataset, text)), numbered, total, row_id)
     return (flagged.withColumn("is_empty_or_malformed", is_malformed(F.col(text)))

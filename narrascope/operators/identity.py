@@ -11,13 +11,22 @@ from pyspark.sql import functions as F
 
 from narrascope.operators.ordering import grouped_row_number, running_totals
 from narrascope.operators.skew import lookup_join
+from narrascope.session import written
 
 
 def dedupe_ids(df: DataFrame, dataset: str, record: str, position: str, out: str) -> DataFrame:
-    """The n-th repeat of an id within its dataset gets `_dupN`; the first is unchanged."""
-    numbered = grouped_row_number(df, [dataset, record], position, "_nth")
-    repeated = F.concat(F.col(record), F.lit("_dup"), (F.col("_nth") - 1).cast("string"))
-    return numbered.withColumn(out, F.when(F.col("_nth") == 1, F.col(record)).otherwise(repeated)).drop("_nth")
+    """The n-th repeat of an id within its dataset gets `_dupN`; the first is unchanged.
+
+    Only the positions of repeated ids are numbered, and only those after the first are looked up by the rows.
+    """
+    key = F.struct(dataset, record).alias("_key")
+    narrow = df.select(dataset, record, position, key)
+    repeated = written(narrow.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key", F.lit(True).alias("_many")), "repeated")
+    some = lookup_join(narrow, repeated, ["_key"], F.col(position)).filter("_many").select(dataset, record, position)
+    later = written(grouped_row_number(some, [dataset, record], position, "_nth").filter("_nth > 1").select(position, "_nth"), "later")
+    numbered = lookup_join(df, later, [position], F.col(position))
+    named = F.concat(F.col(record), F.lit("_dup"), (F.col("_nth") - 1).cast("string"))
+    return numbered.withColumn(out, F.when(F.col("_nth").isNull(), F.col(record)).otherwise(named)).select(*df.columns, out)
 
 
 def row_index_ids(df: DataFrame, dataset: str, position: str, out: str) -> DataFrame:

@@ -7,69 +7,74 @@ and small per-block tables carry the totals from block to block.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.operators.skew import lookup_join, small
 from narrascope.session import written
 
 # Order columns are unique integers, so a block of this width holds at most this many rows.
 BLOCK_WIDTH = 1_000_000
-
-
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[name].eqNullSafe(right[name]) for name in names])
-
-
-def _carry(rows: DataFrame, carried: DataFrame, names: list[str]) -> DataFrame:
-    """Attach per-block values to the rows of the block."""
-    right = carried.select(*[F.col(n).alias(f"_r_{n}") for n in names],
-                           *[c for c in carried.columns if c not in names])
-    match = reduce(lambda a, b: a & b, [rows[n].eqNullSafe(right[f"_r_{n}"]) for n in names])
-    return rows.join(right, match, "left").drop(*[f"_r_{n}" for n in names])
+FEW_BLOCKS = 10_000  # up to so many block counts one window numbers them
 
 
 def grouped_row_number(df: DataFrame, keys: list[str], order: str, name: str,
                        width: int = BLOCK_WIDTH) -> DataFrame:
     """1-based position of each row within its key, along a unique integer column.
 
-    Equal to row_number() over (partition by keys order by order), but a key's
-    rows are shared out by block, so a hot key does not end in one task. Far apart
-    positions make as many blocks as rows; so the blocks' own totals run over a
-    range partitioning too, minus what lies before the key's first block.
+    Equal to row_number() over (partition by keys order by order), without gathering a key in one task or
+    sorting the rows themselves. The order is cut into blocks. In a block without gaps a row's place follows from its
+    number; of blocks with gaps only (key, number) is ranked. Far apart numbers make as many blocks as
+    rows, so the blocks' own totals run over a range partitioning, minus what lies before the key's first block.
     """
-    cut = df.withColumn("_cut", F.floor(F.col(order) / F.lit(width)))
+    cut = F.floor(F.col(order) / F.lit(width)).alias("_cut")
+    narrow = df.select(*keys, order, cut)
     names = [*keys, "_cut"]
-    counts = cut.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_totals(counts, [F.col(n) for n in names], {"_upto": "_n"}, "blocks")
-    offsets = upto.select(*names, (F.col("_upto") - F.col("_n")).alias("_before"))
-    if keys:
-        firsts = offsets.groupBy(*keys).agg(F.min("_before").alias("_first"))
-        offsets = _carry(offsets, firsts, keys).select(*names, (F.col("_before") - F.col("_first")).alias("_before"))
-    local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*names).orderBy(order)))
-    return (_carry(local, offsets, names)
-            .withColumn(name, F.col("_before") + F.col("_local"))
-            .select(*df.columns, name))
-
-
-def grouped_previous(df: DataFrame, keys: list[str], order: str, value: str, name: str,
-                     width: int = BLOCK_WIDTH) -> DataFrame:
+    counts = written(narrow.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high")), "block-counts")
+    dense = (F.col("_high") - F.col("_low") + 1 == F.col("_n")).alias("_dense")
+    # null keys are equal inside a struct
+    block, row_key = F.struct(*names).alias("_block"), F.struct(*keys, order).alias("_row")
+    if small(counts, FEW_BLOCKS):
+        earlier = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+        offsets = counts.select(block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), "_low", dense)
+    else:
+        upto = written(running_totals(counts, [F.col(n) for n in names], {"_upto": "_n"}, "blocks").select(
+            *names, (F.col("_upto") - F.col("_n")).alias("_before"), "_low", dense), "block-totals")
+        group = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_")).alias("_group")
+        firsts = upto.groupBy(*keys).agg(F.min("_before").alias("_first"))
+        offsets = written(lookup_join(upto.withColumn("_group", group), firsts.select(group, "_first"), ["_group"], F.col("_low")).select(
+            block, (F.col("_before") - F.col("_first")).alias("_before"), "_low", "_dense"), "block-offsets")
+    gaps = offsets.filter(~F.col("_dense")).select("_block", F.lit(True).alias("_ranked"))
+    placed = lookup_join(df.withColumn("_cut", cut).withColumn("_block", block), offsets, ["_block"], F.col(order))
+    if gaps.isEmpty():
+        local = F.col(order) - F.col("_low") + 1
+    else:
+        some = lookup_join(narrow.withColumn("_block", block), gaps, ["_block"], F.col(order)).filter("_ranked")
+        ranks = written(some.select(row_key, F.row_number().over(W.partitionBy(*names).orderBy(order)).alias("_local")), "ranks")
+        placed = lookup_join(placed.withColumn("_row", row_key), ranks, ["_row"], F.col(order))
+        local = F.when(F.col("_dense"), F.col(order) - F.col("_low") + 1).otherwise(F.col("_local"))
+    return placed.select(*df.columns, (F.col("_before") + local).cast("bigint").alias(name))
+
+
+def grouped_previous(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """The value of the preceding row of the same key (null for the first).
 
-    Equal to lag(value) over (partition by keys order by order) without
-    gathering a hot key in one task.
+    Equal to lag(value) over (partition by keys order by order). Rows are cut by range along (keys, order), so the
+    preceding row is the one before in the same cut or the last one of the cut before; a key
+    of any size and numbers of any distance spread over the cuts.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
-    names = [*keys, "_block"]
-    last = cut.groupBy(*names).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
-    earlier = last.select(*names, F.lag("_last").over(
-        W.partitionBy(*keys).orderBy("_block")).alias("_earlier"))
-    inside = W.partitionBy(*names).orderBy(order)
-    local = (cut.withColumn("_local", F.lag(F.struct(F.col(value).alias("v"))).over(inside)))
-    return (_carry(local, earlier, names)
-            .withColumn(name, F.coalesce("_local", "_earlier")["v"])
+    along = [F.col(k) for k in keys] + [F.col(order)]
+    cut = _range_blocks(df, along, "previous")
+    here = F.struct(F.struct(*keys).alias("key"), F.col(value).alias("v"))
+    # one row per cut, so this window and broadcast are bounded by the number of partitions
+    last = cut.groupBy("_block").agg(F.max_by(here, F.struct(*along)).alias("_tail"))
+    carried = last.select("_block", F.lag("_tail").over(W.orderBy("_block")).alias("_earlier"))
+    local = cut.withColumn("_ahead", F.lag(here).over(W.partitionBy("_block").orderBy(*along)))
+    before = F.coalesce("_ahead", "_earlier")
+    return (local.join(F.broadcast(carried), "_block")
+            .withColumn(name, F.when(before["key"] == F.struct(*keys), before["v"]))
             .select(*df.columns, name))
 
 

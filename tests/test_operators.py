@@ -17,7 +17,9 @@ def hot_rows(spark):
     return rows, spark.createDataFrame(rows, "pos long, key string, val int").repartition(7)
 
 
-def test_grouped_row_number_across_blocks(hot_rows):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_grouped_row_number_across_blocks(hot_rows, monkeypatch, few):
+    monkeypatch.setattr(ordering, "FEW_BLOCKS", few)
     rows, df = hot_rows
     expected, seen = {}, Counter()
     for pos, key, _ in sorted(rows):
@@ -45,16 +47,36 @@ def test_grouped_previous_across_blocks(hot_rows):
     for pos, key, val in sorted(rows):
         expected[pos] = last.get(key)
         last[key] = val
-    got = ordering.grouped_previous(df, ["key"], "pos", "val", "before", width=50).collect()
+    got = ordering.grouped_previous(df, ["key"], "pos", "val", "before").collect()
     assert {r["pos"]: r["before"] for r in got} == expected
 
 
 def test_previous_keeps_null_values(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "a", "z"), (120, "a", "w")], "pos long, key string, v string")
-    got = {r["pos"]: r["b"] for r in ordering.grouped_previous(df, ["key"], "pos", "v", "b", width=100).collect()}
+    got = {r["pos"]: r["b"] for r in ordering.grouped_previous(df, ["key"], "pos", "v", "b").collect()}
     assert got == {1: None, 2: "x", 3: None, 120: "z"}
 
 
+def test_previous_of_a_hot_key_with_far_apart_numbers(spark):
+    rows = [(i * 10**12, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "pos long, key string, v long").repartition(5)
+    last, expected = {}, {}
+    for pos, key, v in rows:
+        expected[pos] = last.get(key)
+        last[key] = v
+    found = ordering.grouped_previous(df, ["key"], "pos", "v", "b")
+    assert {r["pos"]: r["b"] for r in found.collect()} == expected
+    assert "hashpartitioning(key" not in found._jdf.queryExecution().executedPlan().toString()  # no key is gathered
+
+
+def test_dense_blocks_are_not_ranked(spark):
+    df = spark.range(5000).select((F.col("id") + 7).alias("pos"), F.lit("x").alias("wide"))
+    found = ordering.grouped_row_number(df, [], "pos", "n", width=1000)
+    assert found.filter("n <> pos - 6").count() == 0 and found.count() == 5000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("BroadcastExchange")[0]  # the rows themselves are neither shuffled nor sorted
+
+
 def test_running_totals_over_ranges(spark):
     values = random.Random(2).sample(range(10_000), 800)
     df = spark.createDataFrame([(v, v % 7) for v in values], "v int, w long").repartition(5)
@@ -443,3 +465,22 @@ def test_upsert_by_broadcast_and_by_shuffle(spark, monkeypatch, fits):
     assert got == [("a", 1, "x"), ("b", 9, "y"), ("c", 5, None), ("d", 4, "fresh")]
     assert tables.upsert(current, new.limit(0), "id").count() == 3
     assert tables.upsert(current.limit(0), new, "id").count() == 3
+
+
+def test_duplicate_groups_do_not_depend_on_row_ids(spark):
+    rows = [("r1", "a", "Same text"), ("r1", "a", "same  TEXT"), (None, "a", "Other"), (None, "a", "other"), (None, "b", "single"), ("r1", "b", "Third"), ("r2", "b", "third")]
+    df = spark.createDataFrame(rows, "record_id string, source_dataset string, narrative_text string")
+    groups = {(r.narrative_text.lower().split()[0], r.is_duplicate_group_id) for r in duplicates.flag_quality(df).collect()}
+    assert groups == {("other", 1), ("same", 2), ("third", 3), ("single", 0)} and duplicates.flag_quality(df).count() == 7
+
+
+def test_draft_ids_of_equal_rows_differ(spark):
+    from narrascope.plans.scoring import submission_defaults
+
+    df = spark.createDataFrame([(i, None, "x") for i in range(4)], "position long, report_id string, site string").withColumn("date", F.lit(None).cast("string"))
+    df = df.withColumns({n: F.lit(None).cast("string") for n in ("top_phrases", "sif_reasons", "sif_decision_thresholds")}).drop(
+        "top_phrases", "sif_reasons", "sif_decision_thresholds")
+    made = df.select("*", F.array(F.struct(F.lit("a").alias("phrase"))).alias("top_phrases"), F.array(F.lit("r")).alias("sif_reasons"),
+                     F.create_map(F.lit("low"), F.lit(0.5)).alias("sif_decision_thresholds"))
+    ids = [r.report_id for r in submission_defaults(made, F.lit("2024-01-01 00:00:00").cast("timestamp"), "position").collect()]
+    assert len(set(ids)) == 4 and all(i.startswith("DRAFT-20240101") for i in ids)
