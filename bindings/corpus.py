@@ -10,10 +10,11 @@ from narrascope.operators import duplicates as D
 from narrascope.operators import evidence as V
 from narrascope.operators import identity as I
 from narrascope.operators import quality as Q
+from narrascope.operators import sketches as K
 from narrascope.operators import splits as S
 from narrascope.operators.ordering import dense_index
 from narrascope.schemas import EVIDENCE_FIELDS
-from narrascope.session import written
+from narrascope.session import new_scratch, written
 
 N = ("narratives",)
 
@@ -308,6 +309,28 @@ def _(t):
     return V.match_rate_report(V.extract_evidence(open_master(t), VOCABULARY))
 
 
+# --- mergeable audit figures ------------------------------------------------------
+
+@query("audit_sketches", """
+SELECT event_type, count(*) AS n, count(value) AS value_n, min(value) AS value_min, max(value) AS value_max, count(DISTINCT user_id) AS distinct_users,
+  true AS distinct_within_bound, true AS median_within_bound, true AS sum_agrees FROM events GROUP BY 1""")
+def _(t):
+    """Sketches stored per type and day, merged per type, held against the exact figures of all rows."""
+    path = new_scratch(t.spark, "sketches")
+    daily = K.sketch(t.events.withColumn("day", F.to_date("ts")), ["event_type", "day"], {"value": F.col("value")}, {"user": F.col("user_id")})
+    daily.write.partitionBy("event_type").parquet(path)
+    found = K.figures(K.merged(t.spark.read.parquet(path).drop("day"), ["event_type"]), (0.5,))
+    exact = t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("distinct_users"), F.sum("value").alias("exact_sum"))
+    # the share of values up to the estimated median
+    ranked = t.events.join(F.broadcast(found.select("event_type", F.col("value_quantiles")[0].alias("m"))), "event_type").groupBy("event_type").agg(
+        F.avg((F.col("value") < F.col("m")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("m")).cast("double")).alias("upto"))
+    near = F.abs(F.col("user_distinct") - F.col("distinct_users")) <= F.greatest(F.lit(1.0), K.DISTINCT_ERROR * F.col("distinct_users"))
+    return found.join(exact, "event_type").join(ranked, "event_type").select(
+        "event_type", "n", "value_n", "value_min", "value_max", "distinct_users", near.alias("distinct_within_bound"),
+        ((F.col("below") <= 0.5 + K.RANK_ERROR) & (F.col("upto") >= 0.5 - K.RANK_ERROR)).alias("median_within_bound"),
+        (F.abs(F.col("value_sum") - F.col("exact_sum")) <= 1e-6 * F.abs("exact_sum")).alias("sum_agrees"))
+
+
 # --- evidence with a vocabulary table --------------------------------------------
 
 PHRASES_WANTED = 478

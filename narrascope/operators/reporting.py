@@ -70,11 +70,12 @@ def inbox_page(reports: DataFrame, page: int = 1, per_page: int = 25, critical_f
 
 
 def inbox_after(reports: DataFrame, critical: int, is_open: bool, last_id: int, per_page: int = 25) -> DataFrame:
-    """The page after a known row: a filter and a top-k, whatever the depth."""
-    row_open = (F.col("status") != "Closed").cast("int")
-    at = F.lit(int(is_open))
-    later = (F.col("critical") < critical) | ((F.col("critical") == critical) & (
-        (row_open < at) | ((row_open == at) & (F.col("id") < last_id))))
+    """The page after a known row: a filter and a top-k, whatever the depth. The filter compares columns
+    with values, so a store clustered by them skips what lies before."""
+    closed = F.col("status") == "Closed"
+    earlier = F.col("id") < last_id
+    later_here = closed | (~closed & earlier) if is_open else closed & earlier
+    later = (F.col("critical") < critical) | ((F.col("critical") == critical) & later_here)
     return reports.filter(later).orderBy(*inbox_order()).limit(per_page)
 
 

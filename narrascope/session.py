@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     application = spark.sparkContext.applicationId
     if application not in _LOCAL:
         _LOCAL[application] = tempfile.mkdtemp(prefix="narrascope-")
+        atexit.register(shutil.rmtree, _LOCAL[application], ignore_errors=True)  # goes with the process that made it
     return _LOCAL[application]
 
 

@@ -114,3 +114,62 @@ def test_no_duplicates_at_all(spark):
     from narrascope.operators.duplicates import duplicate_groups
     df = spark.createDataFrame([("1", "s", "a"), ("2", "s", "b")], "record_id string, source_dataset string, narrative_text string")
     assert {r["is_duplicate_group_id"] for r in duplicate_groups(df).collect()} == {0}
+
+
+def rows_scanned(df):
+    """Rows that the scan of an executed plan gave out."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_clustered_store_skips_what_a_filter_cannot_hold(spark, tmp_path):
+    from narrascope.operators import reporting as R
+    from narrascope.sources.files import write_clustered, write_table
+
+    n = 40_000
+    df = spark.range(n).select(
+        "id", (F.col("id") * 7919 % 97 == 0).cast("int").alias("critical"), F.when(F.col("id") * 31 % 5 == 0, "Closed").otherwise("Submitted").alias("status"),
+        F.concat(F.lit("site "), (F.col("id") * 7 % 40).cast("string")).alias("site"), F.lit("api").alias("source"),
+        F.lit("a").alias("activity"), F.concat(F.lit("R"), F.xxhash64("id").cast("string")).alias("report_id")).repartition(8)
+    write_table(df, f"{tmp_path}/plain")
+    write_clustered(df, f"{tmp_path}/by_site", ["site", "id"], files=8)
+    write_clustered(df, f"{tmp_path}/inbox", ["critical", "status", "id"], files=8, group_bytes=1 << 16)
+    write_clustered(df, f"{tmp_path}/ids", ["id"], {"report_id": n // 8}, files=8)
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    by_site = R.filter_reports(read("by_site"), site="site 7")
+    assert by_site.count() == R.filter_reports(read("plain"), site="site 7").count() == n // 40
+    assert rows_scanned(by_site) <= n // 4 < n == rows_scanned(R.filter_reports(read("plain"), site="site 7"))
+    deep = dict(critical=0, is_open=False, last_id=900, per_page=25)
+    assert [r.id for r in R.inbox_after(read("inbox"), **deep).collect()] == [r.id for r in R.inbox_after(df, **deep).collect()]
+    # the same filter without the top-k, so that the plan is the scan and the filter only
+    closed = read("inbox").filter("critical < 0 OR (critical = 0 AND status = 'Closed' AND id < 900)")
+    assert closed.count() > 0 and rows_scanned(closed) <= n // 3
+    one = df.filter("id = 1234").first().report_id
+    found = read("ids").filter(F.col("report_id") == one)
+    assert found.count() == 1 and rows_scanned(found) <= n // 4
+
+
+def test_sketches_merge(spark):
+    from narrascope.operators import sketches as K
+
+    df = spark.range(60_000).select((F.col("id") % 30).alias("day"), (F.col("id") % 3).alias("source"),
+                                    F.when(F.col("id") % 11 > 0, F.xxhash64("id") % 1000).alias("v"), (F.col("id") % 7001).alias("user"))
+    numbers, distinct = {"v": F.col("v")}, {"user": F.col("user")}
+    daily = K.sketch(df, ["source", "day"], numbers, distinct)
+    merged = {r.source: r for r in K.figures(K.merged(daily.drop("day"), ["source"])).collect()}
+    whole = {r.source: r for r in K.figures(K.sketch(df, ["source"], numbers, distinct)).collect()}
+    rows = df.collect()
+    for source, m in merged.items():
+        w = whole[source]
+        assert (m.n, m.v_n, m.v_sum, m.v_min, m.v_max, m.v_mean) == (w.n, w.v_n, w.v_sum, w.v_min, w.v_max, w.v_mean)
+        assert m.user_distinct == w.user_distinct  # registers do not depend on the split
+        users = len({r.user for r in rows if r.source == source})
+        assert abs(m.user_distinct - users) <= K.DISTINCT_ERROR * users
+        values = sorted(r.v for r in rows if r.source == source and r.v is not None)
+        for q, value in zip((0.25, 0.5, 0.75), m.v_quantiles):
+            below, upto = sum(v < value for v in values) / len(values), sum(v <= value for v in values) / len(values)
+            assert below - K.RANK_ERROR <= q <= upto + K.RANK_ERROR
+    assert K.figures(K.sketch(df.limit(0), ["source"], numbers, distinct)).count() == 0
+    empty = K.figures(K.merged(K.sketch(df.filter("v is null"), ["source", "day"], numbers, distinct).drop("day"), ["source"])).first()
+    assert empty.v_n == 0 and empty.v_mean is None and empty.v_quantiles is None
