@@ -19,15 +19,29 @@ TERMS = ("Fall", "Traffic", "Power lock", "Others", "Projection", "Confined spac
 
 # --- readers and sinks --------------------------------------------------------
 
-@query("read_csv_robust", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, md5(text) AS text_md5 FROM documents")
-def _(t: Tables):
-    """Documents as CSV files, English ones in UTF-8 and the others in Latin-1."""
+def _document_files(t: Tables) -> list[str]:
+    """Documents as CSV files, English ones in UTF-8 and the others in Latin-1; texts hold line breaks."""
     path = new_scratch(t.spark, "csv")
     english = F.col("lang") == "en"
     for name, kept, encoding in (("utf8", english, "UTF-8"), ("latin1", ~english, "ISO-8859-1")):
         t.documents.filter(kept).select("doc_id", "source", "text").write.options(header=True, escape='"', quoteAll=True, encoding=encoding, ignoreLeadingWhiteSpace=False,
                            ignoreTrailingWhiteSpace=False).csv(f"{path}/{name}")
-    read = files.read_csv_robust(t.spark, [f"{path}/utf8", f"{path}/latin1"])
+    return [f"{path}/utf8", f"{path}/latin1"]
+
+
+DOCUMENT_SQL = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, md5(text) AS text_md5 FROM documents"
+
+
+@query("read_csv_robust", DOCUMENT_SQL)
+def _(t):
+    read = files.read_csv_robust(t.spark, _document_files(t))
+    return read.select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+@query("read_csv_split", DOCUMENT_SQL)
+def _(t):
+    """The same files, each read in many tasks and folded to records by the parity of quotes."""
+    read = files.read_csv_robust(t.spark, _document_files(t), multiline=files.SPLIT)
     return read.select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.operators.ordering import grouped_row_number
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import strings
 from narrascope.session import local_table, written
@@ -17,6 +18,7 @@ from narrascope.session import local_table, written
 FALLBACK_ENCODING = "ISO-8859-1"
 FILE = "_file"
 POSITION = "_position"
+SPLIT = "split"
 SURPLUS = "_surplus"  # first field beyond the header
 # a row's number within its task is the low part of its increasing id
 IN_TASK = (1 << 33) - 1
@@ -64,6 +66,41 @@ def _read_group(spark: SparkSession, files: list[str], names: tuple[str, ...], e
         F.monotonically_increasing_id().bitwiseAND(F.lit(IN_TASK)).alias("_at"))
 
 
+def _records(lines: DataFrame) -> DataFrame:
+    """(FILE, POSITION, record): lines of POSITION folded to records, since a field in quotes may hold line breaks.
+
+    A line with an odd number of quotes opens or closes such a field, in turn within its file. Only these lines are
+    numbered, narrow; the lines between an opening and its closing one are looked up by their number and joined.
+    Other lines are records as they are and stay where they are read while the others fit a broadcast. A quote that
+    is never closed ends with its line.
+    """
+    odd = lines.filter((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+    toggles = grouped_row_number(written(odd.select(FILE, POSITION), "quotes"), [FILE], POSITION, "_nth")
+    spans = toggles.groupBy(FILE, F.floor((F.col("_nth") + 1) / 2).alias("_k")).agg(
+        F.min(POSITION).alias("_from"), F.max(POSITION).alias("_to")).filter("_from < _to")
+    inner = written(spans.select("_from", F.explode(F.sequence("_from", "_to")).alias(POSITION)), "spans")
+    placed = lookup_join(lines, inner, [POSITION], F.col(POSITION))
+    folded = placed.filter(F.col("_from").isNotNull()).groupBy(FILE, "_from").agg(
+        F.sort_array(F.collect_list(F.struct(POSITION, "value"))).alias("_lines"))
+    return placed.filter(F.col("_from").isNull()).select(FILE, POSITION, F.col("value").alias("record")).union(
+        folded.select(FILE, F.col("_from").alias(POSITION), F.array_join(F.col("_lines.value"), "\n").alias("record")))
+
+
+def _read_split(spark: SparkSession, files: list[str], names: tuple[str, ...], encoding: str) -> DataFrame:
+    """As `_read_group` for fields with line breaks, with every file read in many tasks; POSITION is the line's number."""
+    text = F.decode(F.col("value").cast("binary"), encoding).alias("value")
+    lines = spark.read.text([literal_path(file) for file in files]).select(
+        text, file_name().alias(FILE), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(IN_TASK)).alias("_at"))
+    records = _records(_numbered(lines).select(FILE, POSITION, "value"))
+    heads = records.groupBy(FILE).agg(F.min(POSITION).alias("_head"))  # a row per file
+    rows = lookup_join(records, heads, [FILE], F.col(POSITION)).filter((F.col(POSITION) > F.col("_head")) & (F.trim("record") != ""))
+    schema = strings(*names, SURPLUS)
+    parsed = rows.select(F.from_csv("record", ", ".join(f"`{f.name}` string" for f in schema), {
+        "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("_row"), FILE, POSITION)
+    return parsed.select("_row.*", FILE, POSITION)
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """Rows with a dense 0-based position in the order of file name, block and line.
 
@@ -105,23 +142,42 @@ def _groups(spark: SparkSession, paths: list[str], fallback: str) -> dict[tuple,
 
 
 def read_csv_robust(spark: SparkSession, paths: list[str], fallback: str = FALLBACK_ENCODING,
-                    multiline: bool = True, position: bool = False) -> DataFrame:
+                    multiline: bool | str = True, position: bool = False) -> DataFrame:
     """CSV files with a header, each read in UTF-8 or the fallback encoding.
 
     Columns are strings; files may differ in columns. A line with fewer fields than
     the header has nulls in the others; a line with a value beyond the header is
     skipped (`surplus_lines` counts them). `position` adds the line's place among all
     lines, in the order of file names, which the source mappers number rows by.
-    Turn `multiline` off for files without line breaks inside fields and Spark can
-    split them.
+    `multiline` True reads a file in one task; "split" reads files with line breaks inside
+    fields in many tasks (all files of a header and encoding are numbered together); False is for files without such fields.
     """
     groups = sorted(_groups(spark, paths, fallback).items())
     if not groups:
         raise FileNotFoundError(", ".join(paths))
+    if multiline == SPLIT:
+        parts = [_read_split(spark, files, names, encoding) for (names, encoding), files in groups]
+        return _split_rows(parts, position)
     return _rows([_read_group(spark, files, names, encoding, multiline)
                   for (names, encoding), files in groups], position)
 
 
+def _split_rows(parts: list[DataFrame], position: bool) -> DataFrame:
+    """The kept records of all groups of files; positions are dense over file names and lines."""
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part, allowMissingColumns=True)
+    kept = result.filter(F.col(SURPLUS).isNull()).drop(SURPLUS)
+    if not position:
+        return kept.drop(POSITION)
+    if len(parts) > 1:  # lines were numbered by group, so files come first
+        files = kept.select(FILE, POSITION).groupBy(FILE).agg(F.max(POSITION).alias("_last"))
+        base = files.select(FILE, F.coalesce(F.sum(F.col("_last") + 1).over(W.orderBy(FILE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        kept = lookup_join(kept, written(base, "file-bases"), [FILE], F.col(POSITION)).withColumn(POSITION, F.col("_base") + F.col(POSITION)).drop("_base")
+    numbered = grouped_row_number(kept, [], POSITION, "_dense")
+    return numbered.withColumn(POSITION, F.col("_dense") - 1).drop("_dense")
+
+
 def surplus_lines(spark: SparkSession, paths: list[str], fallback: str = FALLBACK_ENCODING,
                   multiline: bool = True) -> DataFrame:
     """(file, lines): lines that the readers skip because a value lies beyond the header."""

@@ -1,6 +1,8 @@
 """Readers, mappers and the corpus build on small files."""
 
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +175,38 @@ def test_sketches_merge(spark):
     assert K.figures(K.sketch(df.limit(0), ["source"], numbers, distinct)).count() == 0
     empty = K.figures(K.merged(K.sketch(df.filter("v is null"), ["source", "day"], numbers, distinct).drop("day"), ["source"])).first()
     assert empty.v_n == 0 and empty.v_mean is None and empty.v_quantiles is None
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_csv_with_line_breaks_is_read_in_many_tasks(spark, tmp_path, encoding):
+    pick = random.Random(21)
+    piece = lambda: pick.choice(["a", "é", ",", '"', "\n", " ", "\n\n", 'x"y', "", ",\n"])
+    rows = [[str(i), "".join(piece() for _ in range(pick.randrange(0, 12))), pick.choice(["", "end", "l\nm"])] for i in range(3000)]
+    rows[7][1] = "long\n" * 3000  # one field over many splits
+    with open(tmp_path / "a.csv", "w", encoding=encoding, newline="") as file:
+        writer = csv.writer(file, lineterminator="\n")
+        writer.writerow(["id", "text", "note"])
+        for i, row in enumerate(rows):
+            writer.writerow([*row, "surplus"] if i == 11 else row[:2] if i == 12 else row)
+            if i % 500 == 0:
+                file.write("\n")  # blank lines are no records
+    with open(tmp_path / "b.csv", "w", encoding=encoding, newline="") as file:
+        csv.writer(file, lineterminator="\n").writerows([["id", "text", "other"], ["b1", "x\ny", "z"]])
+    paths = [str(tmp_path / name) for name in ("a.csv", "b.csv")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(paths[0]).rdd.getNumPartitions() > 10
+        got = {r["_position"]: r for r in files.read_csv_robust(spark, paths, multiline="split", position=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kept = [row for i, row in enumerate(rows) if i != 11]
+    assert sorted(got) == list(range(len(kept) + 1))
+    for place, row in enumerate(kept):
+        assert (got[place]["id"], got[place]["text"] or "") == (row[0], row[1]), place
+    assert got[11]["note"] is None and (got[len(kept)]["id"], got[len(kept)]["text"], got[len(kept)]["other"]) == ("b1", "x\ny", "z")
+    whole = files.read_csv_robust(spark, paths[:1])
+    assert sorted((r["id"], r["text"], r["note"]) for r in whole.collect() if r["id"] != "12") == sorted(
+        (r["id"], r["text"], r["note"]) for r in got.values() if r["id"] not in ("b1", "12"))
