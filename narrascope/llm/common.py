@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.session import written  # noqa: F401  (re-exported to the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_AT_ONCE = 500  # rows with whole texts in an Arrow batch
 TEXTS_AT_ONCE = 256  # texts of a batch that are Python values at a time
 BIT_ROWS = 1 << 19  # most rows of a bit table, 64 bits each; this bounds what is broadcast
 LARGEST_KEYS = 1 << 23  # keys up to which a bit table is used
@@ -41,6 +42,14 @@ def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
             yield value or b""
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand ROWS_AT_ONCE rows at a time to Python: a batch of whole texts is held several times, in the
+    JVM and in the worker, and tables in the order of their sizes have batches of long texts only. Never raises the setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def release_memory() -> None:
     """Give freed memory back at the end of a task, since its worker serves the next stage beside a grown heap of the JVM."""
     gc.collect()
@@ -61,6 +70,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         del step
         release_memory()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

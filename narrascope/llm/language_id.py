@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import texts, written
+from narrascope.llm.common import release_memory, small_batches, texts, written
 
 PER_LANGUAGE = 48
 PASSAGE = 2048
@@ -218,6 +218,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, lang_pred, score) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most TOTAL characters
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(sent.value)
@@ -226,6 +227,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["id", "lang_pred", "score"])
+        release_memory()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind}, lang_pred string, score double")

@@ -22,9 +22,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import batched, chain
 from operator import itemgetter
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import texts
+from narrascope.llm.common import release_memory, small_batches, texts
 
 CAPACITY = 2048
 GRAIN = 512
@@ -133,10 +133,10 @@ class WordIds:
             found.update((w, data[a:b]) for w, a, b in zip(plain, [0, *cuts], cuts))
         return found
 
-    def encode(self, batch: list[bytes]) -> Iterator[bytes]:
-        for start in range(0, len(batch), 256):
+    def encode(self, batch: Iterable[bytes]) -> Iterator[bytes]:
+        for part in batched(batch, 256):
             # letters in lower case share an entry; a special string must keep its own case
-            split = [(text if b"<|" in text else text.lower()).split() for text in batch[start:start + 256]]
+            split = [(text if b"<|" in text else text.lower()).split() for text in part]
             known = self.known
             extra = self.learn(set(chain.from_iterable(split)).difference(known))
             short = {w: ids for w, ids in extra.items() if len(w) <= WORD_LIMIT}
@@ -213,8 +213,10 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield rows_of(done, id_type)
         if waiting:
             yield rows_of(list(packed(waiting)), id_type)
+        release_memory()
 
     ids = ", ids binary" if with_ids else ""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
              f"sequence_id bigint, offset bigint{ids}")

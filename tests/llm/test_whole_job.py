@@ -8,67 +8,10 @@ import zlib
 
 import pyarrow.parquet as pq
 
-import corpus_pipeline
-from narrascope.llm import near_copies, sharding
+from narrascope.llm import sharding
 from narrascope.llm.queries import QUERIES
 
 
-def shingles(text, width=5):
-    words = (text or "").lower().split()
-    return {" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-
-
-def alike(a, b):
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b) >= 0.8 if a | b else True
-
-
-def survivors(rows):
-    """Smallest id of every component of near copies, by comparing all pairs."""
-    parent = {i: i for i, _ in rows}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-    for i, a in rows:
-        for j, b in rows:
-            if i < j and alike(a, b):
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
-    return {i for i in parent if root(i) == i}
-
-
-def test_near_copies_go(spark):
-    dice = random.Random(11)
-    rows = [(1000, None), (1001, " \n"), (1002, "Too short"), (1003, "too SHORT"), (1004, "too short too")]
-    words = lambda n: [f"w{dice.randrange(5000)}" for _ in range(n)]
-    for k in range(40):  # one word in a long text changed in a few places: similarities from 0.7 to 1
-        text = words(200)
-        rows.append((k, " ".join(text)))
-        for copy in range(1, 4):
-            changed = list(text)
-            for place in dice.sample(range(200), dice.randrange(1, 7)):
-                changed[place] = f"x{dice.randrange(10 ** 6)}"
-            rows.append((k + 100 * copy, " ".join(changed)))
-    start = words(220)  # a chain: neighbours are alike, its ends are not
-    rows += [(2000 + i, " ".join(start[10 * i:10 * i + 120])) for i in range(10)]
-    table = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = near_copies.drop_near_copies(table)
-    assert kept.columns == table.columns
-    wanted = survivors(rows)
-    assert {r.doc_id for r in kept.collect()} == wanted and 50 < len(wanted) < 100
-    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()} == wanted
-
-
-def test_near_copies_of_odd_rows(spark):
-    rows = [(None, "a b c d e f g"), (5, "a b c d e f g"), (5, "a b c d e f g"), (7, "A b c d e f g"), (None, "other"), (None, "other")]
-    table = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(map(str, near_copies.drop_near_copies(table).collect())) == [
-        "Row(doc_id=5, text='a b c d e f g')", "Row(doc_id=None, text='other')"]
-    assert near_copies.drop_near_copies(table.limit(0)).count() == 0
-
-
 def test_sharding_query_moves_whole_texts(spark, tmp_path, monkeypatch):
     dice = random.Random(4)
     rows = [(i, "".join(dice.choices("abc \n", k=dice.choice([0, 50, 3000])))) for i in range(300)] + [(None, None), (7, "same"), (7, "same")]
