@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import texts, written
+from narrascope.llm.common import small_batches, texts, written
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -34,6 +34,7 @@ REPEAT_SHARE = 50  # percent of words in repeated windows beyond which a text fa
 WINDOW = 3
 CONTENT_SHARE = 0.5
 PER_CLASS = 1000  # labelled texts of each class that training reads
+TEXT_BYTES = 1 << 15  # longest text that training reads, so the sample holds at most 2 * PER_CLASS * TEXT_BYTES
 STEPS = 100
 PENALTY = 1e-3
 PORTION = 1 << 20  # bytes of texts whose lines are measured at once
@@ -242,6 +243,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     .groupBy("id").agg(F.min("y").alias("y")), "labels")
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+            .filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES)
             .join(F.broadcast(written(parts[0].union(parts[1]), "sample")), "id")
             .orderBy(F.xxhash64("id", "text")).limit(2 * per_class).collect())
     return [(r["text"] or "").encode() for r in rows], np.array([r["y"] for r in rows], np.int64)
@@ -266,7 +268,7 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            documents, at = texts(batch, "text"), 0
+            documents, at = list(texts(batch, "text")), 0
             while at < len(documents):
                 portion, size = [], 0
                 while at + len(portion) < len(documents) and (not portion or size + len(documents[at + len(portion)]) <= PORTION):
@@ -281,5 +283,6 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 at += len(portion)
 
     counts = ", ".join(f"{n} bigint" for n in names)
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind}, {counts}, base_failed boolean, content_share double, kept boolean")

@@ -6,12 +6,13 @@ over the window's vector gives the probability of the toxic class. Vectors and s
 are trained jointly in numpy by Adagrad. A misspelling that training never saw shares most of
 its n-grams with the word it stands for.
 
-A text is as toxic as its most toxic window. In the first round of training the
+A text is as toxic as its most toxic window (of WINDOW words: one over the whole text found almost no toxic
+document of the test tables). In the first round of training the
 window is the whole text; after that, each text's currently most toxic window
 carries the gradient, so a few words count however long the text is.
 
 Training reads a bounded sample of labelled rows (`per_class` of each class, chosen by
-a hash of the id); scoring reads every row and whole texts. Since the softmax is linear in
+a hash of the id, texts of at most TEXT_BYTES); scoring reads every row and whole texts. Since the softmax is linear in
 the mean, a word's part is a number, and workers look words up in a table of scores per n-gram.
 
 Defined cases: null and empty texts get the score of a window without words;
@@ -33,16 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import map_batches, texts, written
+from narrascope.llm.common import map_batches, release_memory, small_batches, texts, written
 
 SEED = 7
 BUCKETS = 1 << 17
 DIMENSIONS = 12
 GRAMS = (3, 6)  # shortest and longest n-gram, in characters, end marks included
-WINDOW = 8  # words
+WINDOW = 3  # words
 PER_CLASS = 1500  # labelled rows of each class that training reads
+TEXT_BYTES = 1 << 15  # longest text that training reads, so the sample holds at most 2 * PER_CLASS * TEXT_BYTES
 VISITS = 24_000  # texts that training visits, repeats counted, however many there are
 BATCH = 32
+LARGEST_WEIGHT = 2.0  # of a training row
 RATE = 0.3
 CACHED = 400_000  # words remembered by a worker
 EDGES = b".,;:!?\"'()[]{}<>|#*$%&-_=+~/\\"
@@ -97,6 +100,8 @@ def train(documents: list[list[bytes]], toxic: np.ndarray, visits: int = VISITS,
     if len(set(toxic.tolist())) < 2:
         softmax[:] = 0
         return Model(vectors, softmax, bias)
+    # the rarer class counts more, so that the limit of one half does not favour the frequent one
+    weights = np.clip(0.5 / np.array([1 - share, share]), None, LARGEST_WEIGHT).astype(np.float32)
     place: dict[bytes, int] = {}
     rows = [np.array([place.setdefault(w, len(place)) for w in words], np.int32) for words in documents]
     buckets, lengths = array("i"), array("i")
@@ -133,6 +138,7 @@ def train(documents: list[list[bytes]], toxic: np.ndarray, visits: int = VISITS,
                 p = np.exp(logits - logits.max())
                 p /= p.sum()
                 p[int(toxic[i])] -= 1
+                p *= weights[int(toxic[i])]
                 steps[0] += np.outer(mean, p)
                 steps[1] += p
                 touched.append(parts)
@@ -164,8 +170,9 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "do
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         ids = part if ids is None else ids.union(part)
-    # at most 2 * per_class ids, and as many texts on the driver
+    # at most 2 * per_class ids, and as many texts of bounded length on the driver
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+            .filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES)
             .join(F.broadcast(written(ids, "sample")), "id").orderBy(F.xxhash64("id", "text")).limit(2 * per_class).collect())
     return [words_of((r["text"] or "").encode()) for r in rows], np.array([r["y"] for r in rows], np.int64)
 
@@ -233,6 +240,9 @@ def not_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: floa
         for batch in batches:
             keep = [scorer.score(t) < limit for t in texts(batch, at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del scorer
+        release_memory()
 
     renamed = docs.toDF(*names)
+    small_batches(docs.sparkSession)
     return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)
