@@ -34,7 +34,7 @@ def test_sharding_query_moves_whole_texts(spark, tmp_path, monkeypatch):
     # the texts lie in the files, in slot order
     shards = sorted(pathlib.Path(files[0].removeprefix("file:")).glob("shard=*"))
     assert len(shards) == sharding.SHARDS
-    stored = [t for s in shards for f in sorted(s.glob("*.parquet")) for t in pq.ParquetFile(f).read().column("text").to_pylist()]
+    stored = [t for s in shards for f in sorted(s.glob("*.parquet")) for t in (r["text"] for r in pq.ParquetFile(f).read().column("record").to_pylist())]
     assert sorted(t or "" for t in stored) == sorted(t or "" for _, t in rows)
 
 
