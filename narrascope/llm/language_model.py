@@ -33,7 +33,6 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import texts, written
+from narrascope.llm.common import release_memory, small_batches, texts, written
 from narrascope.session import new_scratch
 
 END = b"\n"  # no word can equal it
@@ -229,9 +228,18 @@ def discounted(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray
     return np.array([0.0, *by])[np.minimum(counts, 3).astype(np.int64)]
 
 
-@cache
+# the arrays of the model that this worker has met last; those of others are let go
+_HELD: list[Arrays] = []
+
+
 def arrays(model: Model) -> Arrays:
-    return Arrays(model)
+    """The arrays of a model. A word's id belongs to the folder, so what counting has met serves scoring too."""
+    if not _HELD or _HELD[0].model != model:
+        lookup = Arrays(model)
+        if _HELD and _HELD[0].model.folder == model.folder:
+            lookup.known = _HELD[0].known
+        _HELD[:] = [lookup]
+    return _HELD[0]
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -267,6 +275,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.clear()
     if counts:
         yield sent()
+    counts.clear()
+    release_memory()
 
 
 def _fit_words(text: DataFrame, folder: str) -> tuple[int, int, tuple[int, ...], int]:
@@ -325,6 +335,8 @@ def _count_bigrams(model: Model):
                     waiting, size = [], 0
         if waiting:
             yield sent()
+        waiting.clear()
+        release_memory()
 
     return run
 
@@ -395,6 +407,7 @@ def _summed(numbers: DataFrame) -> list[int]:
 def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Model:
     """Count the training rows and store the model in a fresh folder beside the checkpoints."""
     folder = local_path(new_scratch(spark, "language-model"))
+    small_batches(spark)
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     total, bits, offsets, words = _fit_words(text, folder)
     model = Model(folder, total, bits, offsets, words, max(1, -(-total // TOKENS_PER_FILE)))
@@ -428,6 +441,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(value, first))],
                     ["id", "n_tokens", "n_known", "base_score", "score"])
                 at += len(documents)
+        release_memory()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
