@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even, three_places
 from narrascope.functions.text import bound
 from narrascope.schemas import (
     CRITICAL_RISK, DEFAULT_SEVERITY, NEEDS_REVIEW, NOT_EVALUATED, RISK_HIGH, RISK_MEDIUM,
@@ -20,16 +21,11 @@ BETWEEN = (
     "P(Yes)=%s between thresholds [{low}, {high}) -> NEEDS_REVIEW "
     "(Phase 11 found this range unreliable on real narratives)"
 )
-PHRASE = "contributing phrase '%s' (%s, weight=%.3f)"
+PHRASE = "contributing phrase '%s' (%s, weight=%s%s)"
 LOW_CONFIDENCE = "top-class confidence %s < threshold {confidence:.2f}"
 LOW_GAP = "confidence gap %s < ambiguity margin {margin:.2f} (%s vs %s)"
 
 
-def three_places(value: Column) -> Column:
-    """A non-negative number with three decimals; much cheaper than a format string."""
-    return value.cast("decimal(18,3)").cast("string")
-
-
 def fill(form: str, *values: Column) -> Column:
     """`form` with each %s replaced by the next value."""
     head, *tails = form.split("%s")
@@ -80,7 +76,7 @@ def phrase_reasons(phrases: Column, top: int = 3) -> Column:
     best = F.slice(F.array_sort(numbered), 1, top)
     return F.transform(best, lambda x: F.format_string(
         PHRASE, x["phrase"], F.when(x["weight"] > 0, "toward Yes").otherwise("toward No"),
-        x["weight"]))
+        F.when(x["weight"] < 0, "-").otherwise(""), three_places(F.abs(x["weight"]))))
 
 
 def sif_reasons(p: Column, phrases: Column, low: float = SIF_LOW, high: float = SIF_HIGH) -> Column:
@@ -95,7 +91,7 @@ def sif_contract(p: Column, low: float = SIF_LOW, high: float = SIF_HIGH,
     p = clip(p, 0.0, 1.0)
     return F.struct(
         sif_label(p, low, high).alias("sif_potential"),
-        F.bround(p, 4).alias("confidence"),
+        round_even(p, 4).alias("confidence"),
         band_reason(p, low, high).alias("band_reason"),
         F.lit(model_name).alias("model_name"),
         F.lit(model_version).alias("model_version"),
@@ -128,9 +124,9 @@ def rule_contract(probs: Column, confidence: float = RULE_CONFIDENCE, margin: fl
                                _quoted(top["rule"]), _quoted(second["rule"]))))
         return F.struct(
             F.when(review, NEEDS_REVIEW).otherwise(top["rule"]).alias("rule_prediction"),
-            F.bround(top["p"], 6).alias("confidence"),
+            round_even(top["p"], 6).alias("confidence"),
             second["rule"].alias("runner_up_rule"),
-            F.bround(second["p"], 6).alias("runner_up_confidence"),
+            round_even(second["p"], 6).alias("runner_up_confidence"),
             review.alias("needs_review"),
             F.when(review, reason).alias("review_reason"),
             top["rule"].alias("top_rule"),

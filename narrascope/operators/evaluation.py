@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even
 from narrascope.operators.ordering import running_totals
 from narrascope.schemas import (
     CALIBRATION_BINS, PRECISION_FLOOR, RECALL_TARGET, RULE_CONFIDENCE, RULE_MARGIN, RULES,
@@ -33,11 +34,11 @@ def _rates() -> dict[str, Column]:
     tp, fp, tn, fn = (F.col(name) for name in ("tp", "fp", "tn", "fn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return {
-        "precision": F.bround(precision, 4),
-        "recall": F.bround(recall, 4),
-        "f1": F.bround(f1_of(precision, recall), 4),
-        "fn_rate": F.bround(ratio(fn, tp + fn), 4),
-        "fp_rate": F.bround(ratio(fp, fp + tn), 4),
+        "precision": round_even(precision, 4),
+        "recall": round_even(recall, 4),
+        "f1": round_even(f1_of(precision, recall), 4),
+        "fn_rate": round_even(ratio(fn, tp + fn), 4),
+        "fp_rate": round_even(ratio(fp, fp + tn), 4),
     }
 
 
@@ -74,8 +75,8 @@ def class_report(df: DataFrame, truth: str, predicted: str, classes: DataFrame,
     filled = classes.select(name).join(counts, name, "left").na.fill(0)
     precision, recall = ratio(F.col("hits"), F.col("said")), ratio(F.col("hits"), F.col("support"))
     return filled.select(
-        name, F.bround(precision, 4).alias("precision"), F.bround(recall, 4).alias("recall"),
-        F.bround(f1_of(precision, recall), 4).alias("f1"), F.col("support"))
+        name, round_even(precision, 4).alias("precision"), round_even(recall, 4).alias("recall"),
+        round_even(f1_of(precision, recall), 4).alias("f1"), F.col("support"))
 
 
 def class_support(df: DataFrame, classes: DataFrame, label: str, name: str = "rule") -> DataFrame:
@@ -89,7 +90,7 @@ def class_support(df: DataFrame, classes: DataFrame, label: str, name: str = "ru
 
 def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"),
-                  F.bround(F.avg((F.col(truth) == F.col(predicted)).cast("int")), 4).alias("accuracy"))
+                  round_even(F.avg((F.col(truth) == F.col(predicted)).cast("int")), 4).alias("accuracy"))
 
 
 def grid_step(p: Column) -> Column:
@@ -144,8 +145,8 @@ def pick_threshold(curve: DataFrame, floor: float = PRECISION_FLOOR,
         "_rec", (-F.col("step")).alias("neg"), "_prec"))).alias("b"))
     return best.select(
         (F.coalesce(-F.col("b.neg"), F.lit(default_step)) / 100.0).alias("threshold"),
-        F.bround(F.coalesce("b._prec", F.lit(0.0)), 4).alias("precision"),
-        F.bround(F.coalesce("b._rec", F.lit(0.0)), 4).alias("recall"))
+        round_even(F.coalesce("b._prec", F.lit(0.0)), 4).alias("precision"),
+        round_even(F.coalesce("b._rec", F.lit(0.0)), 4).alias("recall"))
 
 
 def reference_points(curve: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def pr_auc(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
     here = F.col("tp") / (F.col("tp") + F.col("fp"))
     area = (F.col("pos") / positives) * (here + before) / 2
-    return curve.agg(F.bround(F.sum(area), 4).alias("pr_auc"))
+    return curve.agg(round_even(F.sum(area), 4).alias("pr_auc"))
 
 
 def pick_threshold_recall_first(scored: DataFrame, y: str = "y", p: str = "p",
@@ -221,12 +222,12 @@ def pick_threshold_recall_first(scored: DataFrame, y: str = "y", p: str = "p",
         F.min_by(keep, F.struct(F.abs(F.col("recall") - target).alias("d"), F.col("score").alias("s"))).alias("near"))
     chosen = found.select(F.coalesce("ok", "near").alias("c"))
     return chosen.select(
-        F.bround("c.score", 6).alias("threshold"), F.bround("c.precision", 4).alias("precision"),
-        F.bround("c.recall", 4).alias("recall"))
+        round_even(F.col("c.score"), 6).alias("threshold"), round_even(F.col("c.precision"), 4).alias("precision"),
+        round_even(F.col("c.recall"), 4).alias("recall"))
 
 
 def brier_score(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    return scored.agg(F.bround(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2))), 4).alias("brier_score"))
+    return scored.agg(round_even(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2))), 4).alias("brier_score"))
 
 
 def calibration_bins(scored: DataFrame, y: str = "y", p: str = "p",
@@ -240,11 +241,11 @@ def calibration_bins(scored: DataFrame, y: str = "y", p: str = "p",
     edge = lambda i: i * F.lit(width)
     index = F.when(F.col(p) >= edge(near + 1), near + 1).when(F.col(p) >= edge(near), near).otherwise(near - 1)
     stats = scored.filter((F.col(p) >= 0.0) & (F.col(p) < 1.0)).groupBy(index.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.bround(F.avg(p), 4).alias("mean_predicted_prob"),
-        F.bround(F.avg(F.col(y).cast("double")), 4).alias("actual_positive_rate"))
+        F.count(F.lit(1)).alias("n"), round_even(F.avg(p), 4).alias("mean_predicted_prob"),
+        round_even(F.avg(F.col(y).cast("double")), 4).alias("actual_positive_rate"))
     all_bins = scored.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return all_bins.join(stats, "bin", "left").select(
-        "bin", F.bround(edge(F.col("bin")), 2).alias("bin_low"), F.bround(edge(F.col("bin") + 1), 2).alias("bin_high"),
+        "bin", round_even(edge(F.col("bin")), 2).alias("bin_low"), round_even(edge(F.col("bin") + 1), 2).alias("bin_high"),
         F.coalesce("n", F.lit(0)).alias("n"), "mean_predicted_prob", "actual_positive_rate")
 
 
@@ -260,8 +261,8 @@ def review_triggers(ranked: DataFrame, truth: str, top: str, top_p: str, second_
         F.count_if(review).alias("needs_review"), F.count_if(review & right).alias("review_correct"),
         F.count_if(~review & right).alias("confident_correct"))
     return counts.withColumns({
-        "review_fraction": F.bround(ratio(F.col("needs_review"), F.col("n")), 4),
-        "confident_accuracy": F.bround(
+        "review_fraction": round_even(ratio(F.col("needs_review"), F.col("n")), 4),
+        "confident_accuracy": round_even(
             ratio(F.col("confident_correct"), F.col("n") - F.col("needs_review")), 4)})
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even
 from narrascope.functions.text import bound, strip, usable_text
 from narrascope.operators.ordering import dense_index
 from narrascope.operators.skew import lookup_join
@@ -341,4 +342,4 @@ def match_rate_report(extracted: DataFrame, dataset: str = "source_dataset",
         *[F.sum(kind).alias(kind) for kind in kinds])
     total = F.col("matched") + F.col("ambiguous") + F.col("skipped") + F.col("unknown")
     return report.withColumn("total", total).withColumn(
-        "match_pct", F.when(total > 0, F.bround(100.0 * F.col("matched") / total, 2)))
+        "match_pct", F.when(total > 0, round_even(100.0 * F.col("matched") / total, 2)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even
 from narrascope.functions.text import (
     NULL_WORDS, domain_relevant, is_malformed, strip, word_count,
 )
@@ -18,7 +19,7 @@ REAL_FLAGS = ("is_synthetic",)
 
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
-    return F.when(whole > 0, F.bround(100.0 * part / whole, digits))
+    return F.when(whole > 0, round_even(100.0 * part / whole, digits))
 
 
 def drop_empty(df: DataFrame, text: str) -> DataFrame:
@@ -79,7 +80,7 @@ def length_stats(df: DataFrame, group: str, text: str) -> DataFrame:
     good = ~is_malformed(F.col(text))
     return (df.select(group, words.alias("w"), good.alias("ok")).groupBy(group).agg(
         F.count_if("ok").alias("rows_used"), F.count_if(~F.col("ok")).alias("rows_excluded"),
-        F.bround(F.avg(F.when(F.col("ok"), F.col("w"))), 1).alias("mean_words"),
+        round_even(F.avg(F.when(F.col("ok"), F.col("w"))), 1).alias("mean_words"),
         F.median(F.when(F.col("ok"), F.col("w"))).alias("median_words"),
         F.min(F.when(F.col("ok"), F.col("w"))).alias("min_words"),
         F.max(F.when(F.col("ok"), F.col("w"))).alias("max_words")))
@@ -134,7 +135,7 @@ def nonzero_stats(df: DataFrame, column: str) -> DataFrame:
     positive = F.when(parsed > 0, parsed)
     stats = df.agg(
         F.count(parsed).alias("parsed"), F.count(positive).alias("positive"),
-        F.count_if(parsed == 0).alias("zeros"), F.bround(F.avg(positive), 2).alias("mean_nonzero"),
+        F.count_if(parsed == 0).alias("zeros"), round_even(F.avg(positive), 2).alias("mean_nonzero"),
         F.min(positive).alias("min_nonzero"), F.max(positive).alias("max_nonzero"))
     counts = df.select(positive.alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = running_totals(counts, [F.col("_v")], {"_upto": "_n"}, "numbers")
@@ -181,7 +182,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     # one row per class reaches this window
     whole = W.partitionBy()
     weight = F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n"))
-    return counts.withColumn("weight", F.bround(weight, 6))
+    return counts.withColumn("weight", round_even(weight, 6))
 
 
 def top_classes(long: DataFrame, row_id: str, rule: str = "rule", p: str = "p", top: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even
 from narrascope.operators.ordering import grouped_previous
 from narrascope.schemas import (
     NO_RULE, REPORT_STATUSES, ROLES, SEED_SOURCES, UNDER_REVIEW, USER_STATUSES,
@@ -20,7 +21,7 @@ def _yes(sif: str = "sif_potential") -> Column:
 
 
 def _density(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.bround(100.0 * part / whole, 1)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, round_even(100.0 * part / whole, 1)).otherwise(F.lit(0.0))
 
 
 def exclude_seed(reports: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def site_tiles(reports: DataFrame, top: int = TILES) -> DataFrame:
             .orderBy(F.desc("total"), "site").limit(top))
     # at most `top` rows reach this window
     largest = F.greatest(F.max("total").over(W.partitionBy()), F.lit(1))
-    return rows.withColumn("relative_size", F.bround(F.col("total") / largest, 6))
+    return rows.withColumn("relative_size", round_even(F.col("total") / largest, 6))
 
 
 def list_users(users: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even
 from narrascope.operators.skew import lookup_join, small
 from narrascope.schemas import SPLIT_SHARE
 from narrascope.session import written
@@ -161,7 +162,7 @@ def split_report(df: DataFrame, label: str = "sif_potential", synthetic: str = "
         F.count_if(F.col(label) == "No").alias("no_rows"),
         F.count_if(F.col(synthetic)).alias("synthetic_rows"),
         F.count_if(~F.col(synthetic)).alias("real_rows"),
-    ).withColumn("pct", F.bround(F.col("rows") * 100.0 / total, 1))
+    ).withColumn("pct", round_even(F.col("rows") * 100.0 / total, 1))
 
 
 def split_checks(df: DataFrame, expected: Column, group: str = "is_duplicate_group_id",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even
 from narrascope.operators import evaluation
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import RULES
@@ -203,7 +204,7 @@ def explain_terms(df: DataFrame, coefficients: DataFrame, row_id: str = "doc_id"
     terms = term_frequencies(df, row_id, text)
     joined = lookup_join(terms, coefficients, ["word"], F.xxhash64(row_id, "word"))
     weighted = joined.filter("beta is not null").withColumn(
-        "weight", F.bround(F.col("tf") * F.col("idf") * F.col("beta"), 6))
+        "weight", round_even(F.col("tf") * F.col("idf") * F.col("beta"), 6))
     best = W.partitionBy(row_id).orderBy(F.desc(F.abs("weight")), "word")
     return (weighted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
             .select(row_id, "rank", "word", "weight"))

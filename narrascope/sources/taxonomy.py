@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrascope.functions.numbers import round_even
 from narrascope.functions.text import matches, normalize_code, strip, strip_html, whole_number
 from narrascope.operators.skew import lookup_join
 from narrascope.schemas import NOT_EVALUATED, TAXONOMY_JSON, UNMAPPED
@@ -103,7 +104,7 @@ def mapping_rate(mapped: DataFrame) -> DataFrame:
     is_mapped = F.col("mapped_rule_id") != UNMAPPED
     counts = mapped.rollup("source_dataset").agg(
         F.count(F.lit(1)).alias("terms"), F.count_if(is_mapped).alias("mapped"))
-    return counts.withColumn("pct", F.bround(100.0 * F.col("mapped") / F.col("terms"), 1))
+    return counts.withColumn("pct", round_even(100.0 * F.col("mapped") / F.col("terms"), 1))
 
 
 def map_critical_risk(df: DataFrame, mapping: DataFrame, risk: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -130,3 +131,17 @@ def test_risk_score_and_levels(spark):
 def test_highlight_quotes_phrases(spark):
     rows = spark.sql(r"""SELECT 'A (b) fell. a (B)' t, array(named_struct('phrase', '(b)', 'weight', 1.0D), named_struct('phrase', 'fell', 'weight', -1.0D)) ph""")
     assert rows.select(C.highlight_phrases(F.col("t"), F.col("ph"))).first()[0] == "A <mark>(b)</mark> fell. a <mark>(B)</mark>"
+
+
+def test_rounding_of_ties(spark):
+    from narrascope.functions.numbers import round_even, three_places
+
+    values = [0.39135, 0.28505, 0.00305, 0.14500, 0.0625, 0.1875, 0.1235, 0.0005, 0.9995, 0.7, 0.0, 1.0, 2 / 3, None]
+    rows = spark.createDataFrame([(v,) for v in values], "p double").select(
+        "p", round_even(F.col("p"), 4).alias("four"), three_places(F.col("p")).alias("three")).collect()
+    scaled = lambda p: float(np.rint(p * 1e4) / 1e4)
+    assert [(r["four"], r["three"]) for r in rows] == [(None, None) if p is None else (scaled(p), f"{p:.3f}") for p in values]
+    # 0.39135 lies below the tie once scaled: its decimal text rounds to 0.3914
+    assert rows[0]["four"] == 0.3913
+    ties = spark.range(1000).select(((F.col("id") * 2 + 1) / 2000.0).alias("p"))
+    assert all(r["t"] == f"{r['p']:.3f}" for r in ties.select("p", three_places(F.col("p")).alias("t")).collect())
