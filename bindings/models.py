@@ -142,8 +142,7 @@ SELECT doc_id, rank, word, weight FROM (SELECT *, CAST(row_number() OVER (PARTIT
        ("narratives",))
 def _(t):
     """Coefficients from document counts of the labels, as a stand-in for a fitted model."""
-    tf = M.term_frequencies(t.narratives, "doc_id", "narrative_text").join(
-        t.narratives.select("doc_id", "sif_potential"), "doc_id")
+    tf = M.term_frequencies(t.narratives, "doc_id", "narrative_text", "sif_potential")
     documents = t.narratives.agg(F.count(F.lit(1)) + 1).scalar()
     df = F.count(F.lit(1))
     gap = F.count_if(F.col("sif_potential") == "Yes") - F.count_if(F.col("sif_potential") == "No")

@@ -18,6 +18,9 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 << 20
 # a plan whose own estimate is below this is taken as small: even 32 times as much may be broadcast
 TRUSTED_BYTES = 4 << 20
+# stored bytes that one task of a growing operation (as the words of texts) is dealt, and the most such tasks
+PART_BYTES, MOST_PARTS = 8 << 20, 20_000
+UNKNOWN_BYTES = 1 << 60  # what the planner takes for rows whose size it does not know
 
 
 def hot_only(counts: DataFrame, total: Column, rows: str = "n") -> DataFrame:
@@ -109,3 +112,15 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
+def in_parts(df: DataFrame, key: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows dealt by a key into parts of about `part_bytes` of the files read, so that what a task makes of its rows
+    fits its memory whatever the size of the table. Rows of unknown size are dealt into the shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    least = df.sparkSession.sparkContext.defaultParallelism
+    if any(size >= UNKNOWN_BYTES for size in sizes):
+        least = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    read = sum(size for size in sizes if size < UNKNOWN_BYTES)
+    return df.repartition(min(max(read // part_bytes, least), MOST_PARTS), key)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.numbers import round_even
 from narrascope.operators import evaluation
-from narrascope.operators.skew import lookup_join
+from narrascope.operators.skew import in_parts, left_lookup, lookup_join, small
 from narrascope.schemas import RULES
 from narrascope.session import local_table, written
 
@@ -26,6 +26,7 @@ INVERSE_PENALTY = 1.0
 SIF_ITERATIONS = 2000
 RULE_ITERATIONS = 1000
 TOP_TERMS = 6
+BROADCAST_WORDS = 500_000  # coefficients of the most frequent words that are broadcast
 TOLERANCE = 1e-7  # of the fits: their gradients must vanish
 BATCH = 64
 WORD = r"[^\p{L}\p{N}_]+"
@@ -187,27 +188,49 @@ def load_model(spark, path: str):
     return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/metadata")
 
 
-def term_frequencies(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row id, word, tf): a text's words are in one task, so they combine before the shuffle."""
+def term_frequencies(df: DataFrame, row_id: str, text: str, *others: str) -> DataFrame:
+    """(row id, other columns, word, tf): the texts are dealt by row id into small parts, so that their words are counted where they are."""
     words = F.explode(F.split(F.lower(F.col(text)), WORD)).alias("word")
-    return df.select(row_id, words).filter("word <> ''").groupBy(row_id, "word").agg(
+    dealt = in_parts(df.select(row_id, *others, text), row_id)
+    return dealt.select(row_id, *others, words).filter("word <> ''").groupBy(row_id, *others, "word").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
+def _frequent(coefficients: DataFrame) -> DataFrame:
+    """The rows with the smallest idf, as many as fit a broadcast; none if they do not fit by bytes."""
+    share = BROADCAST_WORDS / max(coefficients.count(), BROADCAST_WORDS)
+    least = coefficients.approxQuantile("idf", [share], 0.001)
+    chosen = coefficients.filter(F.col("idf") < F.lit(least[0] if least else None))
+    return chosen if small(chosen) else coefficients.limit(0)
+
+
 def explain_terms(df: DataFrame, coefficients: DataFrame, row_id: str = "doc_id",
                   text: str = "narrative_text", top: int = TOP_TERMS) -> DataFrame:
     """The words that move each report most: tf x idf x coefficient.
 
-    `coefficients` is (word, idf, beta). Frequent words are hot join keys, so
-    a coefficient table too large to broadcast is joined skew-safely.
+    `coefficients` is (word, idf, beta). Of a table too large to broadcast, the frequent words are: each report keeps its
+    best of them where its words are counted. Only these, and the words that are not frequent, are moved; the latter are
+    joined skew-safely.
     """
+    def weighted(joined: DataFrame) -> DataFrame:
+        return joined.filter("beta is not null").select(
+            row_id, "word", round_even(F.col("tf") * F.col("idf") * F.col("beta"), 6).alias("weight"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        best = W.partitionBy(row_id).orderBy(F.desc(F.abs("weight")), "word")
+        return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select(row_id, "rank", "word", "weight")
+
     terms = term_frequencies(df, row_id, text)
-    joined = lookup_join(terms, coefficients, ["word"], F.xxhash64(row_id, "word"))
-    weighted = joined.filter("beta is not null").withColumn(
-        "weight", round_even(F.col("tf") * F.col("idf") * F.col("beta"), 6))
-    best = W.partitionBy(row_id).orderBy(F.desc(F.abs("weight")), "word")
-    return (weighted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-            .select(row_id, "rank", "word", "weight"))
+    if small(coefficients):
+        return ranked(weighted(terms.join(F.broadcast(coefficients), "word", "left")))
+    frequent = _frequent(coefficients)
+    met = terms.join(F.broadcast(frequent.withColumn("_met", F.lit(True))), "word", "left")
+    place = W.partitionBy(row_id, "_met").orderBy(F.desc(F.abs("weight")), "word")
+    kept = written(met.withColumn("weight", round_even(F.col("tf") * F.col("idf") * F.col("beta"), 6)).withColumn(
+        "_place", F.row_number().over(place)).filter(F.col("_met").isNull() | (F.col("beta").isNotNull() & (F.col("_place") <= top))).select(
+        row_id, "word", "tf", "weight", "_met"), "terms")
+    rare = left_lookup(kept.filter("_met is null").select(row_id, "word", "tf"), coefficients, ["word"], F.xxhash64(row_id, "word"))
+    return ranked(kept.filter("_met").select(row_id, "word", "weight").union(weighted(rare)))
 
 
 def evaluate_scored(scored: DataFrame, model_id: str, label: str = "y", p: str = "p",

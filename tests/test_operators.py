@@ -484,3 +484,20 @@ def test_draft_ids_of_equal_rows_differ(spark):
                      F.create_map(F.lit("low"), F.lit(0.5)).alias("sif_decision_thresholds"))
     ids = [r.report_id for r in submission_defaults(made, F.lit("2024-01-01 00:00:00").cast("timestamp"), "position").collect()]
     assert len(set(ids)) == 4 and all(i.startswith("DRAFT-20240101") for i in ids)
+
+
+def test_explain_terms_moves_words_once(spark, monkeypatch):
+    """With a coefficient table of any size the same words are named, and a report's words are counted where its text is."""
+    from narrascope.plans import models as M
+
+    reports = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 23} w{k}" for k in range(12))) for i in range(40)], "doc_id long, narrative_text string")
+    table = spark.createDataFrame([(f"w{i}", float(i % 7) + 0.5, (-1.0) ** i if i % 5 else None) for i in range(20)], "word string, idf double, beta double")
+    plain = M.explain_terms(reports, table)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("REPARTITION") <= 2 and plan.count("Exchange hashpartitioning") == 1
+    expected = sorted(map(tuple, plain.collect()))
+    assert len(expected) == 240
+    for frequent in (0, 4):
+        monkeypatch.setattr(M, "BROADCAST_WORDS", frequent or 1)
+        monkeypatch.setattr(M, "small", lambda rows: 0 < rows.count() <= frequent)
+        assert sorted(map(tuple, M.explain_terms(reports, table).collect())) == expected
