@@ -6,6 +6,7 @@ from bindings.evaluate import REPORT_RANKED, SCORED_COLUMNS, SCORED_SQL, flat, s
 from bindings.registry import query
 from bindings.reports import LIVE
 from bindings.views import Tables
+from narrascope.operators.skew import part_count
 from narrascope.operators.store import KeyedStore
 from narrascope.plans.scoring import Recurrence, score_reports
 from narrascope.schemas import UPSERT_COLUMNS
@@ -15,12 +16,22 @@ from narrascope.streaming import jobs
 SCORED_VIEWS = ("reports", "report_p", "report_classes")
 
 
-def _folder(df, t: Tables, label: str, partitions: int = 4) -> str:
+FILES, BUCKETS = 4, 8  # of small tables
+STREAM_BYTES = 2 << 20  # of the stored tables, for each file of a stream and each bucket of its store
+
+
+def _folder(df, t: Tables, label: str, partitions: int = FILES) -> str:
     path = new_scratch(t.spark, label)
     df.repartition(partitions).write.parquet(path)
     return path
 
 
+def _sizes(df, batches: int) -> tuple[int, int, int]:
+    """Files of a stream, how many a batch reads, and buckets of its store: both grow with the tables, the number of batches does not."""
+    files = part_count(df, FILES, STREAM_BYTES)
+    return files, -(-files // batches), max(files, BUCKETS)
+
+
 REPLACED = tuple(name for name in UPSERT_COLUMNS if name not in ("report_text", "top_phrases", "analyzed_at"))
 KEPT = ("source", "reporter_id", *[name for name in SCORED_COLUMNS if name not in REPLACED])
 
@@ -34,13 +45,14 @@ def _triage(t: Tables) -> KeyedStore:
         return score_reports(batch, recurrence).withColumns({
             "report_text": F.concat(F.lit("at "), F.col("site")), "top_phrases": F.lit("[]"), "analyzed_at": F.date_format("ts", "yyyy-MM-dd")})
 
+    files, files_a_batch, buckets = _sizes(source, batches=2)
     schema = score(source).drop("p", "class_probs", "recurrence").schema
-    store = KeyedStore(spark, new_scratch(spark, "reports"), schema, "report_id", buckets=8)
+    store = KeyedStore(spark, new_scratch(spark, "reports"), schema, "report_id", buckets=buckets)
     entered = source.filter("id % 3 <> 0").select("report_id", "id", F.lit("entered by hand").alias("report_text"), F.lit("old").alias("status"),
                                                  F.lit("stored").alias("source"), F.lit(0).cast("bigint").alias("reporter_id"))
     missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in entered.columns}
     store.merge(entered.withColumns(missing), "id", "entered", 0)
-    stream = jobs.stream_folder(spark, _folder(source, t, "reports-in"), source.schema, files_per_trigger=2)
+    stream = jobs.stream_folder(spark, _folder(source, t, "reports-in", files), source.schema, files_per_trigger=files_a_batch)
     jobs.triage(stream, score, store, new_scratch(spark, "checkpoint")).awaitTermination()
     return store
 
@@ -82,8 +94,9 @@ SELECT tile, value, CAST(sum(n) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'site', site, 1 FROM reports WHERE {LIVE} UNION ALL SELECT 'life_saving_rule', life_saving_rule, 1 FROM reports WHERE {LIVE}) GROUP BY 1, 2""", ("reports",))
 def _(t):
     source = _versions(t)
-    stream = jobs.stream_folder(t.spark, _folder(source, t, "versions-in"), source.schema, files_per_trigger=1)
-    store = KeyedStore(t.spark, new_scratch(t.spark, "dashboard"), source.select(*jobs.DASHBOARD_FIELDS).schema, "report_id", buckets=8,
+    files, files_a_batch, buckets = _sizes(source, batches=4)
+    stream = jobs.stream_folder(t.spark, _folder(source, t, "versions-in", files), source.schema, files_per_trigger=files_a_batch)
+    store = KeyedStore(t.spark, new_scratch(t.spark, "dashboard"), source.select(*jobs.DASHBOARD_FIELDS).schema, "report_id", buckets=buckets,
                        replaced=None, newest="version")
     jobs.dashboard(stream, store, new_scratch(t.spark, "checkpoint")).awaitTermination()
     return jobs.live_counts(store)

@@ -114,13 +114,15 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
-def in_parts(df: DataFrame, key: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows dealt by a key into parts of about `part_bytes` of the files read, so that what a task makes of its rows
-    fits its memory whatever the size of the table. Rows of unknown size are dealt into the shuffle partitions."""
+def part_count(df: DataFrame, least: int, part_bytes: int = PART_BYTES) -> int:
+    """Parts of about `part_bytes` of the files that `df` reads, at least `least`; rows of unknown size count as the shuffle partitions."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    least = df.sparkSession.sparkContext.defaultParallelism
     if any(size >= UNKNOWN_BYTES for size in sizes):
         least = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    read = sum(size for size in sizes if size < UNKNOWN_BYTES)
-    return df.repartition(min(max(read // part_bytes, least), MOST_PARTS), key)
+    return min(max(sum(size for size in sizes if size < UNKNOWN_BYTES) // part_bytes, least), MOST_PARTS)
+
+
+def in_parts(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key into parts, so that what a task makes of its rows fits its memory whatever the size of the table."""
+    return df.repartition(part_count(df, df.sparkSession.sparkContext.defaultParallelism), key)

@@ -164,3 +164,22 @@ def test_compacted_log_keeps_latest(spark):
     spark.createDataFrame([("a", 2, "new")], "k string, v int, s string").write.parquet(f"{log}/batch_id=1")
     jobs.compact(spark, log, folded, "k", "v")
     assert {(r["k"], r["s"]) for r in jobs.current(spark, folded, "k", "v").collect()} == {("a", "new"), ("b", "b1")}
+
+
+def test_stream_files_and_buckets_grow_with_the_tables(spark, monkeypatch):
+    """More files and buckets for larger tables, in as many batches, with the same rows."""
+    import __spark_entry__ as entry
+    from bindings import streams
+    from bindings.views import Tables
+    from check_oracle import compare, duck
+
+    folder = "/root/testdata/sf0.001"
+    reports = Tables(spark, folder).scored_reports
+    assert streams._sizes(reports, batches=2) == (4, 2, 8)
+    monkeypatch.setattr(streams, "STREAM_BYTES", 5_000)
+    files, a_batch, buckets = streams._sizes(reports, batches=2)
+    assert files > 8 and buckets == files and -(-files // a_batch) == 2
+    con = duck(folder)
+    for name in ("stream_triage_audit", "stream_dashboard"):
+        ok, note = compare(spark, con, name, folder, entry.queries(), entry.oracle_sql())
+        assert ok, note
