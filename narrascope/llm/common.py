@@ -82,19 +82,23 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def without(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, repeated: DataFrame) -> DataFrame:
     """Rows whose keys are not among the losers; of rows that repeat a key in `repeated`, one stays.
 
-    Both tables hold the columns named in `keys`, null-safe. They are matched by
-    joins whose large side Spark may split; no wide row is gathered by key, except
-    that repeated rows meet after a partial pick in their own task.
+    Both tables hold the columns named in `keys`, null-safe. A bit table of their keys leaves nearly all other rows
+    where they are read; only rows that may be in them are written and joined, whose large side Spark may split. No
+    wide row is gathered by key, except that repeated rows meet after a partial pick in their own task.
     """
     names = list(keys)
+    code = F.xxhash64(*names)
     wrapped = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in keys.items()])
+    decided = losers.select(*names).union(repeated.select(*names))
+    marked = marked_in(wrapped.withColumn("_code", code), "_code", key_filter(decided.select(code.alias("_code")), "_code", "decided"), "_maybe")
+    some = written(marked.filter("_maybe").drop("_code", "_maybe"), "maybe")
 
     def matched(other: DataFrame, how: str) -> DataFrame:
         other = other.select(*[F.col(n).alias(f"_o_{n}") for n in names])
-        same = [wrapped[n].eqNullSafe(other[f"_o_{n}"]) for n in names]
-        return wrapped.join(other, same, how)
+        same = [some[n].eqNullSafe(other[f"_o_{n}"]) for n in names]
+        return some.join(other, same, how)
 
-    main = matched(losers.select(*names).union(repeated.select(*names)), "left_anti").select("_row.*")
+    main = marked.filter(~F.col("_maybe")).select("_row.*").union(matched(decided, "left_anti").select("_row.*"))
     again = matched(repeated, "left_semi").dropDuplicates(names).select("_row.*")
     return main.union(again)
 

@@ -313,3 +313,22 @@ def test_language_model(spark, docs, none):
     assert language_model.score(docs, model).count() == len(ROWS)
     empty, nothing = language_model.fit_and_score(none, F.lit(False))
     assert empty.count() == 0 and nothing.tokens == 0
+
+
+def test_without_moves_only_rows_that_may_be_decided(spark, monkeypatch):
+    seen, write = {}, common.written
+
+    def kept(df, label):
+        seen[label] = write(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(common, "written", kept)
+    rows = [(i if i % 7 else None, f"text {i % 900}") for i in range(2000)] + [(5, "text 5"), (5, "text 5"), (None, "lost")]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    losers = spark.createDataFrame([(11, "text 11"), (None, "lost"), (11, "text 12")], "id bigint, text string")
+    repeated = spark.createDataFrame([(5, "text 5")], "id bigint, text string")
+    got = common.without(docs, {"a": F.col("id"), "b": F.col("text")}, *[t.toDF("a", "b") for t in (losers, repeated)])
+    expected = [r for r in rows if r not in ((11, "text 11"), (None, "lost"), (5, "text 5"))] + [(5, "text 5")]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(expected, key=order)
+    assert seen["maybe"].count() < 50  # five rows and the few whose bit is set by chance
