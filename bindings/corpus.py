@@ -348,7 +348,7 @@ TABLE_FIRST_SQL = TABLE_SQL + FIRST_SQL[len(VOCAB_SQL):]
 
 def vocabulary_table(t: Tables):
     """As many phrases as the reference keeps, of one to three words each, as a table."""
-    words = F.split("narrative_text", " ")
+    words = F.split("narrative_text", " ", 8)  # the first seven are looked at
     cut = F.slice(words, F.lit(2), (F.floor(F.col("doc_id") / 2) % 3 + 1).cast("int"))
     picked = t.narratives.filter((F.col("doc_id") % 2 == 0) & (F.size(words) > 6)).select(F.array_join(cut, " ").alias("phrase")).distinct()
     first = picked.filter(F.char_length("phrase") > 2).orderBy(F.md5(F.col("phrase").cast("binary")), "phrase").limit(PHRASES_WANTED)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from narrascope.functions.numbers import round_even
 from narrascope.functions.text import bound, strip, usable_text
 from narrascope.operators.ordering import dense_index
-from narrascope.operators.skew import lookup_join
+from narrascope.operators.skew import lookup_join, small
 from narrascope.schemas import EVIDENCE_FIELDS, UNKNOWN
 from narrascope.session import written
 
@@ -135,8 +135,11 @@ def _all_hits(text: Column, wanted: dict[str, Column], vocabulary: Vocabulary) -
 
 
 def folded(text: Column) -> Column:
-    """The text in lower case, letter for letter, the unusual ones as the letters that they match ignoring case."""
-    return F.lower(F.translate(text, "".join(FOLDING), "iis"))
+    """The text in lower case, letter for letter, the unusual ones as the letters that they match ignoring case.
+
+    `translate` goes letter by letter and costs far more than the search for the three, so only texts that hold one take it.
+    """
+    return F.lower(F.when(_folds(text), F.translate(text, "".join(FOLDING), "iis")).otherwise(text))
 
 
 def _grams(word: Column, size: int = GRAM) -> Column:
@@ -152,6 +155,16 @@ def _rarest(numbered: DataFrame, frequencies: DataFrame, token: str) -> DataFram
     return known.groupBy("no").agg(F.min_by(token, order).alias(token))
 
 
+def _fitting(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast while it is small."""
+    return F.broadcast(table) if small(table) else table
+
+
+def _among(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Rows whose value is among the wanted ones; they are not moved while these fit a broadcast."""
+    return rows.join(_fitting(wanted.select(name).distinct()), name, "left_semi")
+
+
 def phrase_index(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     """(token, nos: phrases that a text with this token may hold): an inverted index of the phrases over a table of the
     texts' tokens (token, n). Tokens are what single spaces part.
@@ -159,31 +172,35 @@ def phrase_index(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     A phrase of three tokens or more holds its inner ones whole, so its rarest inner token stands for it. Of a shorter
     phrase any token of a text may hold a piece: its own word inside, its first one at the end, or its last one at the
     beginning. These tokens are found among the different tokens through pieces of three letters, again by the rarest.
+    Tokens are cut to pieces once, and only pieces that a phrase has are kept.
     """
     split = vocabulary.select("no", F.split("low", " ").alias("parts"))
     long = split.filter(F.size("parts") > 2).select(
         "no", F.explode(F.array_distinct(F.slice("parts", F.lit(2), F.size("parts") - 2))).alias("token"))
-    whole = _rarest(long, tokens, "token")
+    whole = _rarest(long, _among(tokens, long, "token"), "token")
     # of two tokens the longer one is looked for, where it touches the space
     first, last = F.get("parts", F.lit(0)), F.get("parts", F.size("parts") - 1)
     ahead = F.char_length(first) >= F.char_length(last)
     short = split.filter(F.size("parts") <= 2).select(
         "no", F.when(ahead, first).otherwise(last).alias("piece"),
         F.when(F.size("parts") == 1, "inside").when(ahead, "end").otherwise("start").alias("side"))
-    words = tokens.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
-    counts = written(words.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
     keyed = short.filter(F.char_length("piece") >= GRAM)
-    key = _rarest(keyed.select("no", F.explode(_grams(F.col("piece"))).alias("gram")), counts, "gram")
+    pieces = keyed.select("no", F.explode(_grams(F.col("piece"))).alias("gram"))
+    words = written(_among(tokens.select("token", F.explode(_grams(F.col("token"))).alias("gram")), pieces, "gram"), "grams")
+    key = _rarest(pieces, words.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
     token, piece, side = F.col("token"), F.col("piece"), F.col("side")
     holds = (F.when(side == "inside", F.contains(token, piece)).when(side == "end", F.endswith(token, piece))
              .otherwise(F.startswith(token, piece)))
-    found = keyed.join(key, "no").join(words, "gram").filter(holds).select("token", "no")
+    found = words.join(_fitting(written(keyed.join(key, "no"), "keys")), "gram").filter(holds).select("token", "no")
     # pieces of one or two letters (few, and in nearly every text) are compared with the words themselves
     tiny = short.filter(F.char_length("piece") < GRAM)
-    pairs = tokens.select("token", F.explode(F.array_distinct(F.concat(
-        _grams(token, 1), _grams(token, 2), F.array(F.lit("")))))
-        .alias("piece")).join(tiny, "piece").filter(holds).select("token", "no")
-    return whole.select("token", "no").union(found).union(pairs).distinct().groupBy("token").agg(F.collect_list("no").alias("nos"))
+    ends = F.array(*[F.substring(token, at, size) for at, size in ((1, 1), (1, 2), (-1, 1), (-2, 2))], F.lit(""))
+    sides = [(tiny.filter(side != "inside"), ends), (tiny.filter(side == "inside"), F.concat(_grams(token, 1), _grams(token, 2), F.array(F.lit(""))))]
+    for some, cut in sides:
+        if not some.isEmpty():
+            found = found.union(tokens.select("token", F.explode(F.array_distinct(cut)).alias("piece"))
+                                .join(_fitting(some), "piece").filter(holds).select("token", "no"))
+    return whole.select("token", "no").union(found).distinct().groupBy("token").agg(F.collect_list("no").alias("nos"))
 
 
 def indexed_hits(df: DataFrame, vocabulary: DataFrame, text: str) -> DataFrame:

@@ -303,6 +303,34 @@ def test_indexed_vocabulary_equals_the_literal_one(spark):
     assert sorted(found.collect()) == sorted(evidence.vocabulary_matches(df, vocabulary).collect()) and found.count() > 500
 
 
+def test_phrase_index_keeps_only_pieces_that_a_phrase_has(spark, monkeypatch):
+    seen, write = {}, evidence.written
+
+    def kept(df, label):
+        seen[label] = write(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(evidence, "written", kept)
+    phrases = ["rope", "xy rope", "a b", "ab", "b", "big old dog", "no", "z ", " q", "qu ", "İst"]
+    numbered = spark.createDataFrame(list(enumerate(phrases)), "no bigint, low string")
+    words = ["ropes", "rope", "arope", "axy", "xy", "a", "b", "ab", "cab", "old", "cold", "", "z", "az", "q", "qa", "qu", "aqu", "none", "many", "others"]
+    tokens = spark.createDataFrame([(w, 1) for w in words], "token string, n bigint")
+    got = {r.token: set(r.nos) for r in evidence.phrase_index(numbered, tokens).collect()}
+    for no, phrase in enumerate(phrases):
+        parts = phrase.split(" ")
+        for word in words:
+            if len(parts) == 1 and phrase in word or len(parts) > 2 and word == parts[1]:
+                assert no in got[word]
+            elif len(parts) == 2:
+                first, last = parts
+                wanted = word.endswith(first) if len(first) >= len(last) else word.startswith(last)
+                assert (no in got.get(word, set())) == wanted
+            else:
+                assert no not in got.get(word, set())
+    pieces = {r.gram for r in seen["grams"].select("gram").collect()}
+    assert pieces and pieces <= {p[i:i + 3] for p in phrases for i in range(len(p))}
+
+
 def test_a_million_phrases(spark):
     table = spark.range(1_000_000).select(
         F.lit("barrier").alias("field"), (F.col("id") % 7).cast("int").alias("category_order"), (F.col("id") % 7).cast("string").alias("category"),
