@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,7 +19,9 @@ from narrascope.session import written  # noqa: F401  (re-exported to the operat
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_AT_ONCE = 500  # rows with whole texts in an Arrow batch
+BYTES_AT_ONCE = 4 << 20  # bytes of an Arrow batch after which no further row is put into it
 TEXTS_AT_ONCE = 256  # texts of a batch that are Python values at a time
+SPLIT_AT_ONCE = 1 << 20  # bytes of texts that are cut into words at a time; a word as a Python value takes about nine times its bytes
 BIT_ROWS = 1 << 19  # most rows of a bit table, 64 bits each; this bounds what is broadcast
 LARGEST_KEYS = 1 << 23  # keys up to which a bit table is used
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,12 +44,26 @@ def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
             yield value or b""
 
 
+def parts_of_bytes(values: Iterable[bytes], rows: int = TEXTS_AT_ONCE, size: int = SPLIT_AT_ONCE) -> Iterator[list[bytes]]:
+    """Consecutive values in lists of at most `rows`, closed once they hold `size` bytes."""
+    part, held = [], 0
+    for value in values:
+        part.append(value)
+        held += len(value)
+        if len(part) >= rows or held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Let Spark hand ROWS_AT_ONCE rows at a time to Python: a batch of whole texts is held several times, in the
-    JVM and in the worker, and tables in the order of their sizes have batches of long texts only. Never raises the setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
-        spark.conf.set(key, str(ROWS_AT_ONCE))
+    """Let Spark hand ROWS_AT_ONCE rows or about BYTES_AT_ONCE at a time to Python: a batch of whole texts is held several times, in
+    the JVM and in the worker, and tables in the order of their sizes have batches of long texts only. Never raises a setting."""
+    for key, most in (("maxRecordsPerBatch", ROWS_AT_ONCE), ("maxBytesPerBatch", BYTES_AT_ONCE)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release_memory() -> None:

@@ -24,7 +24,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import batched, chain
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.llm.common import release_memory, small_batches, texts
+from narrascope.llm.common import parts_of_bytes, release_memory, small_batches, texts
 
 CAPACITY = 2048
 GRAIN = 512
@@ -134,7 +134,7 @@ class WordIds:
         return found
 
     def encode(self, batch: Iterable[bytes]) -> Iterator[bytes]:
-        for part in batched(batch, 256):
+        for part in parts_of_bytes(batch):
             # letters in lower case share an entry; a special string must keep its own case
             split = [(text if b"<|" in text else text.lower()).split() for text in part]
             known = self.known

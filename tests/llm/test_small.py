@@ -332,3 +332,24 @@ def test_without_moves_only_rows_that_may_be_decided(spark, monkeypatch):
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(map(tuple, got.collect()), key=order) == sorted(expected, key=order)
     assert seen["maybe"].count() < 50  # five rows and the few whose bit is set by chance
+
+
+def test_words_of_few_texts_are_held_at_a_time(spark):
+    """Long texts are cut into words a few at a time, and an Arrow batch of them is closed by its bytes."""
+    encoder, taken = packing.word_ids(tokenizer(WORD_BPE), 1000), []
+    long = b"some words of a long text " * 20_000
+
+    def values():
+        for i in range(8):
+            taken.append(i)
+            yield long
+
+    first = next(encoder.encode(values()))
+    assert len(taken) == -(-common.SPLIT_AT_ONCE // len(long))
+    assert first == next(encoder.encode([long]))
+    few = [b"x"] * 600 + [long] * 5 + [b""]
+    parts = list(common.parts_of_bytes(few, size=2 * len(long)))
+    assert [v for part in parts for v in part] == few and [len(p) for p in parts] == [256, 256, 90, 2, 2]
+    table = spark.range(40, numPartitions=1).select(F.lit(long.decode()).alias("text"))
+    seen = common.map_batches(table, lambda: lambda batch: batch.slice(0, 1), "text string").count()
+    assert seen >= 40 * len(long) // (common.BYTES_AT_ONCE + 2 * len(long))
