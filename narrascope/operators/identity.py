@@ -9,24 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrascope.operators.ordering import grouped_row_number, running_totals
-from narrascope.operators.skew import lookup_join
+from narrascope.operators.ordering import grouped_row_number, keyed_row_number, running_totals
+from narrascope.operators.skew import BROADCAST_ROWS, HOT_FLOOR, lookup_join
 from narrascope.session import written
 
 
 def dedupe_ids(df: DataFrame, dataset: str, record: str, position: str, out: str) -> DataFrame:
     """The n-th repeat of an id within its dataset gets `_dupN`; the first is unchanged.
 
-    Only the positions of repeated ids are numbered, and only those after the first are looked up by the rows.
+    Ids are counted once. Where few rows repeat an id, only positions of repeated ids are numbered, and the rows look up
+    those after the first; beyond a broadcast such a join would move all rows anyway, so the rows meet by id instead, once.
     """
-    key = F.struct(dataset, record).alias("_key")
-    narrow = df.select(dataset, record, position, key)
-    repeated = written(narrow.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key", F.lit(True).alias("_many")), "repeated")
-    some = lookup_join(narrow, repeated, ["_key"], F.col(position)).filter("_many").select(dataset, record, position)
-    later = written(grouped_row_number(some, [dataset, record], position, "_nth").filter("_nth > 1").select(position, "_nth"), "later")
-    numbered = lookup_join(df, later, [position], F.col(position))
+    keys, key = [dataset, record], F.struct(dataset, record).alias("_key")
+    repeated = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "repeated")
+    later, hot = repeated.agg(F.sum(F.col("_n") - 1)).first()[0] or 0, repeated.filter(F.col("_n") > HOT_FLOOR).select(*keys)
+    if later <= BROADCAST_ROWS:
+        some = lookup_join(df.select(*keys, position, key), repeated.select(key, F.lit(True).alias("_many")), ["_key"],
+                           F.col(position)).filter("_many").select(*keys, position)
+        after = written(keyed_row_number(some, keys, position, "_nth", hot).filter("_nth > 1").select(position, "_nth"), "later")
+        numbered = lookup_join(df, after, [position], F.col(position))
+    else:
+        numbered = keyed_row_number(df, keys, position, "_nth", hot)
     named = F.concat(F.col(record), F.lit("_dup"), (F.col("_nth") - 1).cast("string"))
-    return numbered.withColumn(out, F.when(F.col("_nth").isNull(), F.col(record)).otherwise(named)).select(*df.columns, out)
+    return numbered.withColumn(out, F.when(F.col("_nth") > 1, named).otherwise(F.col(record))).select(*df.columns, out)
 
 
 def row_index_ids(df: DataFrame, dataset: str, position: str, out: str) -> DataFrame:

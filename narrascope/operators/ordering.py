@@ -58,6 +58,21 @@ def grouped_row_number(df: DataFrame, keys: list[str], order: str, name: str,
     return placed.select(*df.columns, (F.col("_before") + local).cast("bigint").alias(name))
 
 
+def keyed_row_number(df: DataFrame, keys: list[str], order: str, name: str, hot: DataFrame) -> DataFrame:
+    """As `grouped_row_number` for many keys of few rows: rows meet by key and are ranked there.
+
+    `hot` are the keys of so many rows that they must not meet in one task; these are numbered over blocks.
+    """
+    meet = F.row_number().over(W.partitionBy(*keys).orderBy(order)).cast("bigint")
+    if hot.isEmpty():
+        return df.withColumn(name, meet)
+    # null keys are equal inside a struct; hot keys are few, since each holds a floor of rows
+    key = F.struct(*keys).alias("_key")
+    tagged = df.withColumn("_key", key).join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), "_key", "left")
+    cold, rest = tagged.filter(F.col("_hot").isNull()).select(*df.columns), tagged.filter("_hot").select(*df.columns)
+    return cold.withColumn(name, meet).unionByName(grouped_row_number(rest, keys, order, name))
+
+
 def grouped_previous(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """The value of the preceding row of the same key (null for the first).
 

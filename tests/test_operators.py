@@ -124,6 +124,27 @@ def test_dedupe_and_sequential_ids(spark):
     assert ids == {(0, 1): "OIL-00001", (0, 9): "OIL-00002", (1, 2): "OIL-00003", (1, 7): "OIL-00004"}
 
 
+@pytest.mark.parametrize("rows_to_look_up", [1_000_000, 0])
+@pytest.mark.parametrize("floor", [100_000, 30])
+def test_dedupe_moves_rows_once(spark, monkeypatch, rows_to_look_up, floor):
+    monkeypatch.setattr(identity, "BROADCAST_ROWS", rows_to_look_up)
+    monkeypatch.setattr(identity, "HOT_FLOOR", floor)
+    rng = random.Random(3)
+    ids = [rng.choice([None, "hot", f"k{rng.randrange(60)}", f"u{i}"]) for i in range(400)]
+    rows = [(i, rng.choice("st"), ids[i], "wide") for i in rng.sample(range(400), 400)]
+    df = spark.createDataFrame(rows, "pos long, ds string, id string, text string").repartition(5)
+    expected, seen = {}, Counter()
+    for pos, ds, name, _ in sorted(rows):
+        expected[pos] = name and name + (f"_dup{seen[ds, name]}" if seen[ds, name] else "")
+        seen[ds, name] += 1
+    found = identity.dedupe_ids(df, "ds", "id", "pos", "out")
+    got = found.collect()
+    assert {r["pos"]: r["out"] for r in got} == expected and len(got) == 400
+    if not rows_to_look_up and floor > 400:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Window ") == 1
+
+
 @pytest.fixture(scope="module")
 def narratives(spark):
     rows = [(f"r{i}", "s" if i % 2 else "t", f"Text no {i}", i % 3 == 0) for i in range(60)]
