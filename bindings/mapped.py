@@ -6,6 +6,7 @@ from bindings.columns import sql_strip, sql_unknown
 from bindings.registry import query
 from bindings.views import Tables, sql_text
 from narrascope.operators.identity import sequential_ids
+from narrascope.operators.skew import part_count
 from narrascope.operators.splits import group_split
 from narrascope.schemas import MANIFEST_COLUMNS, MASTER_COLUMNS, RULES, SEED_COLUMNS
 from narrascope.session import new_scratch
@@ -191,7 +192,8 @@ def _(t):
         "event_id", F.col("user_id").cast("double").cast("string").alias("ID"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("Final Narrative"))
     for name, rows, key in (("hazmat jan 2020", hazmat, "o_orderkey"), ("severe", severe, "event_id")):
-        files.write_csv(rows.repartitionByRange(4, key).sortWithinPartitions(key).drop(key), f"{path}/{name}")
+        count = part_count(rows, 4)  # files grow in number with the table, not in size
+        files.write_csv(rows.repartitionByRange(count, key).sortWithinPartitions(key).drop(key), f"{path}/{name}")
 
     def reader(name: str):
         return lambda: files.read_csv_robust(t.spark, [f"{path}/{name}"], multiline=False, position=True)

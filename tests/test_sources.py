@@ -210,3 +210,14 @@ def test_csv_with_line_breaks_is_read_in_many_tasks(spark, tmp_path, encoding):
     whole = files.read_csv_robust(spark, paths[:1])
     assert sorted((r["id"], r["text"], r["note"]) for r in whole.collect() if r["id"] != "12") == sorted(
         (r["id"], r["text"], r["note"]) for r in got.values() if r["id"] not in ("b1", "12"))
+
+
+def test_source_files_grow_in_number(spark, monkeypatch):
+    from bindings import QUERIES, mapped
+
+    made, files = [], mapped.files
+    write = files.write_csv
+    monkeypatch.setattr(mapped, "part_count", lambda rows, least: 9)
+    monkeypatch.setattr(files, "write_csv", lambda df, path: (made.append(df.rdd.getNumPartitions()), write(df, path)))
+    QUERIES["ingest_files"](spark, "/root/testdata/sf0.001")
+    assert made == [9, 9]
