@@ -109,25 +109,30 @@ def _(t):
 @query("scoring_pipeline", """
 SELECT count(*) AS n, count(*) AS equal_rows, 0 AS hidden_columns FROM narratives WHERE narrative_text IS NOT NULL""", ("narratives",))
 def _(t):
-    """Raw texts scored by one saved pipeline, and by its parts step by step."""
-    rows = t.narratives.filter("narrative_text IS NOT NULL").select(
-        "doc_id", "narrative_text", F.col("source_dataset").alias("site"), F.col("industry_domain").alias("activity"),
-        F.when(F.col("sif_potential") == "Yes", 1).otherwise(0).alias("y"), F.get(F.array(*[F.lit(r) for r in RULES]), (F.col("doc_id") % 4).cast("int")).alias("life_saving_rule"))
+    """Raw texts scored by one saved pipeline, and by its parts step by step, from the stored features.
+
+    Both meet in the row that holds the text; only narrow rows meet the labels.
+    """
+    rows = t.texts.filter("text IS NOT NULL").select(
+        "doc_id", F.col("text").alias("narrative_text"), F.col("source").alias("site"), F.col("lang").alias("activity"),
+        F.get(F.array(*[F.lit(r) for r in RULES]), (F.col("doc_id") % 4).cast("int")).alias("life_saving_rule"))
     features = M.text_features("narrative_text", dimensions=32).fit(rows)
-    made = written(features.transform(rows), "features")
-    sif, rule = M.train_sif(made), M.train_rule(made)
-    recurrence = written(made.groupBy("site", "activity", "life_saving_rule").agg(F.count(F.lit(1)).alias("n")), "recurrence")
+    made = written(features.transform(rows).select(*rows.columns, "features"), "features")
+    labelled = t.labelled(made.drop("narrative_text"))
+    taught = written(labelled.withColumn("y", F.when(F.col("sif_potential") == "Yes", 1).otherwise(0)), "labelled")
+    sif, rule = M.train_sif(taught), M.train_rule(taught)
+    recurrence = written(taught.groupBy("site", "activity", "life_saving_rule").agg(F.count(F.lit(1)).alias("n")), "recurrence")
     path = new_scratch(t.spark, "pipeline")
     scoring_pipeline(features, sif, rule, recurrence.scratch_path, row_id="doc_id").write().save(path)
-    raw = rows.drop("y", "life_saving_rule")
-    loaded = PipelineModel.load(path).transform(raw)
-    once = M.positive_probability(sif.transform(features.transform(raw))).drop("probability", "prediction", "rawPrediction")
-    plain = score_reports(rule.transform(once).withColumn("class_probs", M.class_probabilities()), recurrence, row_id="doc_id")
     columns = ("sif_potential", "confidence", "sif_reasons", "life_saving_rule", "rule_confidence", "rule_review_reason", "risk_score", "risk_level", "critical")
-    shown = lambda df, name: df.select("doc_id", F.to_json(F.struct(*columns)).alias(name))
+    shown = F.to_json(F.struct(*columns))
+    loaded = PipelineModel.load(path).transform(made.select("doc_id", "narrative_text", "site", "activity", F.col("features").alias("stored")))
     hidden = sum(c.startswith("_") or c == "features" for c in loaded.columns)
-    return shown(loaded, "a").join(shown(plain, "b"), "doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("equal_rows")).withColumn("hidden_columns", F.lit(hidden))
+    scored = loaded.select("doc_id", "site", "activity", F.col("stored").alias("features"), shown.alias("a"))
+    once = M.positive_probability(sif.transform(scored)).drop("probability", "prediction", "rawPrediction")
+    plain = score_reports(rule.transform(once).withColumn("class_probs", M.class_probabilities()), recurrence, row_id="doc_id")
+    return t.labelled(plain.select("doc_id", (F.col("a") == shown).alias("equal"))).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("equal").alias("equal_rows")).withColumn("hidden_columns", F.lit(hidden))
 
 
 COEFFICIENTS = r"""words AS (SELECT doc_id, sif_potential, unnest(regexp_split_to_array(lower(narrative_text), '[^\p{L}\p{N}_]+')) AS word FROM narratives),

@@ -94,13 +94,22 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
-    def narratives(self) -> DataFrame:
+    def texts(self) -> DataFrame:
+        """Documents, in enough tasks for heavy work per row."""
+        return spread(self.documents, "doc_id")
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with a `doc_id` and the decision that their label stands for. Labels beyond a broadcast move the rows, so let them be narrow."""
         quality = F.col("quality")
-        return spread(self.documents, "doc_id").join(self.labels, "doc_id", "left").select(
+        return rows.join(self.labels.select("doc_id", "quality"), "doc_id", "left").withColumn(
+            "sif_potential", F.when(quality.isNull(), "UNKNOWN").when(quality == 1, "No").otherwise("Yes")).drop("quality")
+
+    @cached_property
+    def narratives(self) -> DataFrame:
+        return self.labelled(self.texts).select(
             F.concat_ws("__", "source", F.col("doc_id").cast("string")).alias("record_id"), "doc_id",
             F.col("source").alias("source_dataset"), F.col("text").alias("narrative_text"),
-            F.col("lang").alias("industry_domain"), (F.col("doc_id") % 3 == 0).alias("is_synthetic"),
-            F.when(quality.isNull(), "UNKNOWN").when(quality == 1, "No").otherwise("Yes").alias("sif_potential"))
+            F.col("lang").alias("industry_domain"), (F.col("doc_id") % 3 == 0).alias("is_synthetic"), "sif_potential")
 
     @cached_property
     def reports(self) -> DataFrame:

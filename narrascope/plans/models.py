@@ -29,7 +29,7 @@ TOP_TERMS = 6
 BROADCAST_WORDS = 500_000  # coefficients of the most frequent words that are broadcast
 TOLERANCE = 1e-7  # of the fits: their gradients must vanish
 BATCH = 64
-WORD = r"[^\p{L}\p{N}_]+"
+WORD = r"[^\w\p{L}\p{N}]+"  # letters, digits and _ make words; \w (ASCII) is tested first, without a look at character tables
 
 
 def text_features(text: str, out: str = "features", dimensions: int = DIMENSIONS, idf: bool = False) -> Pipeline:

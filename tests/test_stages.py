@@ -1,9 +1,12 @@
 """The scoring plan as saved pipeline stages equals the functions, also when loaded elsewhere."""
 
+import re
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from bindings import QUERIES, models
 from narrascope.plans import models as M
 from narrascope.plans.scoring import score_reports
 from narrascope.plans.stages import RiskScore, RuleContract, SifContract, Without, scoring_pipeline
@@ -55,3 +58,47 @@ def test_parameters_are_written(spark, reports, fitted):
     assert isinstance(stages[-1], Without) and isinstance(stages[-2], RiskScore)
     found = PipelineModel.load(path).transform(reports.drop("life_saving_rule"))
     assert {r.low for r in found.select(F.col("sif_decision_thresholds")["low"].alias("low")).distinct().collect()} == {0.2}
+
+
+def scored_folder(spark, folder, texts):
+    """The scoring query over rows (doc_id, text) and four labels."""
+    rows = [(i, text, "en", f"site {n % 2}", 1) for n, (i, text) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in (0, 2, 4, 6)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return QUERIES["scoring_pipeline"](spark, str(folder))
+
+
+TEXTS = [(i, f"worker {['fell', 'drove', 'welded'][i % 3]} near {['gate', 'tank'][i % 2]} {i % 7}") for i in range(40)]
+
+
+def test_scoring_query_counts_repeated_and_missing_ids_once(spark, tmp_path):
+    made = scored_folder(spark, tmp_path, [*TEXTS, (5, "worker fell"), (None, "drove near tank"), (None, "gate"), (41, None), (42, "")])
+    assert [tuple(row) for row in made.collect()] == [(44, 44, 0)]
+
+
+def exchanged(df):
+    """Names of the columns that the exchanges of a plan take in."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    found = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", df._jdf.queryExecution().explainString(mode))
+    return {name.split("#")[0].strip() for names in found for name in names.split(",")}
+
+
+def test_scoring_query_moves_and_stores_no_words(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(models, "written", lambda df, label: kept.append(df) or written(df, label))
+    monkeypatch.setattr("bindings.views.spread", lambda df, key: df)  # as with more splits than cores
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with more labels than a broadcast holds
+    try:
+        moved = set().union(*map(exchanged, (scored_folder(spark, tmp_path, TEXTS), *kept)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "doc_id" in moved and not moved & {"text", "narrative_text"}
+    assert kept and not [name for df in kept for name in df.columns if name.startswith("_")]
+
+
+def test_words_are_runs_of_letters_digits_and_underscores(spark):
+    text = "".join(chr(c) + ("" if c % 5 else "-") for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000)
+    rows = spark.createDataFrame([(text,), ("",), (" -- ",), ("_a-b_ \u0130x",)], "t string")
+    found = rows.select(F.split(F.lower("t"), M.WORD).alias("a"), F.split(F.lower("t"), r"[^\p{L}\p{N}_]+").alias("b"))
+    assert found.filter("a != b").isEmpty()
