@@ -142,11 +142,15 @@ def anchor_rows(fps: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that differ in at most `threshold` bits."""
+    """Pairs (a, b), a < b, of distinct fingerprints that differ in at most `threshold` bits.
+
+    The planner takes the replicas for as many rows as the fingerprints, about 1/61 of what they are, so it would
+    broadcast them for some hundred thousand fingerprints: the hint keeps both sides in shuffles.
+    """
     home, replicas = anchor_rows(fps, threshold)
     near = F.bit_count(F.col("h.fp").bitwiseXOR(F.col("r.fp"))) <= threshold
     return home.alias("h").join(
-        replicas.alias("r"),
+        replicas.alias("r").hint("merge"),
         (F.col("h.anchor") == F.col("r.anchor")) & (F.col("h.fp") < F.col("r.fp")) & near,
     ).select(F.col("h.fp").alias("a"), F.col("r.fp").alias("b"))
 

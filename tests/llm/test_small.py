@@ -96,6 +96,15 @@ def test_anchors_lose_no_link(spark):
     assert got == wanted and len(wanted) > 500
 
 
+def test_replicas_are_never_broadcast(spark):
+    """Of few fingerprints by the planner's estimate, which leaves out that each is replicated about 61 times."""
+    stored = common.written(spark.range(2_000).select(F.xxhash64("id").alias("fp")), "prints")
+    found = simhash.links(stored)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) > 16 * 2_000
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     dice = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [
