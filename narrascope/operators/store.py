@@ -7,7 +7,8 @@ batch left is not named by any commit, and the batch run again overwrites it. A
 and number; one that is committed already changes nothing.
 
 A bucket is what one task rewrites; choose their number so that it fits. Rows of a batch are combined by key before they
-meet the table, so a key that makes up much of a batch arrives as one row.
+meet the table, so a key that makes up much of a batch arrives as one row. They are written to the shared folder and not
+cached: a cached partition of wide rows is held, and served to other executors, as a whole.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StructField, StructType
 
 from narrascope.operators.tables import keyed
-from narrascope.session import list_names, read_text, remove_path, write_text
+from narrascope.session import discard, list_names, read_text, remove_path, write_text, written
 from narrascope.schemas import UPSERT_COLUMNS
 
 COMMITS, ROWS, VERSION, BUCKET = "commits", "rows", "store_version", "store_bucket"
@@ -39,6 +40,15 @@ class Commit:
     sides: list[str] = field(default_factory=list)
 
 
+def nullable(kind: DataType) -> DataType:
+    """A type as files give it back: with nulls allowed at every level."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType), True, f.metadata) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType), True)
+    return MapType(nullable(kind.keyType), nullable(kind.valueType), True) if isinstance(kind, MapType) else kind
+
+
 class KeyedStore:
     """A stored table with one row per key; `replaced` columns are taken from new rows, the others stay as first written.
 
@@ -47,7 +57,7 @@ class KeyedStore:
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, buckets: int = 64,
                  replaced: tuple[str, ...] | None = UPSERT_COLUMNS, newest: str | None = None):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), nullable(schema), key
         self.buckets, self.newest = buckets, newest
         names = [f.name for f in schema if f.name != key]
         self.replaced = names if replaced is None else [name for name in names if name in replaced]
@@ -86,12 +96,13 @@ class KeyedStore:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias(BUCKET)
 
     def _combined(self, rows: DataFrame, order: str) -> DataFrame:
-        """(bucket, key, first, last) of the rows of a batch, which count as successive by `order`."""
+        """(bucket, key, first, last) of the rows of a batch, which count as successive by `order`; `first` is null for a key's only row."""
         row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
         ranked = keyed(rows, self.key).select(self.key, row.alias("row"), F.struct(
             *([F.col(self.newest)] if self.newest else []), order).alias("place"))
-        return ranked.groupBy(self.key).agg(F.min_by("row", "place").alias("first"), F.max_by("row", "place").alias("last")).select(
-            self._bucket(), self.key, "first", "last")
+        return ranked.groupBy(self.key).agg(
+            F.min_by("row", "place").alias("first"), F.max_by("row", "place").alias("last"), F.count(F.lit(1)).alias("n")).select(
+            self._bucket(), self.key, F.when(F.col("n") > 1, F.col("first")).alias("first"), "last")
 
     def _merged(self, old: DataFrame, fresh: DataFrame) -> DataFrame:
         """(bucket, key, old, new, takes): rows of the touched buckets before and after the batch, and whether it changed them."""
@@ -107,7 +118,7 @@ class KeyedStore:
         def value(name: str) -> Column:
             if name == self.key:
                 return F.col(self.key)
-            kept = F.when(F.col("old").isNotNull(), F.col("old")[name]).otherwise(F.col("first")[name])
+            kept = F.when(F.col("old").isNotNull(), F.col("old")[name]).otherwise(F.coalesce("first", "last")[name])
             return F.when(F.col("takes"), F.col("last")[name]).otherwise(kept) if name in self.replaced else kept
 
         takes = F.col("last").isNotNull()
@@ -116,13 +127,14 @@ class KeyedStore:
         decided = met.withColumn("takes", takes)
         return decided.select(BUCKET, self.key, "old", F.struct(*[value(f.name).alias(f.name) for f in self.schema]).alias("new"), "takes")
 
-    def merge(self, rows: DataFrame, order: str, run: str, number: int, sides: Sides | None = None) -> bool:
-        """Upsert a batch and write the tables beside it; whether it was new."""
+    def merge(self, rows: DataFrame, order: str, run: str, number: int, sides: Sides | None = None,
+              beside: dict[str, DataFrame] | None = None) -> bool:
+        """Upsert a batch and write the tables beside it, those of `sides` and `beside`; whether it was new."""
         commit = self.last_commit()
         if commit.runs.get(run, -1) >= number:
             return False
         version = commit.version + 1
-        fresh = self._combined(rows, order).persist()
+        fresh = written(self._combined(rows, order), "fresh")
         merged = None
         try:
             touched = {str(row[0]) for row in fresh.select(BUCKET).distinct().collect()}  # at most the number of buckets
@@ -133,13 +145,13 @@ class KeyedStore:
             if touched:
                 (merged.select(BUCKET, F.lit(version).alias(VERSION), "new.*").write.mode("overwrite")
                  .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, VERSION).parquet(f"{self.path}/{ROWS}"))
-            tables = sides(merged.filter("takes").select("old", "new")) if sides is not None else {}
+            tables = dict(beside or {}) | (sides(merged.filter("takes").select("old", "new")) if sides is not None else {})
             for name, table in tables.items():
                 table.write.mode("overwrite").parquet(f"{self.path}/{name}/{VERSION}={version}")
         finally:
-            fresh.unpersist()
-            if merged is not None:
+            if sides is not None and merged is not None:
                 merged.unpersist()
+            discard(fresh)
         self._commit(Commit(version, commit.buckets | dict.fromkeys(touched, version), commit.runs | {run: number},
                             sorted({*commit.sides, *tables})))
         return True

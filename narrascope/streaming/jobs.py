@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, NullType, StringType, StructField, StructType
 
 from narrascope.operators.reporting import shown_status
 from narrascope.operators.store import KeyedStore
 from narrascope.operators.tables import critical_audit, latest_per_key
 from narrascope.schemas import SEED_SOURCES
+from narrascope.session import discard, written
 
 BATCH = "batch_id"
 AUDIT, LIVE_COUNTS = "audit", "live_counts"
@@ -54,14 +55,19 @@ def triage(stream: DataFrame, score: Callable[[DataFrame], DataFrame], store: Ke
            order: str = "id", every: str | None = None) -> StreamingQuery:
     """Score reports on arrival and upsert them into the report table, with an audit row for each critical one.
 
-    Report rows and audit rows of a micro-batch become visible together.
+    Report rows and audit rows of a micro-batch become visible together. The scored rows are written once, since both read them.
     """
+    types = {f.name: f.dataType for f in store.schema}
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch).persist()
+        scored = score(batch)
+        # an empty column has a type only in the store
+        untyped = {f.name: F.col(f.name).cast(types.get(f.name, StringType())) for f in scored.schema if isinstance(f.dataType, NullType)}
+        scored = written(scored.withColumns(untyped) if untyped else scored, "scored")
         try:
-            store.merge(scored, order, checkpoint, batch_id, lambda changes: {AUDIT: critical_audit(scored)})
+            store.merge(scored, order, checkpoint, batch_id, beside={AUDIT: critical_audit(scored)})
         finally:
-            scored.unpersist()
+            discard(scored)
 
     return _start(stream, checkpoint, write, every=every)
 

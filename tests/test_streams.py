@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from narrascope.operators.store import KeyedStore
-from narrascope.session import new_scratch
+from narrascope.session import list_names, new_scratch, shared_dir
 from narrascope.streaming import jobs
 
 
@@ -122,6 +122,30 @@ def test_triage_table_survives_replay_and_crash(spark, monkeypatch):
     assert jobs.triage_audit(store).count() == 6
 
 
+def test_triage_caches_no_wide_rows(spark, monkeypatch):
+    """Scored rows and a batch's rows by key lie in written tables, gone after the batch; keys repeat in it, types allow no nulls or are missing."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def fails(*args, **how):
+        raise AssertionError("cached")
+
+    def score(batch):
+        return batch.withColumns({"limits": F.create_map(F.lit("low"), F.lit(0.5)), "note": F.lit(None)})
+
+    df, checkpoint = versions(spark), new_scratch(spark, "cp")
+    schema = StructType([*score(df).drop("note").schema, *as_struct("note string")])
+    store = KeyedStore(spark, new_scratch(spark, "reports"), schema, "report_id", buckets=4)
+    source = new_scratch(spark, "in")
+    df.coalesce(1).write.parquet(source)
+    monkeypatch.setattr(DataFrame, "persist", fails)
+    monkeypatch.setattr(DataFrame, "cache", fails)
+    triaged(spark, store, source, checkpoint, score)
+    assert table_of(store) == expected_table(df.collect())
+    assert {(r.limits["low"], r.note) for r in store.current().collect()} == {(0.5, None)}
+    assert jobs.triage_audit(store).count() == 6
+    assert not [name for name in list_names(spark, shared_dir(spark)) if name.startswith(("scored-", "fresh-"))]
+
+
 def test_batches_rewrite_their_buckets_only(spark):
     store = KeyedStore(spark, new_scratch(spark, "reports"), as_struct(REPORTS), "report_id", buckets=16)
     store.merge(versions(spark), "id", "a", 0)
